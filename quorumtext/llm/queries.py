@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import bpe, sharding
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file: that of the installed package, or under QUORUMTEXT_TOKENIZERS."""
+    if folder := os.environ.get("QUORUMTEXT_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of every document, encoded and decoded."""
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op9_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards under the law `rows`."""
     out = sharding.assign(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op9_bounded_ring_sharding": op9_bounded_ring_sharding}
+QUERIES = {
+    "op2_trie_bpe": op2_trie_bpe,
+    "op9_bounded_ring_sharding": op9_bounded_ring_sharding,
+}
 
 ORACLE_SQL: dict[str, str] = {}
