@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Fixed values of the file format: the pattern that cuts texts into words.
@@ -177,7 +178,7 @@ def _in_batches(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iter
     """Slices of at most `rows` rows and about `size` characters, but of a row at least."""
     for batch in batches:
         begin, load = 0, 0
-        lengths = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
         for i, n in enumerate(lengths):
             if i > begin and (i - begin >= rows or load + n > size):
                 yield batch.slice(begin, i - begin)
