@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding
+from . import bpe, minhash, sharding
 from .common import table
 
 
@@ -20,6 +20,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: shingles of three words, similarity 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=85)
+
+
 def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of every document, encoded and decoded."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -32,6 +37,7 @@ def op9_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minmax_near_dedup": op1_minmax_near_dedup,
     "op2_trie_bpe": op2_trie_bpe,
     "op9_bounded_ring_sharding": op9_bounded_ring_sharding,
 }
