@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, sharding
+from . import bpe, decontaminate, minhash, sharding
 from .common import table
 
 
@@ -36,10 +36,16 @@ def op9_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of ten words that a benchmark item has too."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
 QUERIES = {
     "op1_minmax_near_dedup": op1_minmax_near_dedup,
     "op2_trie_bpe": op2_trie_bpe,
     "op9_bounded_ring_sharding": op9_bounded_ring_sharding,
+    "op10_positional_index_decontamination": op10_positional_index_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
