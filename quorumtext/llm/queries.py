@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, sharding
+from . import bpe, chat, decontaminate, minhash, quality, sharding, toxicity
 from .common import table
+from .labelled import held_out
 
 
 def tokenizer(name: str) -> str:
@@ -41,6 +42,29 @@ def op3_typed_part_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summarise(chat.format_turns(given.unionByName(hard)))
 
 
+#: A document is good, or toxic, from this score on.
+ACCEPT = 0.7
+
+
+def _scored(docs: DataFrame, score, modulus: int, rest: int) -> DataFrame:
+    rows = docs.select("doc_id", held_out(F.col("doc_id"), modulus, rest).alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
+def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), label="quality", modulus=4, rest=2)
+    return _scored(docs, quality.score(docs.text, model), 4, 2)
+
+
+def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), label="toxic", modulus=3, rest=1)
+    return _scored(docs, toxicity.score(docs.text, model), 3, 1)
+
+
 def op9_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards under the law `rows`."""
     out = sharding.assign(table(spark, sf_dir, "documents"), 40)
@@ -56,6 +80,8 @@ QUERIES = {
     "op1_minmax_near_dedup": op1_minmax_near_dedup,
     "op2_trie_bpe": op2_trie_bpe,
     "op3_typed_part_chat": op3_typed_part_chat,
+    "op5_fourier_quality": op5_fourier_quality,
+    "op7_crf_toxicity": op7_crf_toxicity,
     "op9_bounded_ring_sharding": op9_bounded_ring_sharding,
     "op10_positional_index_decontamination": op10_positional_index_decontamination,
 }
