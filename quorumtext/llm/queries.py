@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, quality, sharding, toxicity
+from . import bpe, capfilter, chat, decontaminate, minhash, quality, sharding, toxicity
 from .common import table
 from .labelled import held_out
 
@@ -65,6 +65,11 @@ def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity.score(docs.text, model), 3, 1)
 
 
+def op8_spherical_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings with cosine 0.98 or more within a label."""
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards under the law `rows`."""
     out = sharding.assign(table(spark, sf_dir, "documents"), 40)
@@ -82,6 +87,7 @@ QUERIES = {
     "op3_typed_part_chat": op3_typed_part_chat,
     "op5_fourier_quality": op5_fourier_quality,
     "op7_crf_toxicity": op7_crf_toxicity,
+    "op8_spherical_cap_dedup": op8_spherical_cap_dedup,
     "op9_bounded_ring_sharding": op9_bounded_ring_sharding,
     "op10_positional_index_decontamination": op10_positional_index_decontamination,
 }
