@@ -6,8 +6,9 @@ between two sets with the probability of their Jaccard similarity. Signatures ar
 documents with an equal band are candidates.
 
 Sets that are equal are merged first, by a 128-bit fingerprint. Then each bucket links its members
-to its smallest one only, so a bucket of m documents gives m - 1 candidates; these are confirmed on
-full sets and components formed. Buckets that still hold several components are compared in blocks:
+to one of them only, the one that shares buckets most often (the text that the others were made from
+rather than one of its variants), so a bucket of m documents gives m - 1 candidates; these are
+confirmed on full sets and components formed. Buckets that still hold several components are compared in blocks:
 pairs from different components whose signatures agree well enough go to the same confirmation.
 Every pair of a bucket is thus compared or already joined, and no bucket meets in one task.
 """
@@ -195,8 +196,10 @@ def link(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int =
     named = cut(rows.select("doc", *prints).join(first, prints).select("doc", "n_shingles", "first").distinct())
     heads = rows.join(named.where("doc = first").select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
     members = cut(heads.select("doc", F.explode("bands").alias("bucket")))
-    shared = members.groupBy("bucket").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(shared, "bucket").select("bucket", "doc", "head"))
+    shared = cut(members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
+    company = shared.groupBy("doc").agg(F.sum("n").alias("company"))
+    heads = shared.join(company, "doc").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("doc")).alias("minus"))).alias("best"))
+    members = cut(shared.join(heads.select("bucket", (-F.col("best.minus")).alias("head")), "bucket").select("bucket", "doc", "head"))
     links = confirm(members.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct(), hashed, size, threshold)
     labels = cut(components(links))
     labelled = members.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
