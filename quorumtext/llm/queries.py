@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capfilter, chat, decontaminate, minhash, quality, sharding, toxicity
+from . import bpe, capfilter, chat, decontaminate, minhash, quality, sharding, toxicity, wrappers
 from .common import table
 from .labelled import held_out
 
@@ -42,6 +42,11 @@ def op3_typed_part_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summarise(chat.format_turns(given.unionByName(hard)))
 
 
+def op4_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: A document is good, or toxic, from this score on.
 ACCEPT = 0.7
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op1_minmax_near_dedup": op1_minmax_near_dedup,
     "op2_trie_bpe": op2_trie_bpe,
     "op3_typed_part_chat": op3_typed_part_chat,
+    "op4_wrapper_extraction": op4_wrapper_extraction,
     "op5_fourier_quality": op5_fourier_quality,
     "op7_crf_toxicity": op7_crf_toxicity,
     "op8_spherical_cap_dedup": op8_spherical_cap_dedup,
