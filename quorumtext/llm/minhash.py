@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lower_ascii, words
+from .common import components, cut, lower_ascii, sized, words
 
 #: White space that ends words: space and the controls from tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
@@ -143,11 +143,11 @@ def shingle_sets(hashed: DataFrame, size: int) -> DataFrame:
     return hashed.mapInArrow(run, "doc long, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, hashed: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= threshold * union on full sets. Only candidates' sets are made."""
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= threshold * union on full sets. Only candidates' sets are made, after their texts (doc, text) are picked."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = cut(shingle_sets(hashed.join(wanted, "doc", "left_semi"), size))
+    wanted = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc"))
+    sets = cut(shingle_sets(word_hashes(texts.join(sized(wanted, 16), "doc", "left_semi"), "doc", "text"), size))
     with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a")), "a")
     with_b = with_a.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("of_b")), "b")
     both, sum_of = F.size(F.array_intersect("of_a", "of_b")).cast("long"), (F.size("of_a") + F.size("of_b")).cast("long")
@@ -189,8 +189,8 @@ def link(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int =
     Documents are linked if 100 * intersection >= threshold * union of their shingle sets; the
     component is the smallest key reachable by links. Null keys are left out.
     """
-    hashed = word_hashes(df.where(F.col(key).isNotNull()), key, text)
-    rows = cut(sketch(hashed, size))
+    texts = df.where(F.col(key).isNotNull()).select(df[key].cast("long").alias("doc"), df[text].alias("text"))
+    rows = cut(sketch(word_hashes(texts, "doc", "text"), size))
     prints = ["f1", "f2", "n_shingles"]
     first = rows.groupBy(prints).agg(F.min("doc").alias("first"))
     named = cut(rows.select("doc", *prints).join(first, prints).select("doc", "n_shingles", "first").distinct())
@@ -200,10 +200,10 @@ def link(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int =
     company = shared.groupBy("doc").agg(F.sum("n").alias("company"))
     heads = shared.join(company, "doc").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("doc")).alias("minus"))).alias("best"))
     members = cut(shared.join(heads.select("bucket", (-F.col("best.minus")).alias("head")), "bucket").select("bucket", "doc", "head"))
-    links = confirm(members.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct(), hashed, size, threshold)
+    links = confirm(members.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct(), texts, size, threshold)
     labels = cut(components(links))
     labelled = members.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    more = confirm(_block_pairs(labelled.join(rows.select("doc", "values").dropDuplicates(["doc"]), "doc"), threshold), hashed, size, threshold)
+    more = confirm(_block_pairs(labelled.join(rows.select("doc", "values").dropDuplicates(["doc"]), "doc"), threshold), texts, size, threshold)
     labels = cut(components(links.union(more)))
     return named.join(labels.withColumnRenamed("node", "first"), "first", "left").select("doc", "n_shingles", F.coalesce("component", "first").alias("component"))
 
