@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -195,21 +196,28 @@ def tokenizer_spec(path: str) -> str:
 
 
 def encode(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): ids of every whole text, as an array of int.
+    """(key, ids, round_trip): ids of every whole text as an array of int, and whether they decode to the text.
 
-    Null and empty texts have an empty array. Null keys stay, repeated rows give repeated rows, an
-    empty table gives an empty one; columns other than key and text are ignored. Rows never leave
-    their partition.
+    Null and empty texts have an empty array, which decodes to an empty text. Null keys stay, repeated
+    rows give repeated rows, an empty table gives an empty one; columns other than key and text are
+    ignored. Rows never leave their partition.
     """
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _in_batches(batches, 2000, 4 << 20):
-            ids = encode_texts(b.column(1).to_pylist(), spec.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+            texts = b.column(1).to_pylist()
+            joined, same = [], []
+            for body, pieces in zip(texts, encode_words(texts, spec.value), strict=True):
+                joined.append(",".join([p[0] for p in pieces]))
+                same.append(b"".join([p[1] for p in pieces]) == (body or "").encode())
+            sizes = [j.count(",") + 1 if j else 0 for j in joined]
+            flat = np.fromstring(",".join(filter(None, joined)), dtype=np.int32, sep=",")
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(same)], ["key", "ids", "round_trip"])
 
     out = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
-    return out.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+    return out.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, ids array<int>, round_trip boolean").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capfilter, chat, decontaminate, minhash, quality, sharding, toxicity, wrappers
+from . import bpe, capfilter, chat, decontaminate, minhash, quality, sharding, toxicity, unigram, wrappers
 from .common import table
 from .labelled import held_out
 
@@ -63,6 +63,11 @@ def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.score(docs.text, model), 4, 2)
 
 
+def op6_trie_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document under a unigram vocabulary of 32,000 pieces."""
+    return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -92,6 +97,7 @@ QUERIES = {
     "op3_typed_part_chat": op3_typed_part_chat,
     "op4_wrapper_extraction": op4_wrapper_extraction,
     "op5_fourier_quality": op5_fourier_quality,
+    "op6_trie_unigram_counts": op6_trie_unigram_counts,
     "op7_crf_toxicity": op7_crf_toxicity,
     "op8_spherical_cap_dedup": op8_spherical_cap_dedup,
     "op9_bounded_ring_sharding": op9_bounded_ring_sharding,
