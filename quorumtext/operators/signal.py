@@ -139,7 +139,7 @@ def page_lines(pages: pd.Series) -> pd.Series:
     """Line boxes of pages given as arrays of rows of grey levels: sheets of strips by their white rows, others by ink."""
     out = []
     for page in pages:
-        grey = np.array([np.asarray(r) for r in page], dtype=np.uint8).reshape(len(page), -1)
+        grey = np.array([np.asarray(r) for r in page], dtype=np.uint8) if len(page) else np.empty((0, 0), np.uint8)
         out.append([dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) for b in (white_bands(grey) or lines_of_page(grey))] if grey.size else [])
     return pd.Series(out)
 
