@@ -8,9 +8,8 @@ documents with an equal band are candidates.
 Sets that are equal are merged first, by a 128-bit fingerprint. Then each bucket links its members
 to one of them only, the one that shares buckets most often (the text that the others were made from
 rather than one of its variants), so a bucket of m documents gives m - 1 candidates; these are
-confirmed on full sets and components formed. Buckets that still hold several components are compared in blocks:
-pairs from different components whose signatures agree well enough go to the same confirmation.
-Every pair of a bucket is thus compared or already joined, and no bucket meets in one task.
+confirmed on full sets and components formed. Buckets that still hold several components are compared in blocks,
+pairs from different components whose signatures agree well enough on full sets again. Every pair of a bucket is thus compared or already joined, and no bucket meets in one task.
 """
 
 from __future__ import annotations
@@ -137,7 +136,7 @@ def shingle_sets(hashed: DataFrame, size: int) -> DataFrame:
             sets = [shingles(h, size) for h in _hash_lists(batch)]
             for a, b in _runs(sets, 1 << 20):
                 offsets = np.cumsum([0, *(len(s) for s in sets[a:b])], dtype=np.int32)
-                flat = np.concatenate(sets[a:b]).view(np.int64)
+                flat = np.concatenate([np.sort(s.view(np.int64)) for s in sets[a:b]])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc", "shingles"])
 
     return hashed.mapInArrow(run, "doc long, shingles array<long>")
@@ -154,33 +153,47 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Da
     return cut(with_b.where(both * 100 >= (sum_of - both) * threshold).select("a", "b"))
 
 
-def _block_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose signatures nearly reach the threshold.
+def _block_links(members: DataFrame, values: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, enough to join all that are linked.
 
     A bucket is dealt into chunks of about BLOCK members and each two chunks meet in a task of their
-    own; a chunk pair is compared as one matrix.
+    own. There, pairs of different components whose signatures nearly reach the threshold are compared
+    on full sets; a link makes two components one, so a chunk pair gives fewer links than members.
     """
     least = (threshold / 100 - MARGIN) * 2 * PERMUTATIONS
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = sizes.where("n > 2 and lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
-    dealt = members.join(open_, "bucket").withColumn("chunk", F.pmod(F.hash("doc"), F.col("chunks")))
+    dealt = cut(members.join(open_, "bucket").withColumn("chunk", F.pmod(F.hash("doc"), F.col("chunks"))))
+    wanted = cut(dealt.select("doc").distinct())
+    sets = shingle_sets(word_hashes(texts.join(sized(wanted, 16), "doc", "left_semi"), "doc", "text"), size)
+    known = cut(values.join(sets, "doc").dropDuplicates(["doc"]))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc", "component", "values")
-
-    def block(table_: pa.Table) -> pa.Table:
-        docs, labels = table_["doc"].to_numpy(), table_["component"].to_numpy()
-        values = np.frombuffer(b"".join(table_["values"].to_pylist()), dtype=np.int16).reshape(len(docs), -1)
+    met = met.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc", "component").join(known, "doc")
+
+    def block(rows: pa.Table) -> pa.Table:
+        docs, component = rows["doc"].to_numpy(), rows["component"].to_numpy().copy()
+        signature = np.frombuffer(b"".join(rows["values"].to_pylist()), dtype=np.int16).reshape(len(docs), -1)
+        lists = rows["shingles"].combine_chunks()
+        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        length = np.diff(offsets)
         a, b = [], []
         for k in range(len(docs) - 1):
-            rest = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
-            if len(rest):
-                near = rest[(values[rest] == values[k]).sum(1) >= least]
-                a.append(np.minimum(docs[near], docs[k]))
-                b.append(np.maximum(docs[near], docs[k]))
-        join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-        return pa.table({"a": join(b), "b": join(a)})
-
-    return met.groupBy("bucket", "i", "j").applyInArrow(block, "a long, b long").distinct()
+            rest = np.flatnonzero(component[k + 1 :] != component[k]) + k + 1
+            near = rest[(signature[rest] == signature[k]).sum(1) >= least] if len(rest) else rest
+            if not len(near):
+                continue
+            own = flat[offsets[k] : offsets[k + 1]]
+            theirs = np.concatenate([flat[offsets[j] : offsets[j + 1]] for j in near])
+            place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            both = np.add.reduceat((own[place] == theirs).astype(np.int64), np.cumsum([0, *length[near]])[:-1])
+            for j in near[both * 100 >= (length[k] + length[near] - both) * threshold]:
+                if component[j] != component[k]:
+                    component[component == component[j]] = component[k]
+                    a.append(docs[k])
+                    b.append(docs[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cut(met.groupBy("bucket", "i", "j").applyInArrow(block, "a long, b long").distinct())
 
 
 def link(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
@@ -203,7 +216,7 @@ def link(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int =
     links = confirm(members.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct(), texts, size, threshold)
     labels = cut(components(links))
     labelled = members.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    more = confirm(_block_pairs(labelled.join(rows.select("doc", "values").dropDuplicates(["doc"]), "doc"), threshold), texts, size, threshold)
+    more = _block_links(labelled, rows.select("doc", "values"), texts, size, threshold)
     labels = cut(components(links.union(more)))
     return named.join(labels.withColumnRenamed("node", "first"), "first", "left").select("doc", "n_shingles", F.coalesce("component", "first").alias("component"))
 
