@@ -81,6 +81,26 @@ def _list(parts: list[np.ndarray], height: float) -> np.ndarray:
     return np.sort(numbers)
 
 
+def _met_before(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray, others: np.ndarray, which: int, width: int = 4096) -> np.ndarray:
+    """For each two vectors whether they share a filter of a lower number, by products of membership matrices."""
+    lower = [[flat[offsets[k] : offsets[k + 1]] for k in side] for side in (rows, others)]
+    lower = [[f[: np.searchsorted(f, which)] for f in side] for side in lower]
+    sides = [(np.repeat(np.arange(len(side)), [len(f) for f in side]), np.concatenate(side) if side else np.empty(0, np.int64)) for side in lower]
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    met = np.zeros((len(rows), len(others)), dtype=bool)
+    for begin in range(0, len(common), width):
+        part = common[begin : begin + width]
+        member = []
+        for (at, f), side in zip(sides, (rows, others), strict=True):
+            place = np.searchsorted(part, f)
+            held = (place < len(part)) & (part[np.minimum(place, len(part) - 1)] == f)
+            m = np.zeros((len(side), len(part)), dtype=np.float32)
+            m[at[held], place[held]] = 1
+            member.append(m)
+        met |= member[0] @ member[1].T > 0
+    return met
+
+
 def usable(column: str) -> str:
     """SQL for a vector that can be compared: not null or empty, every component finite, not all zero."""
     return f"{column} is not null and size({column}) > 0 and forall({column}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({column}, x -> x <> 0)"
@@ -118,15 +138,14 @@ def links(df: DataFrame, threshold: float) -> DataFrame:
         a, b = [], []
         for begin in range(0, len(left), 512):
             rows = left[begin : begin + 512]
-            x, y = np.nonzero(units[rows] @ units[right].T >= threshold - 1e-9)
-            for p, q in zip(rows[x], right[y], strict=True):
-                if vec[p] < vec[q] or i != j and vec[p] != vec[q]:
-                    if units[p].dot(units[q]) < threshold:
-                        continue
-                    shared = np.intersect1d(flat[offsets[p] : offsets[p + 1]], flat[offsets[q] : offsets[q + 1]], assume_unique=True)
-                    if shared[0] == which:
-                        a.append(min(vec[p], vec[q]))
-                        b.append(max(vec[p], vec[q]))
+            near = units[rows] @ units[right].T >= threshold
+            near &= (vec[rows][:, None] < vec[right]) if i == j else (vec[rows][:, None] != vec[right])
+            if near.any():
+                near &= ~_met_before(flat, offsets, rows, right, which)
+                x, y = np.nonzero(near)
+                a.append(np.minimum(vec[rows[x]], vec[right[y]]))
+                b.append(np.maximum(vec[rows[x]], vec[right[y]]))
+        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
         return pa.table({"label": pa.array([label] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return full.groupBy("label", "d", "filter", "i", "j").applyInArrow(compare, "label long, a long, b long")
