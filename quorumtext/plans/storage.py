@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table dealt to all cores if it comes from fewer files than there are; larger inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to spark.checkpoint.dir and read it from there; a folder of its own only where that is unset."""
     sc = df.sparkSession.sparkContext

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import spread, table
 
 #: Characters of a line at most; longer ones continue on the next.
 LINE = 100
@@ -14,7 +14,7 @@ MEMBERS = ("drop_h", "keep", "swap_e")
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_id, doc_id, lang, source, part, ref): all text of documents in lines of 1 to LINE characters."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("row", "whole"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("row", "whole"))
     cut = docs.where(F.length("whole") > 0).withColumn("at", F.explode(F.expr(f"sequence(0, (length(whole) - 1) div {LINE})")))
     part = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0, "valA").otherwise("valB")
     return cut.select(
