@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, sized
 
+#: Partitions of a sample at most: every one of them gives a matrix to each sum, whatever the size of the corpus.
+SAMPLE_PARTS = 48
+
 
 def held_out(key: Column, modulus: int, rest: int) -> Column:
     """Whether the key, as text, has a CRC-32 with that remainder; a null key is never held out."""
@@ -20,7 +23,8 @@ def held_out(key: Column, modulus: int, rest: int) -> Column:
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, per_class: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text, y) of about `per_class` documents of each label at most, none of them held out.
 
-    Which are taken depends on their keys' hashes alone. Labels that are null or belong to no
+    Which are taken depends on their keys' hashes alone; they are put into SAMPLE_PARTS partitions
+    at most, as their number does not grow with the corpus. Labels that are null or belong to no
     document are left out; a key with several labels has its largest.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key), modulus, rest))
@@ -29,11 +33,11 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     share = {r["y"]: min(1.0, per_class / r["n"]) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     taken = known.where(F.when(F.col("y") == 1, F.col("draw") < int(share.get(1, 0) * (1 << 20))).otherwise(F.col("draw") < int(share.get(0, 0) * (1 << 20))))
     own = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return cut(own.join(sized(taken.select("doc", "y"), 16), "doc").dropDuplicates(["doc"]))
+    return cut(own.join(sized(taken.select("doc", "y"), 16), "doc").dropDuplicates(["doc"])).coalesce(SAMPLE_PARTS)
 
 
 def summed(df: DataFrame, matrix, shape: tuple[int, ...], pools: int = 16) -> np.ndarray:
-    """The sum of matrix(frame) over all of df. Partitions add up their own, a few tasks add up theirs, the driver adds `pools` at most."""
+    """The sum of matrix(frame) over all of df. Partitions add up their own, a few tasks add up theirs, one adds `pools` at most; the driver gets one matrix."""
 
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(shape)
@@ -51,4 +55,5 @@ def summed(df: DataFrame, matrix, shape: tuple[int, ...], pools: int = 16) -> np
 
     schema = "pool int, sum binary"
     parts = df.mapInPandas(own, schema).repartition(pools, "pool").mapInPandas(pooled, schema)
-    return sum((np.frombuffer(bytes(r["sum"])).reshape(shape) for r in parts.collect()), np.zeros(shape))
+    whole = parts.repartition(1).mapInPandas(pooled, schema).first()
+    return np.frombuffer(bytes(whole["sum"])).reshape(shape) if whole else np.zeros(shape)  # no partition, no row
