@@ -119,6 +119,20 @@ def test_main_text(spark, tags):
     assert wrappers.main_text(df.limit(0)).count() == 0
 
 
+def test_words_of_class_and_id(spark):
+    """Topics and layouts named by the page's own elements are no containers apart; words count as a whole."""
+    body = "<h1>Title</h1><p>Text</p>"
+    whole = [
+        f'<body class="home has-sidebar"><article class="post type-post hentry category-news tag-health">{body}</article></body>',
+        f'<body class="search"><main class="legal-news no-sidebar">{body}</main></body>',
+        f'<div class="legal-news">{body}</div><div class="sidebar wide">x</div><div id="comments">y</div>',
+        f'<div class="widget">{body}</div><nav>menu</nav>',
+    ]
+    rows = [(i, f"http://h{i}.example/", page) for i, page in enumerate(whole)]
+    out = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in out} == {"Title\nText"} and len(out) == len(whole)
+
+
 def test_wrappers_have_optional_and_repeated_groups():
     one = wrappers.fold(["h1", "p", "p", "p", "ul/li", "ul/li"])
     two = wrappers.fold(["h1", "p", "figure", "p"])
