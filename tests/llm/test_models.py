@@ -133,6 +133,20 @@ def test_words_of_class_and_id(spark):
     assert {r["text"] for r in out} == {"Title\nText"} and len(out) == len(whole)
 
 
+def test_copies_and_rare_slots_are_no_template(spark):
+    """Copies count as one page, and what few of a host's pages share is content; what most share is template."""
+    page = lambda body, n: f"<div class='top'>Our site</div><div class='story'><p>Story {body}</p></div><div class='date'>day {n}</div>"
+    rows = [(i, "http://a.example/", page("one", 1).replace("class='story'", "id='post-17'")) for i in range(5)]
+    rows += [(i, "http://a.example/", page("dated", i).replace("class='story'", "id='post-18'")) for i in range(5, 10)]
+    rows += [(i, "http://a.example/", page(i, i) + ("<h2>Notes</h2>" if i % 4 == 0 else "")) for i in range(10, 30)]
+    rows += [(30, "http://a.example/", "plain & simple")]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == ["Story one\nday 1"] * 5
+    assert [got[i] for i in range(5, 10)] == [f"Story dated\nday {i}" for i in range(5, 10)]
+    assert all(got[i] == f"Story {i}\nday {i}" + ("\nNotes" if i % 4 == 0 else "") for i in range(10, 30))
+    assert got[30] == "plain & simple"
+
+
 def test_wrappers_have_optional_and_repeated_groups():
     one = wrappers.fold(["h1", "p", "p", "p", "ul/li", "ul/li"])
     two = wrappers.fold(["h1", "p", "figure", "p"])
