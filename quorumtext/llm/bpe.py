@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,6 +27,9 @@ from pyspark.sql import DataFrame
 WORDS = r""" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Finished words and trie nodes that a worker keeps between batches before it starts anew.
 MAX_WORDS, MAX_NODES = 700_000, 700_000
+#: Bytes of the longest word whose prefixes become nodes, which bounds the nodes' bytes too. Longer words
+#: pass the same recurrence over their positions, and are forgotten with their batch.
+MAX_PATH = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -96,18 +100,26 @@ class Trie:
         self.vocabulary = vocabulary
         self.last: dict[bytes, int] = {}
         self.seen: dict[str, tuple[str, bytes]] = {}
+        self.long: list[str] = []
 
     def add(self, distinct: set[str]) -> None:
-        """Encode the words that are new. Past their limits, finished words and then open paths are forgotten."""
+        """Encode the words that are new. Past their limits, finished words and open paths are forgotten."""
+        for name in self.long:
+            self.seen.pop(name, None)
+        self.long.clear()
         if len(self.seen) > MAX_WORDS:
             self.seen.clear()
-        if len(self.last) > MAX_NODES:
-            self.last.clear()
         v, last, seen = self.vocabulary, self.last, self.seen
         pieces, rank, agreed = v.pieces, v.bytes, v.agreed
         for name in sorted(distinct.difference(seen)):  # sorted words visit the trie depth first
             word = name.encode()
             size = depth = len(word)
+            if size > MAX_PATH:
+                self.long.append(name)
+                seen[name] = self._spelled(self._alone(word))
+                continue
+            if len(last) > MAX_NODES:
+                last.clear()
             while depth and word[:depth] not in last:
                 depth -= 1
             while depth < size:
@@ -135,7 +147,36 @@ class Trie:
                 ids.append(token)
                 size -= len(rank[token])
             ids.reverse()
-            seen[name] = ",".join(map(str, ids)), b"".join([rank[i] for i in ids])
+            seen[name] = self._spelled(ids)
+
+    def _spelled(self, ids: list[int]) -> tuple[str, bytes]:
+        rank = self.vocabulary.bytes
+        return ",".join(map(str, ids)), b"".join([rank[i] for i in ids])
+
+    def _alone(self, word: bytes) -> list[int]:
+        """Ids of one word by the last tokens of its positions: four bytes for each of the word's."""
+        v = self.vocabulary
+        pieces = v.pieces
+        last = array("i", bytes(4 * (len(word) + 1)))
+        for depth in range(1, len(word) + 1):
+            found = []
+            for start in range(depth - 1, -1, -1):
+                token = pieces.get(word[start:depth])
+                if token is None:
+                    break
+                if token >= 0:
+                    found.append((start, token))
+            while True:
+                start, token = found.pop()
+                if not start or v.agree(last[start], token):
+                    break
+            last[depth] = token
+        ids, size = [], len(word)
+        while size:
+            ids.append(last[size])
+            size -= len(v.bytes[last[size]])
+        ids.reverse()
+        return ids
 
 
 @cache

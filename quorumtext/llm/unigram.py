@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Finished pre-tokens and trie nodes that a worker keeps between batches.
 MAX_WORDS, MAX_NODES = 700_000, 700_000
+#: Characters of the longest pre-token whose prefixes become nodes, which bounds the nodes' bytes too.
+#: Longer ones pass the same recurrence over a window of the longest piece, and are forgotten with their batch.
+MAX_PATH = 64
 _PRETOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: A batch's rows are counted in slices of so many characters.
 SLICE = 4 << 20
@@ -41,20 +44,30 @@ class Trie:
 
     def __init__(self, logp: dict[str, float]):
         self.logp = logp
+        self.window = max(map(len, logp), default=0) + 1
         self.ends = {p[k:] for p in logp for k in range(len(p))}
         self.byte = min(logp.values(), default=0.0) - 10.0
         self.best: dict[str, tuple[float, int]] = {"": (0.0, 0)}
         self.counts: dict[str, int] = {}
+        self.long: list[str] = []
 
     def add(self, distinct: set[str]) -> None:
         """Count the pre-tokens that are new; sorted order visits the trie depth first."""
+        for word in self.long:
+            self.counts.pop(word, None)
+        self.long.clear()
         if len(self.counts) > MAX_WORDS:
             self.counts.clear()
-        if len(self.best) > MAX_NODES:
-            self.best = {"": (0.0, 0)}
         best, logp, ends = self.best, self.logp, self.ends
         for word in sorted(distinct.difference(self.counts)):
             depth = len(word)
+            if depth > MAX_PATH:
+                self.long.append(word)
+                self.counts[word] = self._alone(word)
+                continue
+            if len(best) > MAX_NODES:
+                best.clear()
+                best[""] = 0.0, 0
             while word[:depth] not in best:
                 depth -= 1
             while depth < len(word):
@@ -73,6 +86,25 @@ class Trie:
                 best[word[:depth]] = s, n
             self.counts[word] = best[word][1]
 
+    def _alone(self, word: str) -> int:
+        """Tokens of one pre-token; no piece reaches back further than the window."""
+        logp, ends = self.logp, self.ends
+        window = self.window
+        scores_, tokens = [0.0] * window, [0] * window
+        for depth in range(1, len(word) + 1):
+            size = len(word[depth - 1].encode())
+            s, n = scores_[(depth - 1) % window] + size * self.byte, tokens[(depth - 1) % window] + size
+            for start in range(depth - 1, -1, -1):
+                piece = word[start:depth]
+                if piece not in ends:
+                    break
+                if (p := logp.get(piece)) is not None:
+                    s0, n0 = scores_[start % window], tokens[start % window]
+                    if s0 + p > s or s0 + p == s and n0 + 1 < n:
+                        s, n = s0 + p, n0 + 1
+            scores_[depth % window], tokens[depth % window] = s, n
+        return tokens[len(word) % window]
+
 
 @cache
 def loaded(path_bytes: bytes) -> Trie:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -143,6 +144,31 @@ def test_token_counts(spark, prose):
     assert unigram.token_counts(table(spark, []), path).count() == 0
 
 
+def test_long_words_take_memory_in_proportion(reference):
+    """Words without a break: ids and counts as ever, and no memory that grows with the square of their length."""
+    rnd = random.Random(8)
+    word = "".join(rnd.choices("abcdeginorst", k=20_000))
+    spec = bpe.tokenizer_spec(queries.tokenizer("byte_bpe_50k.json"))
+    with open(queries.tokenizer("piece_bpe_32k.model"), "rb") as f:
+        pieces = unigram.loaded(f.read())
+    words = bpe.loaded(spec)[1]
+    tracemalloc.start()
+    words.add({word})
+    pieces.add({word})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    assert [int(i) for i in words.seen[word][0].split(",")] == reference.encode(word, add_special_tokens=False).ids
+    for n in (63, 64, 65, 300):
+        short = "".join(rnd.choices("abeinrst日é", k=n))
+        pieces.add({short})
+        assert pieces.counts[short] == brute_tokens(short, pieces.logp, pieces.byte)
+        assert bpe.encode_texts([short], spec) == [reference.encode(short, add_special_tokens=False).ids]
+    words.add({"next"})
+    pieces.add({"next"})
+    assert word not in words.seen and word not in pieces.counts
+
+
 # --- sharding -------------------------------------------------------------------------------------
 
 
