@@ -84,8 +84,8 @@ def learned_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and unsure flags of beam search under a character model of the references."""
-    raw = charlm.uses(views.lines(spark, sf_dir), "ref", 4)
-    rows = charlm.decode(_networks(spark, sf_dir), raw, 4)
+    raw = charlm.uses(views.lines(spark, sf_dir), "ref")
+    rows = charlm.decode(_networks(spark, sf_dir), raw)
     return rows.select("line_id", "decoded.text", F.size(F.filter("decoded.unsure", lambda x: x)).alias("unsure"))
 
 
