@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Largest side, in bytes as estimated from its rows, that is broadcast; beyond it a shuffle join runs.
+#: Largest side, in bytes by its counted rows or their summed sizes, that is broadcast; beyond it a shuffle join runs.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there, so lost executors cost no recomputation.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder is used.
+    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset and
+    Spark runs on one machine (tests) a temporary folder is used, elsewhere that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -38,9 +41,46 @@ def words(text: Column, breaks: str) -> Column:
     return F.coalesce(F.array_remove(F.split(text, f"[{breaks}]+"), ""), F.array().cast("array<string>"))
 
 
-def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit in `limit` bytes, else df, which joins by shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def fits(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether df is small enough for a broadcast: counted rows of fixed size, or the summed sizes that a column gives."""
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return size <= limit
+
+
+def sized(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it fits, else df, which joins by shuffle."""
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df
+
+
+#: Parts that any group is split into where its rows get their group's aggregates.
+SALTS = 60
+
+
+def salt(*columns: str) -> Column:
+    return F.pmod(F.hash(*columns), F.lit(SALTS))
+
+
+def salts_held() -> Column:
+    """Aggregate: the set of a group's salts (a column `__salt`) as the bits of one number."""
+    return F.bit_or(F.expr("shiftleft(1L, __salt)"))
+
+
+def salts_of(bits: str) -> Column:
+    """Array of the salts in a number made by salts_held()."""
+    return F.expr(f"filter(sequence(0, {SALTS - 1}), i -> (shiftright({bits}, i) & 1L) = 1L)")
+
+
+def with_group(df: DataFrame, keys: list[str], spread: list[str], aggregates: dict[str, tuple[str, str]], where: str = "true") -> DataFrame:
+    """df with aggregates of each row's group, for groups of any size: rows of groups that fail `where` are left out.
+
+    Rows are dealt to SALTS parts of their group by a hash of `spread`. A part is aggregated by itself
+    (first SQL expression of a name), a group from its parts (second one), and rows meet their
+    group's aggregates part by part, so that no task has a whole group's rows.
+    """
+    own = df.withColumn("__salt", salt(*spread))
+    parts = own.groupBy(*keys, "__salt").agg(*[F.expr(part).alias(name) for name, (part, _) in aggregates.items()])
+    whole = parts.groupBy(*keys).agg(*[F.expr(total).alias(name) for name, (_, total) in aggregates.items()], salts_held().alias("__salts")).where(where)
+    return own.join(whole.withColumn("__salt", F.explode(salts_of("__salts"))).drop("__salts"), [*keys, "__salt"]).drop("__salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ documents with an equal band are candidates.
 Sets that are equal are merged first, by a 128-bit fingerprint. Then each bucket links its members
 to one of them only, the one that shares buckets most often (the text that the others were made from
 rather than one of its variants), so a bucket of m documents gives m - 1 candidates; these are
-confirmed on full sets and components formed. Buckets that still hold several components are compared in blocks,
-pairs from different components whose signatures agree well enough on full sets again. Every pair of a bucket is thus compared or already joined, and no bucket meets in one task.
+confirmed on full sets and components formed. Buckets that still hold several components are compared
+in blocks: the members outside the head's component with all members, on full sets again. Every pair of a
+bucket is thus compared or already joined, and no bucket meets in one task. Groups of equal sets and buckets
+of any size are split into parts wherever rows meet what is known of their group.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lower_ascii, sized, words
+from .common import components, cut, lower_ascii, salt, salts_held, salts_of, sized, with_group, words
 
 #: White space that ends words: space and the controls from tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 PERMUTATIONS, ROWS = 60, 5
-#: A pair of one block is confirmed on full sets if its signatures agree this much less than the threshold; about four standard deviations.
-MARGIN = 0.13
-BLOCK = 512
+#: A pair of one block is confirmed on full sets if its signatures agree this much less than the threshold; about six
+#: standard deviations: a pair at a threshold of 0.80 is passed over less than once in a million, beyond it more rarely still.
+MARGIN = 0.20
+#: Members and shingles of a block's side, about; pairs of one head that a task confirms.
+BLOCK, BLOCK_SHINGLES, PARTNERS = 512, 4_000_000, 1024
 
 _ODD = (np.random.default_rng(1).integers(0, 2**63, 4 + 4 * PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -73,7 +77,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _hash_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
-    column = batch.column(1)
+    column = batch.column(batch.num_columns - 1)
     flat, offsets = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
@@ -90,10 +94,10 @@ def _runs(sets: list[np.ndarray], limit: int = 1 << 16) -> Iterator[tuple[int, i
         yield begin, len(sets)
 
 
-def word_hashes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, words): a 64-bit hash of every word of the lower-cased text, in order."""
+def word_hashes(df: DataFrame, *columns: str, text: str) -> DataFrame:
+    """The columns, and `words`: a 64-bit hash of every word of the lower-cased text, in order."""
     split = words(lower_ascii(F.col(text)), SPACE)
-    return df.select(df[key].cast("long").alias("doc"), F.transform(split, lambda w: F.xxhash64(w)).alias("words"))
+    return df.select(*columns, F.transform(split, lambda w: F.xxhash64(w)).alias("words"))
 
 
 def _array(lists: np.ndarray, of: pa.DataType) -> pa.Array:
@@ -102,30 +106,37 @@ def _array(lists: np.ndarray, of: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.ravel(), of))
 
 
-def sketch(hashed: DataFrame, size: int) -> DataFrame:
-    """(doc, n_shingles, f1, f2, bands, values): set size, fingerprint, band keys and short signature of nonempty sets."""
+def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key, doc, n_shingles, f1, f2, bands, values) of every row: set size, fingerprint, band keys and short signature.
+
+    Rows without words or key have a size of 0 and nulls.
+    """
+    own = df.select(df[key].alias("key"), df[key].cast("long").alias("doc"), df[text].alias("text"))
+    hashed = word_hashes(own, "key", "doc", text="text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0)
-            sets = [shingles(h, size) for h in _hash_lists(batch)]
+            docs = batch.column(1)
+            sets = [shingles(h, size) if known else h[:0] for h, known in zip(_hash_lists(batch), docs.is_valid().to_pylist(), strict=True)]
             for a, b in _runs(sets):
                 full = [i for i in range(a, b) if len(sets[i])]
-                if not full:
-                    continue
-                own = [sets[i] for i in full]
-                signature = signatures(own, PERMUTATIONS)
-                starts = np.cumsum([0, *map(len, own)])[:-1]
-                flat = mix(np.concatenate(own) + _ODD[3])
-                prints = [np.add.reduceat(x, starts).view(np.int64) for x in (flat, mix(flat))]
-                keys = band_keys(signature, ROWS).view(np.int64)
-                short = (mix(signature) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-                yield pa.RecordBatch.from_arrays(
-                    [docs.take(pa.array(full)), pa.array([len(s) for s in own], pa.int64()), *map(pa.array, prints), _array(keys, pa.int64()), pa.array([row.tobytes() for row in short], pa.binary())],
-                    ["doc", "n_shingles", "f1", "f2", "bands", "values"],
-                )
-
-    return hashed.mapInArrow(run, "doc long, n_shingles long, f1 long, f2 long, bands array<long>, values binary")
+                sizes = pa.array([len(s) for s in sets[a:b]], pa.int64())
+                columns = [pa.nulls(b - a, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
+                if full:
+                    own = [sets[i] for i in full]
+                    signature = signatures(own, PERMUTATIONS)
+                    starts = np.cumsum([0, *map(len, own)])[:-1]
+                    flat = mix(np.concatenate(own) + _ODD[3])
+                    prints = [np.add.reduceat(x, starts).view(np.int64) for x in (flat, mix(flat))]
+                    keys = band_keys(signature, ROWS).view(np.int64)
+                    short = (mix(signature) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                    places = np.full(b - a, -1)
+                    places[np.array(full) - a] = np.arange(len(full))
+                    at = pa.array([None if k < 0 else int(k) for k in places], pa.int64())
+                    columns = [x.take(at) for x in (*map(pa.array, prints), _array(keys, pa.int64()), pa.array([row.tobytes() for row in short], pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), docs.slice(a, b - a), sizes, *columns], ["key", "doc", "n_shingles", "f1", "f2", "bands", "values"])
+
+    return hashed.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, doc long, n_shingles long, f1 long, f2 long, bands array<long>, values binary")
 
 
 def shingle_sets(hashed: DataFrame, size: int) -> DataFrame:
@@ -142,43 +153,60 @@ def shingle_sets(hashed: DataFrame, size: int) -> DataFrame:
     return hashed.mapInArrow(run, "doc long, shingles array<long>")
 
 
+def _sets(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(doc, shingles) of the given documents (doc), after their texts (doc, text) are picked."""
+    wanted = cut(docs.distinct())
+    return shingle_sets(word_hashes(texts.join(sized(wanted, 16), "doc", "left_semi"), "doc", text="text"), size)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= threshold * union on full sets. Only candidates' sets are made, after their texts (doc, text) are picked."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc"))
-    sets = cut(shingle_sets(word_hashes(texts.join(sized(wanted, 16), "doc", "left_semi"), "doc", "text"), size))
+    """The pairs (a, b) with 100 * intersection >= threshold * union on full sets. Only candidates' sets are made.
+
+    A document may be the `b` of any number of pairs: its set is copied once for each PARTNERS of them.
+    """
+    dealt = with_group(pairs, ["b"], ["a"], {"n": ("count(*)", "sum(n)")}).withColumn("parts", F.ceil(F.col("n") / PARTNERS).cast("int"))
+    pairs = cut(dealt.withColumn("part", F.pmod(F.hash("a"), F.col("parts"))).select("a", "b", "part"))
+    sets = cut(_sets(pairs.select("a").union(pairs.select("b")).toDF("doc"), texts, size))
     with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a")), "a")
-    with_b = with_a.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("of_b")), "b")
+    copies = pairs.select("b", "part").distinct().join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("of_b")), "b")
+    with_b = with_a.join(copies, ["b", "part"])
     both, sum_of = F.size(F.array_intersect("of_a", "of_b")).cast("long"), (F.size("of_a") + F.size("of_b")).cast("long")
-    return cut(with_b.where(both * 100 >= (sum_of - both) * threshold).select("a", "b"))
+    return cut(with_b.where(both * 100 >= (sum_of - both) * threshold).select("a", "b").distinct())
 
 
 def _block_links(members: DataFrame, values: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """Links (a, b) between different components that share a bucket, enough to join all that are linked.
 
-    A bucket is dealt into chunks of about BLOCK members and each two chunks meet in a task of their
-    own. There, pairs of different components whose signatures nearly reach the threshold are compared
-    on full sets; a link makes two components one, so a chunk pair gives fewer links than members.
+    Of a bucket (bucket, doc, n_shingles, head, component), the members outside the head's component meet all
+    members. Both sides are dealt into chunks, and each two chunks meet in a task of their own. There,
+    pairs of different components whose signatures nearly reach the threshold are compared on
+    full sets; a link makes two components one, so two chunks give fewer links than members.
     """
     least = (threshold / 100 - MARGIN) * 2 * PERMUTATIONS
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = sizes.where("n > 2 and lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
-    dealt = cut(members.join(open_, "bucket").withColumn("chunk", F.pmod(F.hash("doc"), F.col("chunks"))))
-    wanted = cut(dealt.select("doc").distinct())
-    sets = shingle_sets(word_hashes(texts.join(sized(wanted, 16), "doc", "left_semi"), "doc", "text"), size)
-    known = cut(values.join(sets, "doc").dropDuplicates(["doc"]))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc", "component").join(known, "doc")
+    known = {"own": ("max(if(doc = head, component, null))", "max(own)"), "lo": ("min(component)", "min(lo)"), "hi": ("max(component)", "max(hi)"), "n": ("count(*)", "sum(n)"), "load": ("sum(n_shingles)", "sum(load)")}
+    open_ = with_group(members, ["bucket"], ["doc"], known, "lo <> hi and n > 2").withColumn("other", F.col("component") != F.col("own"))
+    others = {"k": ("count_if(other)", "sum(k)"), "few": ("sum(if(other, n_shingles, 0))", "sum(few)")}
+    chunks = lambda n, load: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(load) / BLOCK_SHINGLES)).cast("int")
+    dealt = with_group(open_.select("bucket", "doc", "n_shingles", "component", "other", "n", "load"), ["bucket"], ["doc"], others)
+    dealt = cut(dealt.withColumns({"rows": chunks("k", "few"), "columns": chunks("n", "load"), "h": F.hash("doc")}).drop("n", "load", "k", "few"))
+    known = cut(values.join(_sets(dealt.select("doc"), texts, size), "doc").dropDuplicates(["doc"]))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("other").select("bucket", F.expr("pmod(h, rows)").alias("i"), every("columns").alias("j"), "doc", "component", F.lit(True).alias("left"))
+    right = dealt.select("bucket", every("rows").alias("i"), F.expr("pmod(h, columns)").alias("j"), "doc", "component", F.lit(False).alias("left"))
+    met = left.union(right).join(known, "doc")
 
     def block(rows: pa.Table) -> pa.Table:
-        docs, component = rows["doc"].to_numpy(), rows["component"].to_numpy().copy()
+        docs, component, side = rows["doc"].to_numpy(), rows["component"].to_numpy().copy(), rows["left"].to_numpy()
         signature = np.frombuffer(b"".join(rows["values"].to_pylist()), dtype=np.int16).reshape(len(docs), -1)
         lists = rows["shingles"].combine_chunks()
         flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
         length = np.diff(offsets)
+        columns = np.flatnonzero(~side)
         a, b = [], []
-        for k in range(len(docs) - 1):
-            rest = np.flatnonzero(component[k + 1 :] != component[k]) + k + 1
+        for k in np.flatnonzero(side):
+            rest = columns[component[columns] != component[k]]
+            small, large = np.minimum(length[rest], length[k]), np.maximum(length[rest], length[k])
+            rest = rest[small * 100 >= large * threshold]  # no intersection is larger than the smaller set
             near = rest[(signature[rest] == signature[k]).sum(1) >= least] if len(rest) else rest
             if not len(near):
                 continue
@@ -196,29 +224,31 @@ def _block_links(members: DataFrame, values: DataFrame, texts: DataFrame, size:
     return cut(met.groupBy("bucket", "i", "j").applyInArrow(block, "a long, b long").distinct())
 
 
-def link(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
-    """(doc, n_shingles, component) of every document that has words.
+PRINTS = ["f1", "f2", "n_shingles"]
+
+
+def linked_groups(rows: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """(f1, f2, n_shingles, first, salts, component) of every group of equal sets in rows, as sketch() makes them.
 
-    Documents are linked if 100 * intersection >= threshold * union of their shingle sets; the
-    component is the smallest key reachable by links. Null keys are left out.
+    `first` is the group's smallest document; groups are linked if 100 * intersection >= threshold *
+    union, and the component is the smallest document reachable. `salts` tells into which parts the group's rows fall.
     """
-    texts = df.where(F.col(key).isNotNull()).select(df[key].cast("long").alias("doc"), df[text].alias("text"))
-    rows = cut(sketch(word_hashes(texts, "doc", "text"), size))
-    prints = ["f1", "f2", "n_shingles"]
-    first = rows.groupBy(prints).agg(F.min("doc").alias("first"))
-    named = cut(rows.select("doc", *prints).join(first, prints).select("doc", "n_shingles", "first").distinct())
-    heads = rows.join(named.where("doc = first").select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    members = cut(heads.select("doc", F.explode("bands").alias("bucket")))
-    shared = cut(members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
+    own = rows.where("f1 is not null").select("doc", *PRINTS, salt("doc").alias("__salt"))
+    parts = own.groupBy(*PRINTS, "__salt").agg(F.min("doc").alias("first"))
+    groups = cut(parts.groupBy(*PRINTS).agg(F.min("first").alias("first"), salts_held().alias("salts")))
+    heads = rows.join(groups.select(F.col("first").alias("doc"), *PRINTS), ["doc", *PRINTS], "left_semi").dropDuplicates(["doc", *PRINTS])
+    members = cut(heads.select("doc", "n_shingles", F.explode("bands").alias("bucket")))
+    shared = cut(with_group(members, ["bucket"], ["doc"], {"n": ("count(*)", "sum(n)")}, "n > 1"))
     company = shared.groupBy("doc").agg(F.sum("n").alias("company"))
-    heads = shared.join(company, "doc").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("doc")).alias("minus"))).alias("best"))
-    members = cut(shared.join(heads.select("bucket", (-F.col("best.minus")).alias("head")), "bucket").select("bucket", "doc", "head"))
+    best = {"best": ("max(struct(company, -doc as minus))", "max(best)")}
+    named = with_group(shared.join(company, "doc"), ["bucket"], ["doc"], best)
+    members = cut(named.select("bucket", "doc", "n_shingles", (-F.col("best.minus")).alias("head")))
     links = confirm(members.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct(), texts, size, threshold)
     labels = cut(components(links))
-    labelled = members.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    more = _block_links(labelled, rows.select("doc", "values"), texts, size, threshold)
+    labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    more = _block_links(labelled, heads.select("doc", "values"), texts, size, threshold)
     labels = cut(components(links.union(more)))
-    return named.join(labels.withColumnRenamed("node", "first"), "first", "left").select("doc", "n_shingles", F.coalesce("component", "first").alias("component"))
+    return groups.join(labels.withColumnRenamed("node", "first"), "first", "left").withColumn("component", F.coalesce("component", "first"))
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
@@ -226,12 +256,13 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
 
     Words are split at ASCII white space after A-Z are lower-cased. A set is that of the runs of
     `size` words; with fewer words, the whole sequence is the one element. Null, empty and blank texts
-    have an empty set and are linked with nothing; so are null keys, whose component is null and
-    which are kept. Repeated rows give repeated rows. Keys that stand for several texts are one document
-    in each of its texts' groups. Other columns are ignored; an empty table gives an empty one.
+    have an empty set and are linked with nothing; so are null keys, whose size is 0, whose component is null
+    and which are kept. Repeated rows give repeated rows. Rows that share a key and not a text go each by
+    its own text, and all its texts' links count. Other columns are ignored; an empty table gives an empty one.
     """
-    found = link(df, key=key, text=text, size=size, threshold=threshold)
-    found = found.groupBy("doc").agg(F.max("n_shingles").alias("n"), F.min("component").alias("c"))
-    rows = df.select(df[key].alias(key), df[key].cast("long").alias("doc")).join(found, "doc", "left")
-    component = F.coalesce("c", "doc")
-    return rows.select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+    rows = cut(sketch(df, key, text, size))
+    texts = df.where(F.col(key).isNotNull()).select(df[key].cast("long").alias("doc"), df[text].alias("text"))
+    known = linked_groups(rows, texts, size, threshold).select(*PRINTS, "component", F.explode(salts_of("salts")).alias("__salt"))
+    own = rows.select("key", "doc", *PRINTS, salt("doc").alias("__salt")).join(known, [*PRINTS, "__salt"], "left")
+    component = F.coalesce("component", "doc")
+    return own.select(F.col("key").alias(key), F.col("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
