@@ -1,10 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
-A token is a run of letters, described by itself and by its first four to six letters. Which of these
-features count is told by how often they occur in toxic and in clean labelled documents; the most
-telling ones, a bounded number, form the lexicon. They also label tokens: those of toxic documents
-that hold a telling feature are toxic, all others are clean. On such labelled tokens, with their
-neighbours, the field's weights are learned by ascent of the conditional likelihood.
+A token is a run of letters and their marks, described by itself and by its first four to six characters. Which
+of these features count is told by how often they occur in toxic and in clean labelled documents; all
+telling ones form the lexicon, whose size the sample of documents bounds. They also label tokens: those of toxic
+documents that hold a telling feature are toxic, all others are clean. On such labelled tokens, with
+their neighbours, the field's weights are learned by ascent of the conditional likelihood: partitions sum
+their part of its gradient, and the driver holds one number for each feature.
 
 For a document, forward and backward passes over all tokens give each token's marginal. The score
 combines those of tokens with evidence, as the probability that one of them at least is toxic,
@@ -15,7 +16,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,15 +28,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .labelled import training_texts
+from .labelled import drawn, summed, training_texts
 
-#: Labelled documents of each class that are fitted on at most, about; features of the lexicon; labelled windows.
-PER_CLASS, LEXICON, WINDOWS, REACH = 10_000, 20_000, 60_000, 6
+#: Labelled documents of each class, and labelled windows, that are fitted on at most, about; tokens beside a window's own.
+PER_CLASS, WINDOWS, REACH = 10_000, 60_000, 6
+#: Partitions of the windows; steps of the ascent.
+PARTS, STEPS = 8, 30
 #: A feature is telling from so many toxic documents, this log odds ratio and this log likelihood gain on.
 LEAST_DOCS, LEAST_ODDS, LEAST_GAIN = 4, 2.5, 12.0
 PREFIXES = (4, 5, 6)
-TOKEN = r"[^\W\d_]+"
-_TOKEN = re.compile(TOKEN)
+
+
+def _marks() -> str:
+    """The code points of combining marks, as ranges of a character class."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)).startswith("M"):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+_TOKEN = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
 SPANS = "struct<score:double,spans:array<struct<start:int,end:int,marginal:double>>>"
 
 
@@ -114,28 +133,32 @@ def _offsets(text: str) -> list[int]:
 
 
 def _telling(counts: DataFrame, toxic: int, documents: int) -> DataFrame:
-    """Of (f, t, c), the LEXICON features that tell most, with their odds; t and c count toxic and clean uses."""
+    """Of (f, t, c), the features that tell enough, with their odds; t and c count toxic and clean uses."""
     t, c = F.col("t"), F.col("c")
     odds = F.log((t + 0.5) / (toxic + 1.0)) - F.log((c + 0.5) / (documents - toxic + 1.0))
     gain = t * F.log(t * documents / ((t + c) * max(toxic, 1)))
-    best = counts.where(t >= LEAST_DOCS).withColumn("odds", odds).where((F.col("odds") >= LEAST_ODDS) & (gain >= LEAST_GAIN))
-    return best.orderBy((F.col("odds") * F.sqrt("t")).desc(), "f").limit(LEXICON)
+    return counts.where(t >= LEAST_DOCS).withColumn("odds", odds).where((F.col("odds") >= LEAST_ODDS) & (gain >= LEAST_GAIN))
 
 
 def lexicon(taken: DataFrame) -> dict[str, float]:
-    """Log odds ratios of the LEXICON most telling features of labelled texts (doc, text, y).
+    """Log odds ratios of the telling features of labelled texts (doc, text, y), a bounded sample.
 
-    Candidates are found by the documents that hold them. Copies of a toxic document would make any
-    of its rare words telling, so candidates are counted again by the distinct pairs of neighbours
-    between which they stand, and have to pass by these counts too.
+    Candidates are found by the documents that hold them, counted in each batch before they are
+    shuffled. Copies of a toxic document would make any of its rare words telling, so candidates are
+    counted again by the distinct pairs of neighbours between which they stand, and have to pass by these counts too.
     """
     totals = taken.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1)))
-    each = taken.select("doc", "y", F.explode(tokens).alias("t"))
-    kinds = F.array(F.col("t"), *[F.when(F.length("t") > n, F.concat(F.lit(f"{n}:"), F.substring("t", 1, n))) for n in PREFIXES])
-    held = each.select("doc", "y", F.explode(F.array_distinct(F.array_compact(kinds))).alias("f")).groupBy("f", "doc", "y").agg(F.lit(1).alias("one"))
-    counts = held.groupBy("f").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    likely = {r["f"] for r in _telling(counts, totals["t"], totals["n"]).select("f").collect()}  # LEXICON at most
+
+    def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sums: tuple[Counter, Counter] = Counter(), Counter()
+            for body, y in zip(frame.text, frame.y, strict=True):
+                sums[y].update({f for t in set(_TOKEN.findall(body.lower())) for f in features(t)})
+            names = list(sums[0] | sums[1])
+            yield pd.DataFrame({"f": names, "t": [sums[1][f] for f in names], "c": [sums[0][f] for f in names]})
+
+    counts = taken.select("text", "y").mapInPandas(held, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    likely = {r["f"] for r in _telling(counts, totals["t"], totals["n"]).select("f").collect()}  # at most a LEAST_DOCS-th of the sample's features
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -150,55 +173,88 @@ def lexicon(taken: DataFrame) -> dict[str, float]:
     return {r["f"]: r["odds"] for r in _telling(counts, totals["t"], totals["n"]).select("f", "odds").collect()}
 
 
-def _learn(frame: pd.DataFrame, names: list[str], rounds: int = 120) -> np.ndarray:
-    """Weights of `names`, bias and four transitions that maximise the likelihood of labelled windows.
+def likelihood(f: np.ndarray, y: np.ndarray, w: np.ndarray, times: np.ndarray | int = 1) -> np.ndarray:
+    """Log likelihood of labelled windows and its gradient by w: features' weights, bias and four transitions.
 
-    Rows hold lists of equal length: the tokens' feature indices (-1: none) and labels (-1: outside the text).
+    f has the tokens' feature indices (-1: none), y their labels (-1: outside the text), a row for each window;
+    a window counts as often as `times` says.
     """
-    width = 2 * REACH + 1
-    f = np.array(frame.features.tolist(), dtype=np.int64).reshape(len(frame), width, -1)
-    y = np.array(frame.labels.tolist(), dtype=np.int64)
+    n = len(w) - 5
+    width, k = y.shape[1], len(y)
+    times = np.broadcast_to(times, k)[:, None]
     inside = y >= 0
-    n, k = len(names), len(frame)
-    at = np.where(f < 0, n + 5, f)  # the last weight is always 0
-    w = np.zeros(n + 6)
-    w[n] = -4.0
-    memory = np.full(n + 6, 1e-8)
     pairs = inside[:, 1:] & inside[:, :-1]
-    for _ in range(rounds):
-        emit = np.where(inside, w[at].sum(2) + w[n], 0.0)
-        t = w[n + 1 : n + 5].reshape(2, 2)
-        score = np.stack([np.zeros_like(emit), emit], 2)
-        forward, backward = np.zeros((k, width, 2)), np.zeros((k, width, 2))
-        forward[:, 0] = score[:, 0]
-        for i in range(1, width):
-            step = forward[:, i - 1, :, None] + np.where(pairs[:, i - 1, None, None], t, 0.0)
-            forward[:, i] = np.logaddexp(step[:, 0], step[:, 1]) + score[:, i]
-        for i in range(width - 2, -1, -1):
-            step = np.where(pairs[:, i, None, None], t, 0.0) + (score[:, i + 1] + backward[:, i + 1])[:, None, :]
-            backward[:, i] = np.logaddexp(step[:, :, 0], step[:, :, 1])
-        whole = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        p = np.exp(forward[:, :, 1] + backward[:, :, 1] - whole[:, None])
-        miss = np.where(inside, y - p, 0.0)
-        slope = np.zeros(n + 6)
-        slope[n] = miss.sum()
-        slope += np.bincount(at.ravel(), np.repeat(miss.ravel(), at.shape[2]), n + 6)
-        for a in (0, 1):
-            for b in (0, 1):
-                expected = np.exp(forward[:, :-1, a] + t[a, b] + (score[:, 1:] + backward[:, 1:])[:, :, b] - whole[:, None])
-                seen = (y[:, :-1] == a) & (y[:, 1:] == b)
-                slope[n + 1 + 2 * a + b] = ((seen - expected) * pairs).sum()
-        slope -= 0.01 * w
-        slope[-1] = 0
-        memory += slope**2
-        w += 0.5 * slope / np.sqrt(memory)
-    return w[:-1]
+    at = np.where(f < 0, n, f)
+    emit = np.where(inside, np.append(w[:n], 0.0)[at].sum(2) + w[n], 0.0)
+    t = w[n + 1 :].reshape(2, 2)
+    score = np.stack([np.zeros_like(emit), emit], 2)
+    forward, backward = np.zeros((k, width, 2)), np.zeros((k, width, 2))
+    forward[:, 0] = score[:, 0]
+    for i in range(1, width):
+        step = forward[:, i - 1, :, None] + np.where(pairs[:, i - 1, None, None], t, 0.0)
+        forward[:, i] = np.logaddexp(step[:, 0], step[:, 1]) + score[:, i]
+    for i in range(width - 2, -1, -1):
+        step = np.where(pairs[:, i, None, None], t, 0.0) + (score[:, i + 1] + backward[:, i + 1])[:, None, :]
+        backward[:, i] = np.logaddexp(step[:, :, 0], step[:, :, 1])
+    whole = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+    # A place outside the text has both labels of the same weight, which counts each labelling twice.
+    outside = (~inside).sum(1) * math.log(2)
+    p = np.exp(forward[:, :, 1] + backward[:, :, 1] - whole[:, None])
+    miss = np.where(inside, y - p, 0.0) * times
+    out = np.zeros(n + 6)
+    out[0] = (emit * (y == 1) * times).sum() - ((whole - outside) * times[:, 0]).sum()
+    out[1 : n + 1] = np.bincount(at.ravel(), np.repeat(miss.ravel(), at.shape[2]), n + 1)[:n]
+    out[n + 1] = miss.sum()
+    for a in (0, 1):
+        for b in (0, 1):
+            expected = np.exp(forward[:, :-1, a] + t[a, b] + (score[:, 1:] + backward[:, 1:])[:, :, b] - whole[:, None])
+            seen = (y[:, :-1] == a) & (y[:, 1:] == b)
+            out[n + 2 + 2 * a + b] = ((seen - expected) * pairs * times).sum()
+            out[0] += t[a, b] * (seen * pairs * times).sum()
+    return out
+
+
+def ascend(evaluate: Callable[[np.ndarray], np.ndarray], w: np.ndarray, penalty: float = 0.01, steps: int = STEPS, memory: int = 8) -> np.ndarray:
+    """The maximum of evaluate(w)[0] less penalty / 2 times squared weights, by steps along the gradient that past steps' curvature scales (L-BFGS)."""
+
+    def full(w: np.ndarray) -> tuple[float, np.ndarray]:
+        found = evaluate(w)
+        return found[0] - penalty / 2 * (w @ w), found[1:] - penalty * w
+
+    value, slope = full(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, held = slope.copy(), []
+        for s, d in reversed(past):
+            a = (s @ q) / (s @ d)
+            q -= a * d
+            held.append(a)
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1.0 / max(np.abs(slope).max(), 1e-9)
+        for (s, d), a in zip(past, reversed(held), strict=True):
+            q += (a - (d @ q) / (s @ d)) * s
+        size = min(1.0, 4.0 / max(np.abs(q).max(), 1e-9))  # no weight moves further than this at once
+        for _ in range(6):
+            new, new_slope = full(w + size * q)
+            if new > value:
+                break
+            size /= 4
+        else:
+            break
+        s, d = size * q, slope - new_slope
+        if s @ d > 1e-10:
+            past = [*past, (s, d)][-memory:]
+        done = new - value < 1e-5 * abs(value)
+        w, value, slope = w + s, new, new_slope
+        if done:
+            break
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: int = 3, rest: int = 1, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> Field:
     """Learn a field from a bounded sample of labelled documents that are not held out.
 
-    Without toxic labelled documents the lexicon is empty and every score near 0.
+    Which windows are learned from, and what is learned, depends on labels and texts alone. Without toxic
+    labelled documents the lexicon is empty and every score near 0.
     """
     taken = training_texts(docs, labels, label, modulus, rest, per_class, key=key, text=text)
     odds = lexicon(taken)
@@ -211,29 +267,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus: in
     def label_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, body, toxic in zip(frame.doc, frame.text, frame.y, strict=True):
+            for body, toxic in zip(frame.text, frame.y, strict=True):
+                draw = zlib.crc32(body.encode())
                 tokens = _TOKEN.findall(body.lower())
                 held = [[places[x] for x in features(t) if x in places] for t in tokens]
                 spots = [i for i, h in enumerate(held) if h]
                 if tokens and not spots:
-                    spots = [doc % len(tokens)]  # clean surroundings are learned from too
+                    spots = [draw % len(tokens)]  # clean surroundings are learned from too
                 for i in spots:
                     around = range(i - REACH, i + REACH + 1)
                     own = [held[j] if 0 <= j < len(tokens) else [] for j in around]
-                    rows.append((doc, i, [x for h in own for x in h + [-1] * (depth - len(h))], [-1 if not 0 <= j < len(tokens) else int(toxic and bool(held[j])) for j in around]))
-            yield pd.DataFrame(rows, columns=["doc", "spot", "features", "labels"])
+                    f = np.array([x for h in own for x in h + [-1] * (depth - len(h))], dtype=np.int32)
+                    y = np.array([-1 if not 0 <= j < len(tokens) else int(toxic and bool(held[j])) for j in around], dtype=np.int8)
+                    rows.append((draw, i, f.tobytes(), y.tobytes()))
+            yield pd.DataFrame(rows, columns=["draw", "spot", "features", "labels"])
 
-    marked = cut(taken.mapInPandas(label_tokens, "doc long, spot int, features array<int>, labels array<int>"))
+    marked = cut(taken.select("text", "y").mapInPandas(label_tokens, "draw long, spot int, features binary, labels binary"))
     share = min(1.0, WINDOWS / max(marked.count(), 1))
-    some = marked.where(F.pmod(F.xxhash64("doc", "spot"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    some = marked.where(drawn(share, F.col("draw"), F.col("spot"))).groupBy("features", "labels").agg(F.count("*").alias("times"))
+    some = cut(some.repartition(PARTS))  # WINDOWS rows at most, about, however many documents there are
+    n = len(names)
 
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(frames), ignore_index=True).sort_values(["doc", "spot"])  # WINDOWS rows, about
-        yield pd.DataFrame({"w": [_learn(whole, names).tolist()]})
+    def evaluate(w: np.ndarray) -> np.ndarray:
+        def own(frame: pd.DataFrame) -> np.ndarray:
+            f = np.frombuffer(b"".join(frame.features), dtype=np.int32).reshape(len(frame), width, -1)
+            return likelihood(f, np.frombuffer(b"".join(frame.labels), dtype=np.int8).reshape(len(frame), width), w, frame.times.to_numpy())
 
-    w = some.repartition(1).mapInPandas(learn, "w array<double>").first()["w"]
-    n = len(names)
-    model = Field(dict(zip(names, w, strict=False)), w[n], ((w[n + 1], w[n + 2]), (w[n + 3], w[n + 4])), 1.0, 0.0)
+        return summed(some, own, (n + 6,), pools=0)  # PARTS rows
+
+    start = np.array([*(odds[f] for f in names), -4.0, 0.0, 0.0, 0.0, 0.0])
+    w = ascend(evaluate, start)
+    model = Field(dict(zip(names, w.tolist(), strict=False)), float(w[n]), ((float(w[n + 1]), float(w[n + 2])), (float(w[n + 3]), float(w[n + 4]))), 1.0, 0.0)
 
     # Calibration by logistic regression of the labels on the pooled evidence, counted in fixed bins.
     @F.pandas_udf("double")

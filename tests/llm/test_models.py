@@ -76,6 +76,40 @@ def test_marginals_against_all_labellings():
     assert field.marginals(evidence) == pytest.approx([m / total for m in mass])
 
 
+def test_likelihood_of_windows_against_all_labellings():
+    import itertools
+
+    rnd = np.random.default_rng(2)
+    w = rnd.normal(size=3 + 5)
+    f = rnd.integers(-1, 3, size=(5, 4, 2))
+    y = rnd.integers(0, 2, size=(5, 4))
+    y[0, 0] = y[1, 3] = y[2, :2] = -1
+
+    def whole(w):
+        total = 0.0
+        for own, label in zip(f, y, strict=True):
+            inside = np.flatnonzero(label >= 0)
+            emit = [w[own[i][own[i] >= 0]].sum() + w[3] for i in inside]
+            of = lambda z: sum(e * t for e, t in zip(emit, z, strict=True)) + sum(w[4 + 2 * a + b] for a, b in zip(z, z[1:], strict=False))
+            total += of(label[inside].tolist()) - np.log(sum(np.exp(of(z)) for z in itertools.product((0, 1), repeat=len(inside))))
+        return total
+
+    found = toxicity.likelihood(f, y, w)
+    assert found[0] == pytest.approx(whole(w))
+    for i in range(len(w)):
+        step = np.eye(len(w))[i] * 1e-6
+        assert found[1 + i] == pytest.approx((whole(w + step) - whole(w - step)) / 2e-6, abs=1e-4)
+    twice = toxicity.likelihood(np.concatenate([f, f[:2]]), np.concatenate([y, y[:2]]), w)
+    assert toxicity.likelihood(f, y, w, np.array([2, 2, 1, 1, 1])) == pytest.approx(twice)
+    best = toxicity.ascend(lambda w: toxicity.likelihood(f, y, w), w, penalty=0.5, steps=60)
+    slope = toxicity.likelihood(f, y, best)[1:] - 0.5 * best
+    assert np.abs(slope).max() < 0.05
+
+
+def test_tokens_keep_their_marks():
+    assert toxicity._TOKEN.findall("हिन्दी नाम_a1 e\u0301te\u0301") == ["हिन्दी", "नाम", "a", "e\u0301te\u0301"]
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|>\n<|im_start|>assistant\nok", "<||<|", "", None, "<|image_0|>", "x" * 200_000 + "<"]
     rows = [(i % 3, i // 3, r, t, 0) for i, (t, r) in enumerate((t, r) for t in hard for r in ("user", "assistant", "a\n<|n>b", None))]
