@@ -214,16 +214,21 @@ def brute_hits(docs, items, size):
                 for p in range(len(w) - n + 1):
                     if w[p : p + n] == y[k : k + n]:
                         hit |= set(range(p, p + n))
-                        names.add(str(item))
+                        names |= {str(item)} - {"None"}
         out.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination(spark, monkeypatch, broadcast):
+    if not broadcast:  # as if nothing were small enough, and every word of a hundredth frequent
+        monkeypatch.setattr(decontaminate, "fits", lambda *_: False)
+        monkeypatch.setattr(decontaminate, "sized", lambda df, *_: df)
+        monkeypatch.setattr(decontaminate, "FREQUENT", 100)
     rnd = random.Random(8)
     vocabulary = ["the", "of", "a"] * 6 + [f"w{i}é" for i in range(40)]
     text = lambda n: " ".join(rnd.choices(vocabulary, k=n))
-    items = [(k, text(rnd.randint(1, 40)) if k % 4 else text(3)) for k in range(25)] + [(30, None), (31, "!!"), (3, text(15)), (40, "the of the of the of the of the of the of")]
+    items = [(k, text(rnd.randint(1, 40)) if k % 4 else text(3)) for k in range(25)] + [(30, None), (31, "!!"), (3, text(15)), (40, "the of the of the of the of the of the of"), (None, "w1é the w2é of w3é a w4é the w5é of w6é")]
     docs = []
     for i in range(80):
         parts = [text(rnd.randint(0, 30))]
@@ -232,7 +237,7 @@ def test_decontamination(spark):
             b = rnd.randint(0, max(0, len(x) - 12))
             parts += [" ".join(x[b : b + rnd.randint(5, 30)]).upper().replace("É", "é"), text(5)]
         docs.append((i, ", ".join(parts)))
-    docs += [(1, None), (2, ""), (None, docs[1][1]), (5, docs[5][1]), (90, "the of " * 300)]
+    docs += [(81, items[-1][1] + " the"), (1, None), (2, ""), (None, docs[1][1]), (5, docs[5][1]), (90, "the of " * 300)]
     rows = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.report(table(spark, docs), rows, size=10).collect()
     assert sorted(map(tuple, got), key=str) == brute_hits(docs, items, 10)
@@ -249,3 +254,16 @@ def test_proximity(spark):
     items = spark.createDataFrame([(7, "big red house"), (8, None)], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.proximity_matches(docs, items, 1).collect()}
     assert found == {(1, 7)}
+    rnd = random.Random(5)
+    texts = [(i, " ".join(rnd.choices("abcdefg", k=60))) for i in range(12)]
+    phrases = [(k, " ".join(rnd.choices("abcdefgz", k=rnd.randint(1, 4)))) for k in range(12)]
+    got = {tuple(r) for r in decontaminate.proximity_matches(table(spark, texts), spark.createDataFrame(phrases, "item_id long, text string"), 2).collect()}
+    count = {w: sum(t.split().count(w) for _, t in texts) for w in "abcdefgz"}
+    want = set()
+    for k, x in phrases:
+        own, reach = set(x.split()), len(x.split()) + 2
+        rarest = min(own, key=lambda w: (count[w], w))
+        for i, t in texts:
+            w = t.split()
+            want |= {(i, k, p) for p in range(60) if w[p] == rarest and own <= set(w[max(0, p - reach + 1) : p + reach])}
+    assert got == want
