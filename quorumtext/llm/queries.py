@@ -114,7 +114,7 @@ ORACLE_SQL: dict[str, str] = {
             sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
             sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
             sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
-            sum(24 + length(role) + length(replace(text, '<|', '<||')))::bigint as formatted_chars
+            sum(24 + length(role) + length(replace(text, '<|', '<||')))::bigint as formatted_chars, 0::bigint as attachments, 0::bigint as expanded_tokens
         from turns group by conv_id
     """,
 }
