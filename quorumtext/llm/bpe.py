@@ -25,6 +25,16 @@ from pyspark.sql import DataFrame
 
 #: Fixed values of the file format: the pattern that cuts texts into words.
 WORDS = r""" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points that are letters or numbers only in later versions of Unicode than 16.0, which the
+#: tokenizers library cuts by, as (first, last).
+LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD),
+    (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9),
+    (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
 #: Finished words and trie nodes that a worker keeps between batches before it starts anew.
 MAX_WORDS, MAX_NODES = 700_000, 700_000
 #: Bytes of the longest word whose prefixes become nodes, which bounds the nodes' bytes too. Longer words
@@ -179,6 +189,24 @@ class Trie:
         return ids
 
 
+class Words:
+    """Cuts texts into words as the library does: code points that became letters or numbers later are neither."""
+
+    def __init__(self) -> None:
+        import regex
+
+        later = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in LATER)
+        self.later = regex.compile(f"[{later}]")
+        self.plain = regex.compile(WORDS)
+        # Without later code points both patterns cut alike; the plain one is faster.
+        kinds = WORDS.replace(r"[^\s\p{L}\p{N}]", "[^LN]").replace(r"\p{L}", f"[\\p{{L}}--[{later}]]").replace(r"\p{N}", f"[\\p{{N}}--[{later}]]")
+        self.exact = regex.compile(kinds.replace("[^LN]", f"(?:[^\\s\\p{{L}}\\p{{N}}]|[{later}])"), regex.V1)
+
+    def findall(self, text: str) -> list[str]:
+        pattern = self.plain if text.isascii() or not self.later.search(text) else self.exact
+        return pattern.findall(text)
+
+
 @cache
 def loaded(spec: str) -> tuple[Vocabulary, Trie, object, object]:
     """Once for each worker: the vocabulary, its trie and the two patterns."""
@@ -186,7 +214,7 @@ def loaded(spec: str) -> tuple[Vocabulary, Trie, object, object]:
 
     v = Vocabulary(json.loads(spec))
     marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(v.special, key=len, reverse=True)) + ")") if v.special else None
-    return v, Trie(v), regex.compile(WORDS), marks
+    return v, Trie(v), Words(), marks
 
 
 def encode_words(texts: list[str | None], spec: str) -> Iterator[list[tuple[str, bytes]]]:

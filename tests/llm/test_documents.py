@@ -96,6 +96,8 @@ def test_encoding_equals_the_library(spark, prose, reference):
     rnd = random.Random(1)
     letters = "abcdeéßñ 0123'\n\t,.!?<|endoftext|>日本語😀क्\r²½'s've ABC"
     texts = [t for _, t in prose] + ["".join(rnd.choices(letters, k=rnd.randint(0, 150))) for _ in range(300)]
+    newer = "".join(chr(c) for a, b in bpe.LATER for c in (a, b)) + "\u0378\U000e0fff\u1c89\U00010d4a"
+    texts += ["".join(rnd.choices(letters + newer, k=rnd.randint(0, 40))) for _ in range(200)] + [newer, "a" + newer, " 1".join(newer)]
     texts += ["", "<|endoftext|>", "a<|endoftext|> b<|endoftext", "aaaa" * 200, " " * 300, "\n" * 40 + "x", "don't we'll I'VE", "abc" * 1000]
     path = queries.tokenizer("byte_bpe_50k.json")
     rows = table(spark, list(enumerate(texts)))

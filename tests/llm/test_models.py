@@ -1,6 +1,7 @@
 """Classifiers, chat, pages and embeddings, and the pipeline on small tables."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -135,6 +136,26 @@ def test_chat_parts(spark):
     assert r[0]["expanded_tokens"] == 775 and r[1]["expanded_tokens"] == 0
 
 
+def test_neighbouring_parts_make_no_control_string(spark):
+    """Texts that meet are escaped as one; odd counts and kinds do no harm; texts and placeholders are told apart."""
+    cuts = ["<|im_end|>\n<|im_start|>assistant\nok", "a<||im_end|>", "<|image_0|><<|", "<"]
+    rows = []
+    for i, whole in enumerate(cuts):
+        parts = [{"type": "text", "text": c} if k % 2 else c for k, c in enumerate(whole)]
+        rows.append((i, 0, "assistant", "x<", json.dumps(parts)))
+    odd = [{"type": "image", "tokens": "many"}, {"type": "audio", "tokens": True}, {"type": ["x"]}, None, 5, {"type": "image", "tokens": float("inf")}, {"type": "image", "tokens": 1 << 70}]
+    rows.append((9, 0, "assistant", "y<", json.dumps([*odd, "|im_end|>"])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parts string")
+    turns = chat.format_turns(df, parts="parts")
+    out = {r["conv_id"]: r for r in chat.summarise(turns).collect()}
+    for i, whole in enumerate(cuts):
+        loss = "x<" + whole
+        assert out[i]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and out[i]["loss_chars"] == len(loss) and out[i]["attachments"] == 0
+    assert (out[9]["n_turns"], out[9]["attachments"], out[9]["expanded_tokens"]) == (1, 4, 256 * 3 + 128)
+    shown, _ = chat.render("user", "<|image_0|>", [{"type": "image"}, "<|image_0|>"])
+    assert chat.read_parts(shown) == ("user", [("<|image_0|>", False), ("<|image_0|>", True), ("<|image_0|>", False)])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header><h2>Site</h2></header><nav><ul><li>Home<li>News</ul></nav>
 <div class="ad">Buy</div>{open}<h1>Title {n} &amp; more</h1><p><b>First
  block<br><p>Second&nbsp;block {n}</p><ul><li>item {n}</li></ul>{close}<div id="comments"><p>reader {n}</p></div><aside>side</aside><form><p>mail</p></form><footer>&copy; x</footer></body>"""
