@@ -8,8 +8,9 @@ sums that cannot reach the height any more are given up.
 
 Vectors that share a label and a filter are compared by cosine in double precision. Equal vectors are
 merged first and counted. A filter's members are dealt into chunks, each two chunks meet in a
-task of their own, and a pair is reported only from the first filter that both have, so it is
-found once.
+task of their own, and a pair counts only in the first filter that both have, so it is counted
+once. A task reports, for each of its vectors, how many others it links with and one vector of its
+group; so what is written grows with the vectors, not with the pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, salt, salts_held, salts_of
 
 #: Words of each block's code, blocks, height of a cap in standard deviations, and filters that a vector has at least.
 WORDS, BLOCKS, HEIGHT, LEAST = 96, 2, 2.9, 24
@@ -106,49 +107,76 @@ def usable(column: str) -> str:
     return f"{column} is not null and size({column}) > 0 and forall({column}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({column}, x -> x <> 0)"
 
 
+def packed(x: np.ndarray) -> np.ndarray:
+    """The same numbers in four bytes each, if these hold them."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return small if (small == x).all() else x
+
+
+def unpacked(raw: list[bytes], dimension: int) -> np.ndarray:
+    """Unit vectors of packed ones, in double precision."""
+    x = np.stack([np.frombuffer(b, dtype=np.float32 if len(b) == 4 * dimension else np.float64).astype(np.float64) for b in raw])
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def gathered(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place the smallest label of those that the links (a, b) join it with, itself included."""
+    label = label.copy()
+    while True:
+        before, low = label.copy(), np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        if (before == label).all():
+            return label
+
+
 def links(df: DataFrame, threshold: float) -> DataFrame:
-    """(label, a, b) of distinct vectors (vec, label, v: array<double>) with cosine >= threshold; a < b."""
+    """(node, mate, n) of distinct vectors (node, label, v: array<double>, copies): in parts, how many rows are linked to it
+    by cosine >= threshold, and a node reachable by links of the part. Nodes without links have no row."""
 
     def filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             for d, same in f.groupby(f.v.map(len)):
-                x = np.stack(same.v)
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for begin in range(0, len(x), 2000):
+                for begin in range(0, len(same), 2000):
                     part = same.iloc[begin : begin + 2000]
-                    units = x[begin : begin + 2000]
-                    yield pd.DataFrame({"vec": part.vec, "label": part.label, "d": int(d), "unit": [u.tobytes() for u in units], "filters": decode(units)})
+                    raw = [packed(v).tobytes() for v in part.v]
+                    found = decode(unpacked(raw, d))
+                    yield pd.DataFrame({"node": part.node, "label": part.label, "copies": part.copies, "d": int(d), "v": raw, "filters": [x.astype(np.int32).tobytes() for x in found], "filter": found})
 
-    found = cut(df.select("vec", "label", "v").mapInPandas(filtered, "vec long, label long, d int, unit binary, filters array<long>"))
-    each = found.select("vec", "label", "d", F.explode("filters").alias("filter"))
+    found = cut(df.select("node", "label", "v", "copies").mapInPandas(filtered, "node long, label long, copies long, d int, v binary, filters binary, filter array<int>"))
+    each = found.select("node", "label", "d", F.explode("filter").alias("filter"))
     sizes = each.groupBy("label", "d", "filter").agg(F.count("*").alias("n")).where("n > 1").select("label", "d", "filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    dealt = each.join(sizes, ["label", "d", "filter"]).withColumn("chunk", F.pmod(F.hash("vec"), F.col("chunks")))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("label", "d", "filter", "vec", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    full = met.join(found.select("vec", "unit", "filters"), "vec")
+    dealt = each.join(sizes, ["label", "d", "filter"]).withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("label", "d", "filter", "node", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    full = met.join(found.select("node", "copies", "v", "filters"), "node")
 
     def compare(t: pa.Table) -> pa.Table:
-        label, which = t["label"][0].as_py(), t["filter"][0].as_py()
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        vec, chunk = t["vec"].to_numpy(), t["chunk"].to_numpy()
-        units = np.frombuffer(b"".join(t["unit"].to_pylist())).reshape(len(vec), -1)
-        lists = t["filters"].combine_chunks()
-        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        which, d, i, j = (t[c][0].as_py() for c in ("filter", "d", "i", "j"))
+        node, chunk, copies = t["node"].to_numpy(), t["chunk"].to_numpy(), t["copies"].to_numpy()
+        units = unpacked(t["v"].to_pylist(), d)
+        lists = [np.frombuffer(b, dtype=np.int32) for b in t["filters"].to_pylist()]
+        flat, offsets = np.concatenate(lists), np.cumsum([0, *map(len, lists)])
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        count = np.zeros(len(node), dtype=np.int64)
         a, b = [], []
         for begin in range(0, len(left), 512):
             rows = left[begin : begin + 512]
             near = units[rows] @ units[right].T >= threshold
-            near &= (vec[rows][:, None] < vec[right]) if i == j else (vec[rows][:, None] != vec[right])
+            near &= (node[rows][:, None] < node[right]) if i == j else (node[rows][:, None] != node[right])
             if near.any():
                 near &= ~_met_before(flat, offsets, rows, right, which)
+                count[rows] += near @ copies[right]
+                count[right] += near.T @ copies[rows]
                 x, y = np.nonzero(near)
-                a.append(np.minimum(vec[rows[x]], vec[right[y]]))
-                b.append(np.maximum(vec[rows[x]], vec[right[y]]))
-        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
-        return pa.table({"label": pa.array([label] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                a.append(rows[x])
+                b.append(right[y])
+        label = gathered(node, np.concatenate(a), np.concatenate(b)) if a else node
+        held = np.flatnonzero(count)
+        return pa.table({"node": node[held], "mate": label[held], "n": count[held]})
 
-    return full.groupBy("label", "d", "filter", "i", "j").applyInArrow(compare, "label long, a long, b long")
+    return full.groupBy("label", "d", "filter", "i", "j").applyInArrow(compare, "node long, mate long, n long")
 
 
 def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -161,20 +189,19 @@ def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedd
     with each other. A null key has a null component and is kept. Other columns are ignored.
     """
     own = df.select(df[key].alias(key), df[key].cast("long").alias("vec"), df[label].cast("long").alias("label"), df[vector].cast("array<double>").alias("v"))
-    good = own.where("vec is not null and label is not null").where(usable("v"))
-    merged = good.groupBy("label", "v").agg(F.min("vec").alias("head"), F.count("*").alias("copies"))
-    # A key may stand on several rows; heads are told apart by label, vector and key.
-    heads = cut(merged.withColumn("node", F.xxhash64("label", "v", "head")))
-    pairs = cut(links(heads.select(F.col("node").alias("vec"), "label", "v"), threshold))
-    sizes = heads.select("node", "copies")
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    counts = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("near")).withColumnRenamed("a", "node")
-    groups = components(pairs.select("a", "b"))
-    named = heads.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    rows = own.withColumn("usable", F.expr(f"vec is not null and label is not null and {usable('v')}")).withColumn("__salt", salt("vec"))
+    # Equal vectors are one node; its rows are counted, and find it again, in parts.
+    parts = rows.where("usable").groupBy("label", "v", "__salt").agg(F.min("vec").alias("head"), F.count("*").alias("copies"))
+    whole = parts.groupBy("label", "v").agg(F.min("head").alias("head"), F.sum("copies").alias("copies"), salts_held().alias("salts"))
+    nodes = cut(whole.withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    found = cut(links(nodes, threshold).groupBy("node", "mate").agg(F.sum("n").alias("n")))
+    near = found.groupBy("node").agg(F.sum("n").alias("near"))
+    groups = components(found.select(F.col("node").alias("a"), F.col("mate").alias("b")))
+    named = nodes.drop("v").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = named.groupBy("group").agg(F.min("head").alias("first"))
-    known = named.join(least, "group").join(counts, "node", "left").select("label", "v", F.col("first"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    rows = own.withColumn("usable", F.expr(f"vec is not null and label is not null and {usable('v')}"))
-    out = rows.where("usable").join(known, ["label", "v"]).select(key, "vec", "first", "n")
+    known = named.select("node", "copies", "group").join(least, "group").join(near, "node", "left").select("node", "first", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    placed = nodes.join(known, "node").select("label", "v", F.explode(salts_of("salts")).alias("__salt"), "first", "n")
+    out = rows.where("usable").join(placed, ["label", "v", "__salt"]).select(key, "vec", "first", "n")
     rest = rows.where("not usable").select(key, "vec", F.col("vec").alias("first"), F.lit(0).alias("n"))
     every = out.union(rest)
     return every.select(key, F.col("n").cast("long").alias("n_links"), F.col("first").alias("component_id"), F.coalesce(F.col("vec") == F.col("first"), F.lit(True)).alias("kept"))

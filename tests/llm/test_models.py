@@ -238,6 +238,13 @@ def test_embeddings(spark):
     assert capfilter.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_of_a_part_are_kept_whole():
+    a, b = np.array([0, 1, 4, 3]), np.array([1, 2, 3, 2])
+    assert capfilter.gathered(np.array([5, 3, 9, 1, 7, 2]), a, b).tolist() == [1, 1, 1, 1, 1, 2]
+    x = np.array([1.0, 0.1])
+    assert len(capfilter.packed(x).tobytes()) == 16 and len(capfilter.packed(x.astype(np.float32).astype(float)).tobytes()) == 8
+
+
 def test_decoded_caps_hold_the_vector():
     rnd = np.random.default_rng(1)
     units = rnd.normal(size=(20, 32))
