@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 
 import numpy as np
@@ -205,10 +206,71 @@ def test_copies_and_rare_slots_are_no_template(spark):
 def test_wrappers_have_optional_and_repeated_groups():
     one = wrappers.fold(["h1", "p", "p", "p", "ul/li", "ul/li"])
     two = wrappers.fold(["h1", "p", "figure", "p"])
-    wrapper = wrappers.align(one, two)
-    shown = wrappers.expression(wrapper)
+    wrapper = wrappers.align([(t, 1) for t in one], [(t, 1) for t in two])
+    shown = wrappers.expression(wrapper, 2)
     assert one == ["h1", ("+", "p"), ("+", "ul/li")] and "(<p>#)+" in shown and ")?" in shown and "|" not in shown
-    assert {"h1", "p", "ul/li", "figure"} == set(wrappers._paths(wrapper))
+    assert wrapper[0] == ("h1", 2) and wrapper[1] == (("+", "p"), 2)
+    # Every block of a stream that the wrapper was made of is bound, in order, to a place that holds its token.
+    for page in (["h1", "p", "p", "p", "ul/li", "ul/li"], ["h1", "p", "figure", "p"]):
+        places = wrappers.bound(wrapper, page)
+        assert places == sorted(places) and all(t in wrappers.bare(wrapper[p][0]) for t, p in zip(page, places, strict=True))
+    assert wrappers.bound(wrapper, ["x", "h1", "p"]) == [-1, 0, 1]
+
+
+def test_folded_streams_stand_for_all_their_blocks():
+    rnd = random.Random(3)
+
+    def spelled(token):
+        return token if isinstance(token, str) else f"({''.join(map(spelled, token[1:]))})+"
+
+    for _ in range(300):
+        page = rnd.choices("abc", k=rnd.randint(0, 40))
+        found = wrappers.folded(page)
+        assert sum(n for _, n in found) == len(page) and re.fullmatch("".join(spelled(t) for t, _ in found), "".join(page))
+
+
+def test_places_and_not_texts_are_template(spark):
+    """One text at one path is template where the wrapper has it on most pages, and content where it stands besides."""
+    page = lambda i, more="": f"<div><p>Home</p><p>Story {i}</p>{more}<p>Contact us</p></div>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(10)] + [(10, "http://a.example/", page(10, "<p>Home</p>"))]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(10)) and got[10] == "Story 10\nHome"
+
+
+def test_many_streams_of_a_host_make_one_wrapper(spark, monkeypatch):
+    """Rounds of merges, joins by parts: as if a host were too large for a task, and wrappers for a broadcast."""
+    monkeypatch.setattr(wrappers, "MERGED", 3)
+    monkeypatch.setattr(wrappers, "fits", lambda *_: False)
+    parts = ["<h2>Part {i}</h2>", "<ul><li>item {i}<li>more {i}</ul>", "<blockquote>said {i}</blockquote>", "<table><tr><td>cell {i}</table>", "<pre>code {i}</pre>"]
+    text = ["Part {i}", "item {i}\nmore {i}", "said {i}", "cell {i}", "code {i}"]
+    rows, want = [], {}
+    for i in range(32):
+        own = [k for k in range(5) if i >> k & 1]
+        body = "".join(parts[k].format(i=i) for k in own)
+        rows.append((i, "http://a.example/", f"<div id='post-{i}'><p>Subscribe now</p><h1>Title {i}</h1>{body}<p>All rights reserved</p></div>", "x", "y"))
+        want[i] = "\n".join([f"Title {i}", *[text[k].format(i=i) for k in own]])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string")
+    assert {r["page_id"]: r["text"] for r in wrappers.main_text(df).collect()} == want
+    found = wrappers.infer(df).collect()
+    assert len(found) == 1 and found[0]["pages"] == 32 and len(found[0]["fixed"]) == 2
+
+
+def test_broken_pages_lose_nothing_else():
+    texts = lambda page: [t for _, t in wrappers.slots(page)]
+    assert texts("one<button>go<p>two") == ["one", "go", "two"]
+    assert texts("one<button>go</button><p>two<select><option>x</select>three") == ["one", "two", "three"]
+    assert texts('a <b title="x>y">bold</b> <a href="z>c</a>d<p>e') == ["a bold c d", "e"] or texts('a <b title="x>y">bold</b> <a href="z>c</a>d<p>e') == ["a bold cd", "e"]
+    assert texts("1 < 2 <p>x<!-- no") == ["1 < 2", "x"] and texts("a < b") == ["a < b"] and texts("<script>x") == []
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a x="', "< ", "<!-- ", "<button>", "<p>", "<![CDATA[", "<a '\">", "&amp;<b>x"])
+def test_long_pages_take_linear_time(unit):
+    import time
+
+    for end in ("", ">", '">'):
+        start = time.time()
+        wrappers.slots(unit * (1_000_000 // len(unit)) + end)
+        assert time.time() - start < 5
 
 
 def test_embeddings(spark):
