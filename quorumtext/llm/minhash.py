@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, lower_ascii, salt, salts_held, salts_of, sized, with_group, words
@@ -94,6 +94,11 @@ def _runs(sets: list[np.ndarray], limit: int = 1 << 16) -> Iterator[tuple[int, i
         yield begin, len(sets)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the texts of one key apart; null is as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def word_hashes(df: DataFrame, *columns: str, text: str) -> DataFrame:
     """The columns, and `words`: a 64-bit hash of every word of the lower-cased text, in order."""
     split = words(lower_ascii(F.col(text)), SPACE)
@@ -107,12 +112,12 @@ def _array(lists: np.ndarray, of: pa.DataType) -> pa.Array:
 
 
 def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, doc, n_shingles, f1, f2, bands, values) of every row: set size, fingerprint, band keys and short signature.
+    """(key, doc, text_hash, n_shingles, f1, f2, bands, values) of every row: set size, fingerprint, band keys and short signature.
 
     Rows without words or key have a size of 0 and nulls.
     """
-    own = df.select(df[key].alias("key"), df[key].cast("long").alias("doc"), df[text].alias("text"))
-    hashed = word_hashes(own, "key", "doc", text="text")
+    own = df.select(df[key].alias("key"), df[key].cast("long").alias("doc"), text_hash(df[text]).alias("text_hash"), df[text].alias("text"))
+    hashed = word_hashes(own, "key", "doc", "text_hash", text="text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +139,9 @@ def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     places[np.array(full) - a] = np.arange(len(full))
                     at = pa.array([None if k < 0 else int(k) for k in places], pa.int64())
                     columns = [x.take(at) for x in (*map(pa.array, prints), _array(keys, pa.int64()), pa.array([row.tobytes() for row in short], pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), docs.slice(a, b - a), sizes, *columns], ["key", "doc", "n_shingles", "f1", "f2", "bands", "values"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), docs.slice(a, b - a), batch.column(2).slice(a, b - a), sizes, *columns], ["key", "doc", "text_hash", "n_shingles", "f1", "f2", "bands", "values"])
 
-    return hashed.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, doc long, n_shingles long, f1 long, f2 long, bands array<long>, values binary")
+    return hashed.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, doc long, text_hash long, n_shingles long, f1 long, f2 long, bands array<long>, values binary")
 
 
 def shingle_sets(hashed: DataFrame, size: int) -> DataFrame:
@@ -252,7 +257,7 @@ def linked_groups(rows: DataFrame, texts: DataFrame, size: int, threshold: int)
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row.
+    """(key, n_shingles, component_id, kept, text_hash) for every row.
 
     Words are split at ASCII white space after A-Z are lower-cased. A set is that of the runs of
     `size` words; with fewer words, the whole sequence is the one element. Null, empty and blank texts
@@ -263,6 +268,6 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     rows = cut(sketch(df, key, text, size))
     texts = df.where(F.col(key).isNotNull()).select(df[key].cast("long").alias("doc"), df[text].alias("text"))
     known = linked_groups(rows, texts, size, threshold).select(*PRINTS, "component", F.explode(salts_of("salts")).alias("__salt"))
-    own = rows.select("key", "doc", *PRINTS, salt("doc").alias("__salt")).join(known, [*PRINTS, "__salt"], "left")
+    own = rows.select("key", "doc", "text_hash", *PRINTS, salt("doc").alias("__salt")).join(known, [*PRINTS, "__salt"], "left")
     component = F.coalesce("component", "doc")
-    return own.select(F.col("key").alias(key), F.col("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+    return own.select(F.col("key").alias(key), F.col("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"), "text_hash")

@@ -74,6 +74,9 @@ def test_near_duplicates_of_odd_rows(spark):
     assert [g[1:] for g in got if g[0] == 4] == [(1, 4, True)] * 2 and [g for g in got if g[0] == 0] == [(0, 0, None, True)]
     assert [(g[2], g[3]) for g in got if g[0] in (6, 7)] == [(6, True), (6, False)]
     assert minhash.near_duplicates(table(spark, [])).count() == 0
+    twice = [(1, "a b c d"), (5, "a b c d"), (5, "e f g h"), (5, ""), (3, "e f g h"), (5, "i j k l")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(table(spark, twice), size=3).collect()}
+    assert got == {(1, 2, 1, True), (5, 2, 1, False), (5, 2, 3, False), (5, 0, 5, True), (3, 2, 3, True), (5, 2, 5, True)}
 
 
 def test_components(spark):
