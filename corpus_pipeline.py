@@ -33,15 +33,19 @@ def without_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id; of repeated ids one row."""
-    found = cut(minhash.near_duplicates(docs, size=SHINGLE, threshold=SIMILAR))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    again = cut(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    rest = docs.join(sized(gone, 16), "doc_id", "left_anti")
-    if not again.count():
-        return rest
-    repeated = rest.join(sized(again, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(sized(again, 16), "doc_id", "left_anti").unionByName(repeated)
+    """One document of each near-duplicate group, that with the smallest id; of repeated rows one.
+
+    Rows that share an id and not a text are documents of their own. Rows with a null id stay.
+    """
+    found = cut(minhash.near_duplicates(docs, size=SHINGLE, threshold=SIMILAR).withColumnRenamed("text_hash", "__text_hash"))
+    own = ["doc_id", "__text_hash"]
+    gone = found.where(~F.col("kept")).select(*own).distinct()
+    again = cut(found.where("kept and doc_id is not null").groupBy(*own).count().where("count > 1").select(*own))
+    rest = docs.withColumn("__text_hash", minhash.text_hash(F.col("text"))).join(sized(gone, 24), own, "left_anti")
+    if not again.isEmpty():
+        repeated = rest.join(sized(again, 24), own, "left_semi").dropDuplicates(own)
+        rest = rest.join(sized(again, 24), own, "left_anti").unionByName(repeated)
+    return rest.select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
