@@ -36,13 +36,25 @@ def char_distance(a: Column | str, b: Column | str) -> Column:
     return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b)).cast("long")
 
 
+#: Letters that stand for the tokens of a pair: printable ASCII, then as many code points as a pair of usual lines can need.
+LETTERS = "".join(map(chr, [*range(33, 127), *range(0x4E00, 0x4E00 + 1000)]))
+
+
+def spelled_distance(a: Column | str, b: Column | str, known: Column | str) -> Column:
+    """Levenshtein distance over tokens (arrays a and b): each of the pair's distinct tokens, `known`, becomes one letter."""
+    a, b, known = (F.col(x) if isinstance(x, str) else x for x in (a, b, known))
+    short = lambda t: F.substr(F.lit(LETTERS), F.array_position(known, t).cast("int"), F.lit(1))
+    far = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(known, t)), 4, "0")), "UTF-16BE")
+    word = lambda ts, letter: F.array_join(F.transform(ts, letter), "")
+    few = F.size(known) <= len(LETTERS)
+    return F.when(few, F.levenshtein(word(a, short), word(b, short))).otherwise(F.levenshtein(word(a, far), word(b, far))).cast("long")
+
+
 def token_distance(a: Column | str, b: Column | str) -> Column:
-    """Levenshtein distance over tokens: each distinct token of the pair becomes one letter."""
+    """Levenshtein distance over tokens. Tokens are bound to a variable, so that they are made once a row."""
     x, y = tokens(a), tokens(b)
-    known = F.array_distinct(F.concat(x, y))
-    letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(known, t)), 4, "0")), "UTF-16BE")
-    word = lambda ts: F.array_join(F.transform(ts, letter), "")
-    return F.levenshtein(word(x), word(y)).cast("long")
+    pair = F.array(F.struct(x.alias("x"), y.alias("y"), F.array_distinct(F.concat(x, y)).alias("known")))
+    return F.transform(pair, lambda p: spelled_distance(p["x"], p["y"], p["known"]))[0]
 
 
 def only(x: Column | str, charset: str) -> Column:
@@ -95,5 +107,5 @@ def from_codec(pieces: Column | str) -> Column:
 def first_difference(a: Column | str, b: Column | str) -> Column:
     """1-based position of the first differing character, 0 if the texts are equal."""
     x, y = text(a), text(b)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.length(y), F.lit(1))), lambda i: F.substr(x, i, F.lit(1)) != F.substr(y, i, F.lit(1)))
-    return F.when(x == y, F.lit(0)).otherwise(F.coalesce(F.get(at, F.lit(0)), F.lit(0)))
+    same = F.transform(F.arrays_zip(F.split(x, "").alias("x"), F.split(y, "").alias("y")), lambda z: z["x"].eqNullSafe(z["y"]))
+    return F.when(x == y, F.lit(0)).otherwise(F.array_position(same, False)).cast("int")

@@ -117,3 +117,15 @@ def refined(pages: pd.Series, boxes: pd.Series) -> pd.Series:
         done = widen(grey <= threshold(grey), given, max(8, heights[len(heights) // 2])) if given else []
         out.append([dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) for b in done])
     return pd.Series(out)
+
+
+def refine(pages: DataFrame, page: str, rows: str, boxes: str) -> DataFrame:
+    """pages with `refined`: boxes (arrays) without contained ones and slivers, widened to the ink of `rows`, by top and the longer first.
+
+    The predicates are joins within pages; only the widening looks at pixels.
+    """
+    each = pages.select(page, F.posexplode(boxes).alias("key", "b")).select(page, "key", "b.*")
+    kept = drop_contained(drop_slivers(each, page, "key"), page, "key")
+    held = kept.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("key", "x0", "y0", "x1", "y1"))).alias("__b"))
+    own = pages.join(held, page, "left").withColumn("__b", F.coalesce(F.transform("__b", lambda b: b.dropFields("key")), F.array().cast(BOXES)))
+    return own.withColumn("refined", refined(rows, "__b")).drop("__b")

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut
+from ..plans.storage import cut, summed
 from .network import candidates, forced_costs
 from .script import constrained, is_mark
 
-#: Penalty of squared weights; Newton steps of the fit.
-RIDGE, STEPS = 1e-2, 12
+#: Penalty of squared weights; Newton steps of the fit at most; length of a plain step, of which 1,500 were the usual fit.
+RIDGE, STEPS, RATE, DESCENT = 1e-2, 12, 0.5, 1500
 
 
 def feature_names(models: list[str]) -> list[str]:
@@ -24,14 +24,14 @@ def feature_names(models: list[str]) -> list[str]:
 
 
 def choices(df: DataFrame, keys: list[str], models: list[str], *, special: str, language: str, lang: str = "lang", ref: str | None = None) -> DataFrame:
-    """One row per column and candidate: keys, col, place (in first-proposed order), ch, is_gap, features and, with `ref`, cost.
+    """One row per candidate of every disputed column: keys, col, place (in first-proposed order), ch, is_gap, n_c, features and, with `ref`, cost.
 
-    Counts are by the number of members; positions by that of columns.
+    Columns with one candidate need no choice and have no rows. Counts are by the number of members; positions by that of columns.
     """
     n = float(len(models))
     own = df.select(*keys, lang, "network", *([forced_costs(ref).alias("__costs")] if ref else []))
     cols = own.select(*keys, lang, F.size("network").alias("n_cols"), *(["__costs"] if ref else []), F.posexplode("network").alias("col", "cells"))
-    cols = cols.withColumn("__c", F.expr(candidates("cells")))
+    cols = cols.where("exists(cells, x -> x.ch <> cells[0].ch or x.is_gap <> cells[0].is_gap)").withColumn("__c", F.expr(candidates("cells")))
     rows = cols.select(*keys, lang, "n_cols", "col", "cells", F.size("__c").alias("n_c"), *([F.expr("__costs[col]").alias("__own")] if ref else []), F.posexplode("__c").alias("place", "cand"))
     rows = rows.select(*keys, lang, "n_cols", "col", "cells", "n_c", "place", "cand.*", *([F.expr("__own[place]").alias("cost")] if ref else []))
     votes = F.expr("transform(cells, x -> if(x.ch = ch and x.is_gap = is_gap, 1.0D, 0.0D))")
@@ -40,15 +40,17 @@ def choices(df: DataFrame, keys: list[str], models: list[str], *, special: str,
     flag = lambda c: c.cast("double")
     other, gap = flag(F.coalesce(F.col(lang) == language, F.lit(False))), flag(F.col("is_gap"))
     letter = lambda c: flag(~F.col("is_gap") & c)
-    add = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
-    base = [F.lit(1.0), F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n, add, F.array_max("s"), gap, letter(F.lit(special).contains(F.col("ch"))), letter(is_mark("ch")), letter(F.col("ch") == " "), F.col("n_c") / n, F.col("col") / F.greatest(F.lit(1), "n_cols"), other]
-    own_features = [x for m in range(len(models)) for x in (F.col("v")[m], F.col("s")[m], F.col("s")[m] * other, F.col("v")[m] * gap)]
+    members = range(len(models))
+    add = lambda of: reduce(lambda a, m: a + F.col(of)[m], members, F.lit(0.0))
+    top = reduce(lambda a, m: F.greatest(a, F.col("s")[m]), members, F.lit(0.0))
+    base = [F.lit(1.0), add("v") / n, add("s"), top, gap, letter(F.lit(special).contains(F.col("ch"))), letter(is_mark("ch")), letter(F.col("ch") == " "), F.col("n_c") / n, F.col("col") / F.greatest(F.lit(1), "n_cols"), other]
+    own_features = [x for m in members for x in (F.col("v")[m], F.col("s")[m], F.col("s")[m] * other, F.col("v")[m] * gap)]
     return rows.select(*keys, "col", "place", "ch", "is_gap", "n_c", F.array(*base, *own_features).alias("features"), *(["cost"] if ref else []))
 
 
 def examples(chosen: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of columns whose candidates are not equally good, with label y: 1 where forcing a candidate costs least."""
-    spread = chosen.where("n_c > 1").groupBy(*keys, "col").agg(F.min("cost").alias("__lo"), F.max("cost").alias("__hi")).where(F.col("__lo") < F.col("__hi"))
+    spread = chosen.groupBy(*keys, "col").agg(F.min("cost").alias("__lo"), F.max("cost").alias("__hi")).where(F.col("__lo") < F.col("__hi"))
     return chosen.join(spread, [*keys, "col"]).withColumn("y", (F.col("cost") == F.col("__lo")).cast("double")).drop("__lo", "__hi")
 
 
@@ -62,78 +64,86 @@ class Scorer:
 
     def score(self, features: str = "features") -> Column:
         """Linear score, summed in feature order."""
-        per = self.weights / self.scale
-        parts = F.transform(features, lambda x, i: (x - F.element_at(F.array(*[F.lit(float(m)) for m in self.mean]), i + 1)) * F.element_at(F.array(*[F.lit(float(w)) for w in per]), i + 1))
-        return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        terms = [(F.col(features)[i] - float(m)) * float(w) for i, (m, w) in enumerate(zip(self.mean, self.weights / self.scale, strict=True))]
+        return reduce(lambda a, t: a + t, terms, F.lit(0.0))
 
+    def top(self, names: list[str], n: int = 10) -> list[tuple[str, float]]:
+        """The features of the largest weights by size, the earlier one of equals."""
+        order = sorted(range(len(self.weights)), key=lambda i: -abs(self.weights[i]))
+        return [(names[i], float(self.weights[i])) for i in order[:n]]
 
-def _summed(df: DataFrame, shape: tuple[int, ...], make) -> np.ndarray:
-    """Sum over all rows of make(features, labels), one matrix per partition."""
 
-    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(shape)
-        for f in frames:
-            if len(f):
-                total += make(np.stack(f.features), f.y.to_numpy())
-        yield pd.DataFrame({"m": [total.ravel().tolist()]})
-
-    parts = df.select("features", "y").mapInPandas(own, "m array<double>").select(F.posexplode("m").alias("i", "x"))
-    sums = parts.groupBy("i").agg(F.sum("x").alias("x")).collect()  # one row for each entry of the matrix
-    out = np.zeros(int(np.prod(shape)))
-    for r in sums:
-        out[r["i"]] = r["x"]
-    return out.reshape(shape)
+def _problem(sums: np.ndarray) -> Scorer:
+    """Mean and population deviation from (count, sum, sum of squares) of every feature; weights 0."""
+    mean = sums[1] / max(sums[0, 0], 1)
+    scale = np.sqrt(np.maximum(sums[2] / max(sums[0, 0], 1) - mean**2, 0))
+    scale[scale < 1e-12] = 1.0
+    mean[0], scale[0] = 0.0, 1.0
+    return Scorer(mean, scale, np.zeros(len(mean)))
 
 
-def fit(rows: DataFrame) -> Scorer | None:
-    """The minimum of mean logistic loss plus half RIDGE times squared weights, bias unpenalised, by Newton steps.
+def fit_all(rows: DataFrame, k: int, *, fold: str = "fold", descent: int = 0) -> list[Scorer | None]:
+    """For each of k folds the scorer that all other folds' rows (features, y, fold) give; fold -1 is in no fold. None without rows.
 
-    Each step sums a matrix of the features' number over all rows where they are. None without rows.
+    Minimises mean logistic loss plus half RIDGE times squared weights, the bias unpenalised, for all
+    folds in one pass a step: Newton steps to the minimum, or `descent` plain gradient steps of
+    RATE. A pass sums one matrix for each fold and partition, and partitions' matrices are added up before the driver.
     """
-    rows = cut(rows.select("features", "y"))
+    rows = cut(rows.select("features", "y", F.col(fold).alias("fold")))
     first = rows.select("features").first()
     if first is None:
-        return None
+        return [None] * k
     d = len(first["features"])
-    sums = _summed(rows, (3, d), lambda x, y: np.stack([np.full(d, len(x)), x.sum(0), (x**2).sum(0)]))
-    n = sums[0, 0]
-    mean = sums[1] / n
-    scale = np.sqrt(np.maximum(sums[2] / n - mean**2, 0))
-    scale[scale < 1e-12] = 1.0
-    mean[0], scale[0] = 0.0, 1.0
+
+    def others(make):
+        """One matrix for each fold, of the rows outside it."""
+
+        def of(frame: pd.DataFrame) -> np.ndarray:
+            x, y, own = np.stack(frame.features), frame.y.to_numpy(), frame.fold.to_numpy()
+            return np.stack([make(f, x[own != f], y[own != f]) for f in range(k)])
+
+        return of
+
+    sums = summed(rows, others(lambda f, x, y: np.stack([np.full(d, len(x)), x.sum(0), (x**2).sum(0)])), (k, 3, d))
+    found = [_problem(s) for s in sums]
     penalty = np.full(d, RIDGE)
     penalty[0] = 0.0
-    w = np.zeros(d)
-    for _ in range(STEPS):
-
-        def step(x: np.ndarray, y: np.ndarray, w: np.ndarray = w) -> np.ndarray:
-            z = (x - mean) / scale
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            return np.vstack([z.T @ (p - y), (z * (p * (1 - p))[:, None]).T @ z])
-
-        s = _summed(rows, (d + 1, d), step) / n
-        move = np.linalg.solve(s[1:] + np.diag(penalty) + 1e-12 * np.eye(d), s[0] + penalty * w)
-        w = w - move
-        if np.abs(move).max() < 1e-10:
+    for _ in range(descent or STEPS):
+
+        def step(f: int, x: np.ndarray, y: np.ndarray, now: list[Scorer] = found) -> np.ndarray:
+            z = (x - now[f].mean) / now[f].scale
+            p = 1 / (1 + np.exp(-np.clip(z @ now[f].weights, -30, 30)))
+            slope = z.T @ (p - y)
+            return slope[None] if descent else np.vstack([slope, (z * (p * (1 - p))[:, None]).T @ z])
+
+        moves = []
+        for s, m, now in zip(summed(rows, others(step), (k, 1 if descent else d + 1, d)), sums, found, strict=True):
+            slope = s[0] / max(m[0, 0], 1) + penalty * now.weights
+            moves.append(RATE * slope if descent else np.linalg.solve(s[1:] / max(m[0, 0], 1) + np.diag(penalty) + 1e-9 * np.eye(d), slope))
+        found = [Scorer(now.mean, now.scale, now.weights - move) for now, move in zip(found, moves, strict=True)]
+        if not descent and max(np.abs(move).max() for move in moves) < 1e-8:
             break
-    return Scorer(mean, scale, w)
+    return [scorer if m[0, 0] else None for scorer, m in zip(found, sums, strict=True)]
+
 
+def fit(rows: DataFrame, descent: int = 0) -> Scorer | None:
+    """The scorer of all rows (features, y)."""
+    return fit_all(rows.withColumn("fold", F.lit(-1)), 1, descent=descent)[0]
 
-def decode(chosen: DataFrame, keys: list[str], scorer: Scorer, constrain: bool = True) -> DataFrame:
-    """(keys.., text): the best-scored candidate of every column, the earlier one of equals."""
-    best = chosen.withColumn("__s", scorer.score()).groupBy(*keys, "col").agg(F.max(F.struct("__s", (-F.col("place")).alias("p"), "ch")).alias("b"))
-    lines = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col", F.col("b.ch").alias("ch")))).alias("c"))
-    whole = F.array_join(F.transform("c", lambda x: x["ch"]), "")
-    return lines.select(*keys, (constrained(whole) if constrain else whole).alias("text"))
+
+def decode(df: DataFrame, chosen: DataFrame, keys: list[str], scorers: list[Scorer | None], fold: str | None = None, constrain: bool = True) -> DataFrame:
+    """(keys.., text) of df (with `network`): in every disputed column the best-scored candidate, the earlier one of equals.
+
+    `chosen` are df's choices(). The scorer is that of the row's fold, or the only one; without one the share of members decides.
+    """
+    by = [s.score() if s else F.col("features")[1] for s in scorers]
+    score = reduce(lambda rest, f: F.when(F.col(fold) == f, by[f]).otherwise(rest), range(len(by) - 1), by[-1]) if fold else by[0]
+    best = chosen.withColumn("__s", score).groupBy(*keys, "col").agg(F.max(F.struct("__s", (-F.col("place")).alias("p"), "ch")).alias("b"))
+    lines = best.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col", F.col("b.ch").alias("ch")))).alias("__c"))
+    whole = F.array_join(F.expr("transform(network, (cells, j) -> coalesce(__c[j], cells[0].ch))"), "")
+    return df.join(lines, keys, "left").select(*keys, (constrained(whole) if constrain else whole).alias("text"))
 
 
-def cross_validated(chosen: DataFrame, keys: list[str], fold: str = "fold", k: int = 5) -> DataFrame:
+def cross_validated(df: DataFrame, chosen: DataFrame, keys: list[str], fold: str = "fold", k: int = 5, descent: int = 0) -> DataFrame:
     """decode() of every fold by a scorer fitted on the others; `fold` is one of the keys."""
-    chosen = cut(chosen)
-    out = None
-    for f in range(k):
-        scorer = fit(examples(chosen.where(F.col(fold) != f), keys))
-        held = chosen.where(F.col(fold) == f)
-        own = decode(held, keys, scorer) if scorer else decode(held.withColumn("features", F.array(F.col("features")[1])), keys, Scorer(np.zeros(1), np.ones(1), np.ones(1)))
-        out = own if out is None else out.unionByName(own)
-    return out
+    return decode(df, chosen, keys, fit_all(examples(chosen, keys), k, fold=fold, descent=descent), fold)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow
-
-from ..functions.text import char_distance, collapse_spaces, only, text, token_distance, tokens
+from ..functions.text import char_distance, collapse_spaces, only, percent, spelled_distance, text, token_distance, tokens
+from ..plans.storage import cut
 
 
 def ratio(errors: Column, size: Column) -> Column:
@@ -46,11 +46,31 @@ def line_rate(ref: str, hyp: str, at_least_one: bool = False) -> Column:
 
 def evaluate(df: DataFrame, charset: str, *, ref: str = "ref", hyp: str = "hyp", lang: str = "lang", by: tuple[str, ...] = ("model",)) -> DataFrame:
     """All rates by `by`, overall (null language) and by language, in one pass over grouping sets."""
-    keys = ", ".join(by)
-    own = df.select(*by, lang, char_distance(ref, hyp).alias("e"), F.length(text(ref)).alias("n"), token_distance(ref, hyp).alias("we"), F.size(tokens(ref)).alias("wn"), char_distance(only(ref, charset), only(hyp, charset)).alias("re"), F.length(only(ref, charset)).alias("rn"), char_distance(collapse_spaces(ref), collapse_spaces(hyp)).alias("ce"), F.length(collapse_spaces(ref)).alias("cn"))
+    keep = lambda x: only(x, charset)
+    # Derived texts are columns of their own before they are compared, so that each is made once a row.
+    texts = df.select(*by, lang, text(ref).alias("r"), text(hyp).alias("h"), keep(ref).alias("rr"), keep(hyp).alias("rh"), tokens(ref).alias("rt"), tokens(hyp).alias("ht"))
+    texts = texts.withColumns({"rc": F.array_join("rt", " "), "hc": F.array_join("ht", " "), "__same": F.col("r") == F.col("h"), "__known": F.array_distinct(F.concat("rt", "ht"))})
+    words = F.when(F.col("__same"), F.lit(0)).otherwise(spelled_distance("rt", "ht", "__known")).cast("long")
+    own = texts.select(*by, lang, char_distance("r", "h").alias("e"), F.length("r").alias("n"), words.alias("we"), F.size("rt").alias("wn"), char_distance("rr", "rh").alias("re"), F.length("rr").alias("rn"), char_distance("rc", "hc").alias("ce"), F.length("rc").alias("cn"))
     rates = [ratio(F.col(e), F.col(n)).alias(a) for e, n, a in (("e", "n", "cer"), ("we", "wn", "wer"), ("re", "rn", "restricted_cer"), ("ce", "cn", "collapsed_cer"))]
+    if not by:
+        return own.groupBy(lang).agg(F.count("*").alias("lines"), *rates)
     sets = [list(by), [*by, lang]]
-    return own.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*by, lang)]).agg(F.count("*").alias("lines"), *rates) if keys else own.groupBy(lang).agg(F.count("*").alias("lines"), *rates)
+    return own.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*by, lang)]).agg(F.count("*").alias("lines"), *rates)
+
+
+def report(rates: DataFrame, langs: list[str], *, lang: str = "lang", by: str = "model") -> DataFrame:
+    """evaluate()'s rows as one row for each system: overall rates, then cer_<language> for each language."""
+    names = ("lines", "cer", "wer", "restricted_cer", "collapsed_cer")
+    whole = [F.max(F.when(F.col(lang).isNull(), F.col(c))).alias(c) for c in names]
+    return rates.groupBy(by).agg(*whole, *[F.max(F.when(F.col(lang) == x, F.col("cer"))).alias(f"cer_{x}") for x in langs])
+
+
+def format_report(rates: DataFrame, *, lang: str = "lang", by: str = "model") -> DataFrame:
+    """One row, `report`: evaluate()'s rows as printed lines, systems by name, each overall and then by language. Systems and languages are few."""
+    line = F.format_string("%-14s %-6s %8d %8s %8s %8s", F.col(by), F.coalesce(lang, F.lit("all")), "lines", percent("cer"), percent("wer"), percent("restricted_cer"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(by), F.coalesce(lang, F.lit("")).alias("l"), line.alias("line"))))
+    return rates.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("report"))
 
 
 def characters(x: Column | str) -> Column:
@@ -103,24 +123,28 @@ def best_member(df: DataFrame, key: str, *, ref: str = "ref", hyp: str = "hyp",
     return rows.groupBy(key).agg(F.min("s").alias("s")).select(key, F.col("s.e").alias("errors"), F.col("s.m").alias(member))
 
 
-def bootstrap(df: DataFrame, a: str, b: str, order: str, *, ref: str = "ref", reps: int = 2000, seed: int = 0, block: int = 1 << 14) -> DataFrame:
+def bootstrap(df: DataFrame, a: str, b: str, order: str, *, ref: str = "ref", reps: int = 2000, seed: int = 0, blocks: int = 256) -> DataFrame:
     """One row: mean difference of the error rates of two systems over resampled lines, its 2.5 and 97.5 percentiles and the share below 0.
 
-    Every line counts a Poisson(1) number of times in each resample, drawn from the seed and the line's key,
-    so lines are resampled where they are; sums of `reps` numbers per partition are all that moves.
+    Each resample draws as many lines as there are, with replacement. Lines are dealt to `blocks` by a hash of
+    their key; the driver draws from the blocks' sizes how many lines of each a resample has, and the
+    blocks draw which. A block is held as three numbers a line; `reps` sums per block are all that moves.
     """
-    own = df.select(F.xxhash64(F.lit(seed), order).alias("h"), char_distance(ref, a).alias("ea"), char_distance(ref, b).alias("eb"), F.length(text(ref)).cast("long").alias("n"))
-
-    def draws(frames):
-        total = np.zeros((3, reps))
-        for frame in frames:
-            for begin in range(0, len(frame), 512):
-                part = frame.iloc[begin : begin + 512]
-                k = np.stack([np.random.default_rng(h & 0x7FFFFFFFFFFFFFFF).poisson(1.0, reps) for h in part.h])
-                total += np.stack([part.ea, part.eb, part.n]).astype(float) @ k
-        yield pd.DataFrame({"rep": np.arange(reps), "ea": total[0], "eb": total[1], "n": total[2]})
-
-    sums = own.mapInPandas(draws, "rep int, ea double, eb double, n double").groupBy("rep").agg(F.sum("ea").alias("ea"), F.sum("eb").alias("eb"), F.sum("n").alias("n"))
+    own = df.select(F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int").alias("block"), F.col(order).alias("key"), char_distance(ref, a).alias("ea"), char_distance(ref, b).alias("eb"), F.length(text(ref)).cast("long").alias("n"))
+    own = cut(own)
+    sizes = sorted((r["block"], r["count"]) for r in own.groupBy("block").count().collect())
+    total = sum(n for _, n in sizes)
+    share = np.random.default_rng(seed).multinomial(total, [n / total for _, n in sizes], reps) if total else np.zeros((reps, 0), np.int64)
+    dealt = {block: share[:, k] for k, (block, _) in enumerate(sizes)}
+
+    def draws(frame: pd.DataFrame) -> pd.DataFrame:
+        block = int(frame.block.iloc[0])
+        whole = frame.sort_values(["key", "n", "ea", "eb"])[["ea", "eb", "n"]].to_numpy(dtype=float)
+        random = np.random.default_rng([seed, block])
+        sums = np.stack([np.bincount(random.integers(0, len(whole), k), minlength=len(whole)) @ whole for k in dealt[block]])
+        return pd.DataFrame({"rep": np.arange(reps), "ea": sums[:, 0], "eb": sums[:, 1], "n": sums[:, 2]})
+
+    sums = own.groupBy("block").applyInPandas(draws, "rep int, ea double, eb double, n double").groupBy("rep").agg(F.sum("ea").alias("ea"), F.sum("eb").alias("eb"), F.sum("n").alias("n"))
     diff = sums.select(F.coalesce((F.col("ea") - F.col("eb")) / F.nullif("n", F.lit(0.0)), F.lit(0.0)).alias("d"))
     return diff.agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") < 0).cast("double")).alias("share_below"))
 
@@ -165,10 +189,10 @@ def wrong_places(refs: pd.Series, hyps: pd.Series) -> pd.Series:
 
 
 def error_overlap(df: DataFrame, key: str, *, ref: str = "ref", hyp: str = "hyp", model: str = "model", member: str = "member") -> DataFrame:
-    """(model_a, model_b, both, either, jaccard) of wrong places for each two members, over all lines."""
-    places = df.select(key, member, model, F.explode(wrong_places(text(ref), text(hyp))).alias("place"))
-    single = places.groupBy(member, model).agg(F.count("*").alias("n"))
-    held = places.groupBy(key, "place").agg(F.array_sort(F.collect_set(member)).alias("who"))
+    """(model_a, model_b, both, either, jaccard) of wrong places for each two members, over all lines; members are few."""
+    rows = df.select(key, member, model, wrong_places(text(ref), text(hyp)).alias("places"))
+    single = rows.groupBy(member, model).agg(F.sum(F.size("places")).alias("n"))
+    held = rows.select(key, member, F.explode("places").alias("place")).groupBy(key, "place").agg(F.array_sort(F.collect_set(member)).alias("who"))
     pairs = held.select(F.explode(F.expr("flatten(transform(who, (a, i) -> transform(slice(who, i + 2, size(who)), b -> struct(a as a, b as b))))")).alias("p"))
     both = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("both"))
     a = single.select(F.col(member).alias("a"), F.col(model).alias("model_a"), F.col("n").alias("na"))
@@ -182,3 +206,12 @@ def folds(index: str, k: int = 5) -> Column:
     return (F.col(index) % k).cast("int")
 
 
+def best_so_far(df: DataFrame, run: str, step: str, value: str, patience: int) -> DataFrame:
+    """df with `best` (the smallest value up to a step), `improved`, `misses` (steps since the last improvement) and `stopped`: whether training that waits `patience` steps had ended before."""
+    order = Window.partitionBy(run).orderBy(step)
+    before = F.min(value).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumn("improved", F.coalesce(F.col(value) < before, F.col(value).isNotNull())).withColumn("best", F.min(value).over(order))
+    rows = rows.withColumn("__run", F.sum(F.col("improved").cast("int")).over(order)).withColumn("__n", F.row_number().over(order))
+    rows = rows.withColumn("misses", (F.col("__n") - F.min("__n").over(Window.partitionBy(run, "__run"))).cast("int"))
+    stopped = F.coalesce(F.max((F.col("misses") >= patience).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)) == 1, F.lit(False))
+    return rows.withColumn("stopped", stopped).drop("__run", "__n")

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow
-
 from ..functions.text import padded_confidence, text
+from ..plans.storage import cut
 
 NETWORK = "array<array<struct<ch:string,is_gap:boolean,conf:double>>>"
 GAP_CONF = 0.5
@@ -38,90 +38,145 @@ def hypotheses(df: DataFrame, key: list[str], keep: list[str], *, member: str =
 # --- alignment ------------------------------------------------------------------------------------
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> int:
-    row, steps = np.arange(len(b) + 1), np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (b != x))
-        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
-    return int(row[-1])
+#: Cells of a table that lines of like length share in one pass, about.
+CELLS = 4_000_000
 
 
-def _path(profile: np.ndarray, seq: np.ndarray) -> list[tuple[int, int]]:
-    """(column or -1, character or -1) pairs of the cheapest alignment; -1 in `profile` is a gap.
+def _tables(profile: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """moves[line, column, character] of the cheapest alignments: 0 diagonal, 1 column without a character, 2 a new column.
 
-    A column costs the share of its members that differ; a new column costs 1. Among equal ways the
-    diagonal comes before a gap in the sequence and that before a new column.
+    profile is (lines, members, columns) of code points, -1 for a gap, seq (lines, characters). A column
+    costs the share of its members that differ; a new column costs 1. Among equal ways the diagonal comes
+    before a gap in the sequence and that before a new column. All lines advance together, one anti-diagonal at a time.
     """
-    columns, members = profile.shape
-    n = len(seq)
-    off = (profile[:, :, None] != seq[None, None, :]).sum(1) / members
+    lines, members, columns = profile.shape
+    n = seq.shape[1]
     up = (profile != -1).sum(1) / members
-    table = np.zeros((columns + 1, n + 1))
-    move = np.zeros((columns + 1, n + 1), dtype=np.int8)
-    for j in range(1, n + 1):
-        table[0, j], move[0, j] = table[0, j - 1] + 1.0, 2
-    for i in range(1, columns + 1):
-        above = table[i - 1]
-        table[i, 0], move[i, 0] = above[0] + up[i - 1], 1
-        diagonal, vertical = above[:-1] + off[i - 1], above[1:] + up[i - 1]
-        down = vertical < diagonal
-        best = np.where(down, vertical, diagonal).tolist()
-        kind = down.astype(np.int8).tolist()
-        left, row = table[i, 0], []
-        for j, value in enumerate(best):
-            if left + 1.0 < value:
-                left, kind[j] = left + 1.0, 2
-            else:
-                left = value
-            row.append(left)
-        table[i, 1:], move[i, 1:] = row, kind
-    path, i, j = [], columns, n
-    while i or j:
-        m = move[i, j]
-        i, j = i - (m != 2), j - (m != 1)
-        path.append((i if m != 2 else -1, j if m != 1 else -1))
-    return path[::-1]
-
+    moves = np.zeros((lines, columns + 1, n + 1), dtype=np.int8)
+    moves[:, 1:, 0], moves[:, 0, 1:] = 1, 2
+    edge = np.concatenate([np.zeros((lines, 1)), np.cumsum(up, 1)], 1)
+    before = last = None  # the tables' two anti-diagonals before, by column
+    for d in range(columns + n + 1):
+        own = np.empty((lines, columns + 1))
+        if d <= n:
+            own[:, 0] = d
+        if d <= columns:
+            own[:, d] = edge[:, d]
+        lo, hi = max(1, d - n), min(columns, d - 1)
+        if lo <= hi:
+            chars = seq[:, d - hi - 1 : d - lo][:, ::-1]  # of column i the character d - i
+            off = np.zeros(chars.shape)
+            for m in range(members):
+                off += profile[:, m, lo - 1 : hi] != chars
+            best = before[:, lo - 1 : hi] + off / members
+            down = last[:, lo - 1 : hi] + up[:, lo - 1 : hi]
+            kind = (down < best).astype(np.int8)
+            best = np.where(kind == 1, down, best)
+            new = last[:, lo : hi + 1] + 1.0
+            longer = new < best
+            kind[longer] = 2
+            own[:, lo : hi + 1] = np.where(longer, new, best)
+            i = np.arange(lo, hi + 1)
+            moves[:, i, d - i] = kind
+        before, last = last, own
+    return moves
+
+
+def _grown(at: np.ndarray, size: np.ndarray, moves: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns (lines, columns, members) with a further member put in by its moves, and their numbers."""
+    lines, _, members = at.shape
+    row = np.arange(lines)
+    i, j = size.astype(np.int64), length.astype(np.int64)
+    steps = []
+    while (i + j > 0).any():
+        move = moves[row, i, j]
+        open_ = i + j > 0
+        i, j = i - (open_ & (move != 2)), j - (open_ & (move != 1))
+        steps.append((np.where(open_ & (move != 2), i, -1), np.where(open_ & (move != 1), j, -1), open_))
+    count = sum((o for _, _, o in steps), np.zeros(lines, dtype=np.int64))
+    width = len(steps)
+    column, character = (np.stack([s[k] for s in steps], 1) if steps else np.zeros((lines, 0), np.int64) for k in (0, 1))
+    order = np.clip(count[:, None] - 1 - np.arange(width), 0, None)  # steps went from the end
+    column, character = np.take_along_axis(column, order, 1), np.take_along_axis(character, order, 1)
+    inside = np.arange(width) < count[:, None]
+    out = np.full((lines, width, members + 1), -1, dtype=np.int64)
+    if at.shape[1]:
+        held = np.take_along_axis(at, np.broadcast_to(np.maximum(column, 0)[:, :, None], (lines, width, members)), 1)
+        out[:, :, :members] = np.where((inside & (column >= 0))[:, :, None], held, -1)
+    out[:, :, members] = np.where(inside, character, -1)
+    return out, count
+
+
+def _merge(texts: list[list[str]]) -> list[np.ndarray]:
+    """merged columns, one array (columns, members) for each line, of lines with equally many members in the order of merging."""
+    members = len(texts[0])
+    length = np.array([[len(t) for t in own] for own in texts])
+    codes = np.full((len(texts), members, length.max() + 1), -1, dtype=np.int32)  # an index of -1 picks the last place, a gap
+    for k, own in enumerate(texts):
+        for m, t in enumerate(own):
+            codes[k, m, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    at = np.where(np.arange(length[:, 0].max()) < length[:, :1], np.arange(length[:, 0].max()), -1)[:, :, None]
+    size = length[:, 0]
+    for k in range(1, members):
+        profile = np.stack([np.take_along_axis(codes[:, m], at[:, :, m], 1) for m in range(k)], 1)
+        moves = _tables(profile, codes[:, k, : max(length[:, k].max(), 0)])
+        at, size = _grown(at, size, moves, length[:, k])
+    return [a[:n] for a, n in zip(at, size, strict=True)]
+
+
+def merged_columns(lines: list[list[str]], first: list[tuple[int, int]]) -> list[np.ndarray]:
+    """For each line its columns as an array (columns, members) of indices into every member's text, -1 for a gap.
+
+    The pair of members given by `first` is merged first, then the others in order. Lines of like length are
+    aligned together; those whose texts are all equal are not aligned at all.
+    """
+    out: list[np.ndarray] = [np.empty((0, 0))] * len(lines)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, own in enumerate(lines):
+        if all(t == own[0] for t in own):
+            out[k] = np.repeat(np.arange(len(own[0]) if own else 0)[:, None], max(len(own), 1), 1)
+        else:
+            longest = max(map(len, own))
+            groups.setdefault((len(own), longest // 16), []).append(k)
+    for (members, size), held in groups.items():
+        step = max(1, CELLS // ((members * (size + 1) * 16) * (size + 1) * 16))
+        for begin in range(0, len(held), step):
+            part = held[begin : begin + step]
+            order = [[a, b, *(m for m in range(members) if m not in (a, b))] for a, b in (first[k] for k in part)]
+            made = _merge([[lines[k][m] for m in o] for k, o in zip(part, order, strict=True)])
+            for k, o, columns in zip(part, order, made, strict=True):
+                out[k] = columns[:, np.argsort(o)]
+    return out
 
-def merged_columns(texts: list[str]) -> list[list[int]]:
-    """For each column of the network the index into every member's text, -1 for a gap.
 
-    The two members that differ least are aligned first, then the others in order.
-    """
-    codes = [np.array([ord(c) for c in t], dtype=np.int64) for t in texts]
-    if len(texts) < 2 or all(t == texts[0] for t in texts):
-        return [[k] * len(texts) for k in range(len(texts[0]) if texts else 0)]
-    _, a, b = min((_distance(codes[a], codes[b]), a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)))
-    order = [a, b, *(m for m in range(len(texts)) if m not in (a, b))]
-    at = np.full((len(codes[a]), len(texts)), -1)
-    at[:, a] = np.arange(len(codes[a]))
-    for k, m in enumerate(order[1:], 1):
-        done = order[:k]
-        # A gap has its own code; an index of -1 picks it from the appended last place.
-        profile = np.stack([np.append(codes[d], -1)[at[:, d]] for d in done], 1)
-        path = _path(profile, codes[m])
-        grown = np.full((len(path), len(texts)), -1)
-        for row, (p, s) in enumerate(path):
-            if p >= 0:
-                grown[row] = at[p]
-            grown[row, m] = s
-        at = grown
-    return at.tolist()
+@arrow("array<int>")
+def _columns(texts: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """merged_columns(), each line's array in one list, column by column."""
+    found = merged_columns([list(t) for t in texts], list(zip(a, b, strict=True)))
+    return pd.Series([x.ravel().astype(np.int32) for x in found])
 
 
-@arrow("array<array<int>>")
-def _columns(texts: pd.Series) -> pd.Series:
-    return pd.Series([merged_columns(list(t)) for t in texts])
+#: SQL: the two members that differ least, the earlier ones of equals, as struct<d, a, b>; null for one member.
+CLOSEST = "array_min(flatten(transform(hyps, (x, i) -> transform(slice(hyps, i + 2, size(hyps)), (y, k) -> struct(levenshtein(x.text, y.text) as d, i as a, i + 1 + k as b)))))"
 
 
 def align(df: DataFrame) -> DataFrame:
-    """df with `network`. Only the alignment itself leaves the JVM; characters and confidences are put in place by expressions."""
+    """df with `network`, written to the checkpoint folder, as votes, bounds and features read it again.
+
+    Distances, characters and confidences are expressions; only the alignment itself leaves the JVM.
+    """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # Aligning takes far longer than its few bytes would tell adaptive execution, so rows are spread for it.
-    with_at = df.repartition(parts).withColumn("__at", _columns(F.transform("hyps", lambda h: h["text"])))
-    cell = "if(k < 0, named_struct('ch', '', 'is_gap', true, 'conf', cast(null as double)), named_struct('ch', substring(hyps[m].text, k + 1, 1), 'is_gap', false, 'conf', hyps[m].conf[k]))"
-    return with_at.withColumn("network", F.expr(f"transform(__at, col -> transform(col, (k, m) -> {cell}))")).drop("__at")
+    first = F.coalesce(F.expr(CLOSEST), F.struct(F.lit(0).alias("d"), F.lit(0).alias("a"), F.lit(0).alias("b")))
+    rows = df.repartition(parts).withColumn("__first", first)
+    with_at = rows.withColumn("__at", _columns(F.transform("hyps", lambda h: h["text"]), F.col("__first.a"), F.col("__first.b")))
+    # What lambdas use again and again is bound to a variable first, as columns may be put in their place unevaluated.
+    made = "struct(__at as at, transform(hyps, h -> struct(filter(split(h.text, ''), c -> c <> '') as chars, h.conf as conf)) as h)"
+    cell = "if(k < 0, named_struct('ch', '', 'is_gap', true, 'conf', cast(null as double)), named_struct('ch', z.h[m].chars[k], 'is_gap', false, 'conf', z.h[m].conf[k]))"
+    columns = "if(size(z.at) = 0, array(), sequence(0, size(z.at) div size(z.h) - 1))"
+    network = f"transform(array({made}), z -> transform({columns}, i -> transform(slice(z.at, i * size(z.h) + 1, size(z.h)), (k, m) -> {cell})))[0]"
+    return cut(with_at.withColumn("network", F.expr(network)).drop("__at", "__first"))
 
 
 # --- votes ----------------------------------------------------------------------------------------
@@ -136,12 +191,17 @@ def _weight(weights: list[float] | None, m: str) -> str:
     return f"array({', '.join(f'{w!r}D' for w in weights)})[{m}]" if weights else "1.0D"
 
 
-def scored(mode: str = "confidence", weights: list[float] | None = None, gap_conf: float = GAP_CONF, column: str = "col") -> str:
-    """SQL: the candidates with their `score` and `support`, in first-proposed order."""
+def _votes(mode: str, weights: list[float] | None, gap_conf: float, column: str) -> str:
+    """SQL: a column's members with the weight `s` of their votes."""
     own = "1.0D" if mode == "majority" else f"if(x.is_gap, {gap_conf!r}D, coalesce(x.conf, 0.0D))"
-    votes = f"transform({column}, (x, m) -> struct(x.ch as ch, x.is_gap as is_gap, {_weight(weights, 'm')} * {own} as s))"
-    total = f"aggregate(filter({votes}, v -> v.ch = c.ch and v.is_gap = c.is_gap), 0.0D, (a, v) -> a + v.s)"
-    return f"transform({candidates(column)}, c -> struct(c.ch as ch, c.is_gap as is_gap, {total} as score, size(filter({column}, x -> x.ch = c.ch and x.is_gap = c.is_gap)) as support))"
+    return f"transform({column}, (x, m) -> struct(x.ch as ch, x.is_gap as is_gap, {_weight(weights, 'm')} * {own} as s))"
+
+
+def scored(mode: str = "confidence", weights: list[float] | None = None, gap_conf: float = GAP_CONF, column: str = "col") -> str:
+    """SQL: the candidates with their `score` and `support`, in first-proposed order; a column's votes are made once."""
+    same = "v.ch = c.ch and v.is_gap = c.is_gap"
+    entry = f"struct(c.ch as ch, c.is_gap as is_gap, aggregate(vs, 0.0D, (a, v) -> a + if({same}, v.s, 0.0D)) as score, aggregate(vs, 0, (a, v) -> a + if({same}, 1, 0)) as support)"
+    return f"transform(array({_votes(mode, weights, gap_conf, column)}), vs -> transform({candidates('vs')}, c -> {entry}))[0]"
 
 
 def winner(entries: str) -> str:
@@ -150,18 +210,56 @@ def winner(entries: str) -> str:
 
 
 def vote(mode: str = "confidence", weights: list[float] | None = None, gap_conf: float = GAP_CONF) -> Column:
-    """The text that wins column by column."""
-    return F.array_join(F.expr(f"transform(network, col -> {winner(scored(mode, weights, gap_conf))}.ch)"), "")
+    """The text that wins column by column; columns without a dispute need no scores."""
+    return F.array_join(F.expr(f"transform(network, col -> if(size({candidates()}) < 2, col[0].ch, {winner(scored(mode, weights, gap_conf))}.ch))"), "")
 
 
 def certainty(gap_conf: float = GAP_CONF, weights: list[float] | None = None) -> Column:
     """array<struct<ch, unsure>> of the confidence vote: unsure if one of several members proposed it or it has less than half of the score."""
-    entries = scored("confidence", weights, gap_conf)
-    total = f"aggregate({entries}, 0.0D, (a, c) -> a + c.score)"
-    step = f"transform(network, col -> struct({winner(entries)} as w, if({total} = 0.0D, 1.0D, {total}) as total, size(col) as n))"
+    total = "aggregate(es, 0.0D, (a, c) -> a + c.score)"
+    step = f"transform(network, col -> transform(array({scored('confidence', weights, gap_conf)}), es -> struct({winner('es')} as w, if({total} = 0.0D, 1.0D, {total}) as total, size(col) as n))[0])"
     return F.expr(f"transform(filter({step}, s -> not s.w.is_gap), s -> struct(s.w.ch as ch, (s.w.support = 1 and s.n > 1) or s.w.score / s.total < 0.5D as unsure))")
 
 
+def reconcile(df: DataFrame, mode: str = "confidence", weights: list[float] | None = None, constrain: bool = True) -> DataFrame:
+    """df (with `hyps`) and `text`: aligned, voted and, if asked, constrained."""
+    from .script import constrained
+
+    voted = align(df).withColumn("text", vote(mode, weights))
+    return cut(voted).withColumn("text", constrained("text")) if constrain else voted
+
+
+def combine(df: DataFrame, gap_conf: float = GAP_CONF, constrain: bool = True) -> DataFrame:
+    """df (with `hyps`) and the confidence vote's `text` and `unsure` flags, constraints applied to both, and `shown`.
+
+    `shown` maps readers to their texts; test-time variants, which have an underscore in their names, vote but are not shown.
+    """
+    from .script import constrained_flags
+
+    rows = align(df).withColumn("__c", certainty(gap_conf))
+    rows = rows.withColumns({"__t": F.array_join(F.transform("__c", lambda x: x["ch"]), ""), "__u": F.transform("__c", lambda x: x["unsure"])})
+    shown = F.expr("map_from_entries(transform(filter(hyps, h -> not contains(h.model, '_')), h -> struct(h.model, h.text)))")
+    rows = rows.withColumn("__f", constrained_flags("__t", "__u") if constrain else F.struct(F.col("__t").alias("text"), F.col("__u").alias("unsure")))
+    return rows.select("*", "__f.text", "__f.unsure", shown.alias("shown")).drop("__c", "__t", "__u", "__f")
+
+
+class Cells:
+    """Table function of a network: a row for each column and member."""
+
+    def eval(self, network: list):  # noqa: ANN201
+        for col, cells in enumerate(network or []):
+            for member, cell in enumerate(cells):
+                yield col, member, cell["ch"], cell["is_gap"], cell["conf"]
+
+
+def cells(df: DataFrame, key: str, name: str = "network_cells") -> DataFrame:
+    """(key, col, member, ch, is_gap, conf): df's networks as rows, by a table function that this session's SQL knows by `name`."""
+    spark = df.sparkSession
+    spark.udtf.register(name, F.udtf(Cells, returnType="col int, member int, ch string, is_gap boolean, conf double"))
+    df.createOrReplaceTempView(f"{name}_rows")
+    return spark.sql(f"select r.{key}, c.* from {name}_rows r, lateral {name}(r.network) c")
+
+
 def exploded(df: DataFrame, *keys: str) -> DataFrame:
     """(keys.., col, n_cols, member, ch, is_gap, conf): the network as rows."""
     cols = df.select(*keys, F.size("network").alias("n_cols"), F.posexplode("network").alias("col", "cells"))

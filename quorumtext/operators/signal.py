@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow
+from ..functions.text import output_length, text
 
 
 def best_frame(df: DataFrame, probs: str) -> DataFrame:
@@ -148,3 +149,45 @@ def single_line(height: str | Column, width: str | Column) -> Column:
     """Whether an image is wide and low enough to be one line."""
     h, w = (F.col(x) if isinstance(x, str) else x for x in (height, width))
     return (h <= 400) & (w >= 3 * h)
+
+
+def ctc_infeasible(df: DataFrame, key: str, width: str, label: str) -> DataFrame:
+    """(key, width, steps, needed) of lines whose image gives fewer frames than their label has characters."""
+    rows = df.select(key, F.col(width).alias("width"), output_length(width).alias("steps"), F.length(text(label)).alias("needed"))
+    return rows.where(F.col("steps") < F.col("needed"))
+
+
+#: Height of a recogniser's line image and its width at most.
+HEIGHT, MAX_WIDTH = 64, 1600
+
+
+def _resample(x: np.ndarray, size: int) -> np.ndarray:
+    """Columns of x resized by a windowed sinc of three lobes, widened where the image shrinks."""
+    scale = len(x) / size
+    reach = 3 * max(scale, 1.0)
+    centre = (np.arange(size) + 0.5) * scale
+    at = np.arange(len(x)) + 0.5
+    distance = (at[None, :] - centre[:, None]) / max(scale, 1.0)
+    weight = np.where(np.abs(at[None, :] - centre[:, None]) < reach, np.sinc(distance) * np.sinc(distance / 3), 0.0)
+    return weight / weight.sum(1, keepdims=True) @ x
+
+
+def prepared(grey: np.ndarray, height: int = HEIGHT, widest: int = MAX_WIDTH) -> np.ndarray:
+    """A line image at the recogniser's height and in its proportions, mirrored, as right-to-left lines are read."""
+    width = max(1, min(widest, int(round(grey.shape[1] * height / grey.shape[0]))))
+    sized_ = _resample(_resample(grey.astype(float), height).T, width).T
+    return np.clip(np.rint(sized_), 0, 255).astype(np.uint8)[:, ::-1]
+
+
+def padded(lines: list[np.ndarray]) -> np.ndarray:
+    """Line images of one height as a batch of shares of white, with white to the right of shorter ones."""
+    out = np.ones((len(lines), lines[0].shape[0] if lines else 0, max((x.shape[1] for x in lines), default=0)), dtype=np.float32)
+    for k, x in enumerate(lines):
+        out[k, :, : x.shape[1]] = x / 255.0
+    return out
+
+
+@arrow("array<array<int>>")
+def prepared_lines(images: pd.Series) -> pd.Series:
+    """prepared() of images given as arrays of rows of grey levels."""
+    return pd.Series([prepared(np.array([np.asarray(r) for r in image], dtype=np.uint8)).astype(int).tolist() if len(image) and len(image[0]) else [] for image in images])

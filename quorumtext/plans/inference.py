@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,3 +53,28 @@ def prompt(df: DataFrame, key: str, line: str, reading: str, members: str) -> Da
     names_ = F.array_join(F.transform(members, lambda m, i: F.concat(F.lit("\n   recogniser "), F.char(i + 65), F.lit(": "), m)), "")
     item = F.concat(F.col(line).cast("string"), F.lit(". reading: "), F.col(reading), names_)
     return df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(line, item.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+
+
+def read_pages(pages: DataFrame, readers: list[str], *, page: str = "page", rows: str = "rows", first: int = 60) -> DataFrame:
+    """(page, line, text, unsure, shown) of page images, given as arrays of rows of grey levels.
+
+    Pages that are one line are taken whole; others are cut into lines, whose boxes are refined and
+    clipped, `first` of a page at most. Every registered reader gets (page, line, crop) and returns (page, line, text,
+    conf). Their texts are aligned, voted on, constrained and tidied, and lines without letters left out.
+    """
+    from ..operators import boxes, network, script, signal
+    from .storage import cut
+
+    own = pages.select(F.col(page).alias("page"), F.col(rows).alias("rows")).withColumns({"h": F.size("rows"), "w": F.coalesce(F.size(F.get("rows", F.lit(0))), F.lit(0))})
+    whole = F.array(F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("w").alias("x1"), F.col("h").alias("y1")))
+    found = cut(own.withColumn("boxes", signal.page_lines("rows")).withColumn("boxes", F.when(signal.single_line("h", "w"), whole.cast(signal.BOXES)).otherwise(F.col("boxes"))))
+    several = boxes.refine(found.where(~signal.single_line("h", "w")), "page", "rows", "boxes").select("page", "rows", "h", "w", F.col("refined").alias("boxes"))
+    every = several.unionByName(found.where(signal.single_line("h", "w")).select("page", "rows", "h", "w", "boxes"))
+    lines = every.select("page", "rows", "h", "w", F.posexplode("boxes").alias("place", "b")).select("page", "rows", "h", "w", "place", "b.*")
+    lines = boxes.clipped(lines, "page", "w", "h", first).withColumnRenamed("place", "line")
+    crops = cut(lines.select("page", "line", F.expr("transform(slice(rows, y0 + 1, y1 - y0), r -> slice(r, x0 + 1, x1 - x0))").alias("crop")))
+    read = [predict(crops, name, ["page", "line", "crop"]).select("page", "line", F.lit(k).alias("member"), F.lit(name).alias("model"), "text", "conf") for k, name in enumerate(readers)]
+    hyps = network.hypotheses(reduce(DataFrame.unionByName, read), ["page", "line"], [], hyp="text", conf="conf")
+    voted = cut(network.combine(hyps))
+    tidy = voted.select("page", "line", "shown", script.tidied("text", "unsure").alias("t"))
+    return tidy.select("page", "line", "t.text", "t.unsure", "shown").where(script.worth_keeping("text"))

@@ -70,12 +70,61 @@ def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of every page merged to rows."""
-    pages = _boxes(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("key", "x0", "y0", "x1", "y1"))).alias("b"))
-    return pages.select("page", boxes.grouped_rows(F.transform("b", lambda b: b.dropFields("key"))).alias("rows"))
+    """Boxes of every order's page merged to rows: an item's box and the one beside it, a little lower, are one row."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_partkey") % 50).alias("x"), F.max("l_suppkey").alias("s"))
+    y = F.col("l_linenumber") * 40
+    left = F.struct((F.col("x")).cast("int").alias("x0"), y.alias("y0"), (F.col("x") + 60).cast("int").alias("x1"), (y + 20).alias("y1"))
+    right = F.struct((F.col("x") + 200).cast("int").alias("x0"), (y + F.col("s") % 8).cast("int").alias("y0"), (F.col("x") + 290).cast("int").alias("x1"), (y + 20 + F.col("s") % 8).cast("int").alias("y1"))
+    pages = rows.select("l_orderkey", F.explode(F.array(left, right)).alias("b")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    return pages.select(F.col("l_orderkey").alias("page"), F.inline(boxes.grouped_rows("b")))
 
 
-QUERIES = {f.__name__: f for f in (ctc_decode, frame_argmax, runs_islands, moving_average, otsu_thresholds, box_containment, box_hugging, interval_overlap, upper_medians, grouped_rows)}
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of strips for every customer: fifteen rows for each, of which the first nine have some ink between white margins."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 5 + 3).cast("int").alias("strips"), F.coalesce("c_nationkey", F.lit(0)).alias("n"))
+    grey = lambda k, n: F.array_repeat(F.lit(k), n)
+    ink = F.concat(grey(255, F.lit(2)), grey(0, F.col("n") + 18), grey(255, 40 - F.col("n")))
+    strip = F.concat(F.array_repeat(ink, 9), F.array_repeat(grey(255, F.lit(60)), 6))
+    return rows.withColumn("rows", F.flatten(F.array_repeat(strip, F.col("strips"))))
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the strips of every customer's page."""
+    return _sheets(spark, sf_dir).select("c_custkey", F.posexplode(signal.page_lines("rows")).alias("place", "b")).select("c_custkey", "place", "b.*")
+
+
+def refined_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the middle of every strip, one inside of it and a sliver beside it: the strips' own remain, as wide as their ink."""
+    own = _sheets(spark, sf_dir)
+    strip = F.transform(F.sequence(F.lit(0), F.col("strips") - 1), lambda k: F.array(*[F.struct(F.lit(a).alias("x0"), (k * 15 + b).alias("y0"), F.lit(c).alias("x1"), (k * 15 + d).alias("y1")) for a, b, c, d in ((3, 0, 5, 9), (3, 2, 4, 8), (3, 0, 5, 1))]))
+    rows = boxes.refine(own.withColumn("b", F.flatten(strip).cast(signal.BOXES)), "c_custkey", "rows", "b")
+    return rows.select("c_custkey", F.inline("refined"))
+
+
+def line_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of customers' pages as a recogniser's line images, and how dark they are."""
+    rows = _sheets(spark, sf_dir).select("c_custkey", "strips", signal.prepared_lines("rows").alias("p"))
+    return rows.select("c_custkey", F.size("p").cast("long").alias("height"), F.size(F.get("p", F.lit(0))).cast("long").alias("width"))
+
+
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's page read by two stand-in readers: one writes its strip's number in the script's digits, the other too."""
+    from . import inference
+
+    def loader():
+        def model(frame):
+            frame = frame.assign(text=["بت " + str(100 + k) for k in frame.line])
+            return frame.assign(conf=[[0.9] * len(t) for t in frame.text])[["page", "line", "text", "conf"]]
+
+        return model
+
+    for name in ("stand_in", "standin"):
+        inference.register(name, loader, "page long, line int, text string, conf array<double>")
+    rows = inference.read_pages(_sheets(spark, sf_dir), ["standin", "stand_in"], page="c_custkey")
+    return rows.select("page", F.col("line").cast("long").alias("line"), "text", F.array_join(F.map_keys("shown"), "+").alias("shown"))
+
+
+QUERIES = {f.__name__: f for f in (ctc_decode, frame_argmax, runs_islands, moving_average, otsu_thresholds, box_containment, box_hugging, interval_overlap, upper_medians, grouped_rows, page_lines, refined_boxes, line_images, read_pages)}
 
 _B = """with box as (select l_orderkey as page, l_linenumber as key, min(l_partkey % 300) as x0, min(l_suppkey * 7 % 90) as y0, min(l_partkey % 300 + 10 + l_suppkey * 13 % 200) as x1, min(l_suppkey * 7 % 90 + 4 + l_quantity::bigint % 30) as y1 from lineitem group by 1, 2),
     med as (select page, list_sort(list(y1 - y0)) as h from box group by page), sized as (select page, h[len(h) // 2 + 1] as med from med)"""
@@ -105,4 +154,9 @@ ORACLE_SQL = {
     "interval_overlap": f"""{_B} select a.page, a.key as a, b.key as b from box a join box b on a.page = b.page and a.key < b.key
         where least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.5::double * least(a.y1 - a.y0, b.y1 - b.y0) and greatest(a.y1 - a.y0, b.y1 - b.y0) <= 2 * least(a.y1 - a.y0, b.y1 - b.y0)""",
     "upper_medians": f"{_B} select page, med from sized",
+    "grouped_rows": """select l_orderkey as page, min(l_partkey % 50)::int as x0, (l_linenumber * 40)::int as y0, (min(l_partkey % 50) + 290)::int as x1, (l_linenumber * 40 + 20 + max(l_suppkey) % 8)::int as y1 from lineitem group by l_orderkey, l_linenumber""",
+    "page_lines": """select c_custkey, k::int as place, 2 as x0, (k * 15)::int as y0, (20 + coalesce(c_nationkey, 0))::int as x1, (k * 15 + 9)::int as y1 from (select *, unnest(range(0, c_custkey % 5 + 3)) as k from customer)""",
+    "refined_boxes": """select c_custkey, 2 as x0, (k * 15)::int as y0, (20 + coalesce(c_nationkey, 0))::int as x1, (k * 15 + 9)::int as y1 from (select *, unnest(range(0, c_custkey % 5 + 3)) as k from customer)""",
+    "line_images": """select c_custkey, 64::bigint as height, round_even(60 * 64 / ((c_custkey % 5 + 3) * 15), 0)::bigint as width from customer""",
+    "read_pages": """select c_custkey as page, k::bigint as line, 'بت ' || (100 + k) as text, 'standin' as shown from (select *, unnest(range(0, c_custkey % 5 + 3)) as k from customer)""",
 }

@@ -60,11 +60,7 @@ def improvement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap(_two_systems(spark, sf_dir), "base", "best", "line_id", reps=500)
-
-
-def error_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.error_overlap(views.predictions(spark, sf_dir), "line_id")
+    return metrics.bootstrap(_two_systems(spark, sf_dir), "base", "best", "line_id")
 
 
 def val_half_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +116,7 @@ def member_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.subsets(single, "model", "errors", "member")
 
 
-QUERIES = {f.__name__: f for f in (cer_by_model_lang, error_rates, cer_per_line, best_member_per_line, per_char_counts, per_char_pivot, summarise_parts, improvement_picks, improvement_counts, bootstrap_diff, error_overlap, val_half_split, cv_folds, member_pairs, complete_lines, uncovered_docs, benchmark_lines, length_stats, sampler_weights, member_subsets)}
+QUERIES = {f.__name__: f for f in (cer_by_model_lang, error_rates, cer_per_line, best_member_per_line, per_char_counts, per_char_pivot, summarise_parts, improvement_picks, improvement_counts, bootstrap_diff, val_half_split, cv_folds, member_pairs, complete_lines, uncovered_docs, benchmark_lines, length_stats, sampler_weights, member_subsets)}
 
 _V = views.SQL
 
@@ -137,20 +133,20 @@ def _lev(a: str, b: str) -> str:
     return f"levenshtein({_ascii(a)}, {_ascii(b)})"
 
 
-_WORDS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+WORDS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
 _RESTRICT = "regexp_replace({x}, '[^" + ACCENTED + "]', '', 'g')"
 _COLLAPSE = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 #: Distance of token lists a and b by rows of the table, each a list.
-_TOKENS = """list_reduce(
+TOKENS = """list_reduce(
     list_prepend({{'w': '', 'r': range(0, len(b) + 1)}}, list_transform(a, lambda w: {{'w': w, 'r': []::bigint[]}})),
     lambda p, x: {{'w': '', 'r': list_reduce(list_prepend([p.r[1] + 1], list_transform(range(1, len(b) + 1), lambda j: [j])),
         lambda row, jj: row || [least(p.r[jj[1] + 1] + 1, row[jj[1]] + 1, p.r[jj[1]] + (case when x.w = b[jj[1]] then 0 else 1 end))])}}).r[-1]""".replace("{{", "{").replace("}}", "}")
 
 ORACLE_SQL = {
     "cer_by_model_lang": f"""{_V} select model, lang, count(*)::bigint as lines, round(coalesce(sum({_lev('ref', 'hyp')}) / nullif(sum(length(ref)), 0), 0), 9)::double as cer from preds group by grouping sets ((model), (model, lang))""",
-    "error_rates": f"""{_V}, parts as (select model, lang, {_lev('ref', 'hyp')} as e, length(ref) as n, {_WORDS.format(x='ref')} as a, {_WORDS.format(x='hyp')} as b, {_RESTRICT.format(x='ref')} as rr, {_RESTRICT.format(x='hyp')} as rh, {_COLLAPSE.format(x='ref')} as cr, {_COLLAPSE.format(x='hyp')} as ch from preds),
-        counted as (select model, lang, e, n, {_TOKENS} as we, len(a) as wn, {_lev('rr', 'rh')} as re, length(rr) as rn, {_lev('cr', 'ch')} as ce, length(cr) as cn from parts)
+    "error_rates": f"""{_V}, parts as (select model, lang, {_lev('ref', 'hyp')} as e, length(ref) as n, {WORDS.format(x='ref')} as a, {WORDS.format(x='hyp')} as b, {_RESTRICT.format(x='ref')} as rr, {_RESTRICT.format(x='hyp')} as rh, {_COLLAPSE.format(x='ref')} as cr, {_COLLAPSE.format(x='hyp')} as ch from preds),
+        counted as (select model, lang, e, n, {TOKENS} as we, len(a) as wn, {_lev('rr', 'rh')} as re, length(rr) as rn, {_lev('cr', 'ch')} as ce, length(cr) as cn from parts)
         select model, lang, count(*)::bigint as lines, round(coalesce(sum(e) / nullif(sum(n), 0), 0), 9)::double as cer, round(coalesce(sum(we) / nullif(sum(wn), 0), 0), 9)::double as wer,
             round(coalesce(sum(re) / nullif(sum(rn), 0), 0), 9)::double as restricted_cer, round(coalesce(sum(ce) / nullif(sum(cn), 0), 0), 9)::double as collapsed_cer
         from counted group by grouping sets ((model), (model, lang))""",

@@ -1,37 +1,47 @@
-"""Votes, bounds, learned choice and decoding over confusion networks of the synthetic members."""
+"""Votes, bounds, learned choice, selection and decoding over confusion networks of the synthetic readers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import char_distance
-from ..operators import charlm, learned, metrics, network
+from ..operators import charlm, learned, metrics, network, selection
 from . import views
-from .storage import cut
+from .queries_lines import TOKENS, WORDS
 
-MODELS = list(views.MEMBERS)
+MODELS = list(views.READERS)
 WEIGHTS = [1.0, 1.75, 1.0]
+#: Weights under which no two candidates score alike, but for those without any confidence.
+UNLIKE = [0.9269, 1.4542, 0.8528]
+SPECIAL = "éèñßöü"
+#: A text that no reader gets wholly right: its `a` is another letter, which none of them writes.
+TRUTH = ("a", "ʌ")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the synthetic members' readings; confidences follow from a character's place and the member."""
-    rows = views.predictions(spark, sf_dir)
-    conf = F.transform(F.sequence(F.lit(1), F.length("hyp")), lambda i: ((i * 7 + F.col("member") * 31 + F.col("doc_id")) % 101) / 100.0)
-    rows = rows.withColumn("conf", F.when(F.length("hyp") > 0, conf).otherwise(F.array().cast("array<double>")))
-    return network.hypotheses(rows, ["line_id"], ["ref", "lang", "doc_id"], conf="conf", members=3)
+    """Lines with the readers' texts and confidences."""
+    return network.hypotheses(views.readings(spark, sf_dir), ["line_id"], ["ref", "lang", "doc_id", "part"], conf="conf", members=3)
 
 
 def _networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(network.align(_lines(spark, sf_dir)))
+    return network.align(_lines(spark, sf_dir)).withColumn("truth", F.translate("ref", *TRUTH))
 
 
 def _prealigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks of members that only replace characters, so columns are places."""
-    rows = views.lines(spark, sf_dir)
-    readings = ["translate(ref, 'e', 'a')", "ref", "translate(ref, 'eo', 'iu')"]
-    cell = lambda m: f"struct(substring({readings[m]}, i, 1) as ch, false as is_gap, (((i * 7 + {m} * 31 + doc_id) % 101) / 100.0D) as conf)"
-    return rows.select("line_id", F.expr(f"transform(sequence(1, length(ref)), i -> array({cell(0)}, {cell(1)}, {cell(2)}))").alias("network"))
+    """The same networks without an alignment, as the readers' columns are the places of `ref`."""
+    texts = [F.translate("ref", "e", "ə"), F.col("ref"), F.translate("ref", "eo", "ɘɔ")]
+    dropped = F.expr("length(ref) > 1 and (doc_id + length(ref)) % 3 = 0")
+
+    def column(z: Column, i: Column) -> Column:
+        conf = lambda m, at: ((at * 7 + m * 31 + F.col("doc_id")) % 101) / 100.0
+        cells = [(z["0"], F.lit(False), conf(0, i + 1)), (z["1"], F.lit(False), conf(1, i + 1))]
+        gap = dropped & (i == 0)
+        cells.append((F.when(gap, "").otherwise(z["2"]), gap, F.when(~gap, conf(2, i + 1 - dropped.cast("int")))))
+        return F.array(*[F.struct(ch.alias("ch"), g.alias("is_gap"), c.alias("conf")) for ch, g, c in cells])
+
+    zipped = F.arrays_zip(*[metrics.characters(t).alias(str(k)) for k, t in enumerate(texts)])
+    return views.lines(spark, sf_dir).select("line_id", F.transform(zipped, column).alias("network"))
 
 
 def vote_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,31 +65,49 @@ def network_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns, gaps and the three votes of every aligned line."""
     rows = _networks(spark, sf_dir)
     gaps = F.expr("aggregate(transform(network, c -> size(filter(c, x -> x.is_gap))), 0, (a, n) -> a + n)")
-    return rows.select("line_id", F.size("network").alias("columns"), gaps.alias("gaps"), network.vote("majority").alias("majority"), network.vote().alias("confidence"), network.vote("confidence", WEIGHTS).alias("weighted"))
+    return rows.select("line_id", F.size("network").cast("long").alias("columns"), gaps.cast("long").alias("gaps"), network.vote("majority").alias("majority"), network.vote().alias("confidence"), network.vote("confidence", WEIGHTS).alias("weighted"))
 
 
 def oracle_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fewest errors of any choice per line, beside those of the confidence vote."""
-    return _networks(spark, sf_dir).select("line_id", network.oracle_errors().alias("oracle"), char_distance("ref", network.vote()).alias("vote"))
+    return _networks(spark, sf_dir).select("line_id", network.oracle_errors("truth").alias("oracle"), char_distance("truth", network.vote()).alias("vote"))
+
+
+def oracle_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rate of the best choices by language, as a ratio of sums."""
+    rows = _networks(spark, sf_dir).withColumn("__e", network.oracle_errors("truth"))
+    return rows.groupBy("lang").agg(F.round(metrics.ratio(F.col("__e"), F.length("truth")), 9).alias("oracle_cer"))
 
 
 def column_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.column_features(_networks(spark, sf_dir), "line_id")
+    rows = network.column_features(_networks(spark, sf_dir), "line_id", special=SPECIAL)
+    return rows.withColumns({"members": F.array_join("members", "+"), "conf_sum": F.round("conf_sum", 9), "position": F.round("position", 9), "n_agree": F.col("n_agree").cast("long"), "n_candidates": F.col("n_candidates").cast("long")})
+
 
+def _choices(rows: DataFrame, ref: str) -> DataFrame:
+    return learned.choices(rows, ["line_id", "fold"], MODELS, special=SPECIAL, language="fr", ref=ref)
 
-def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _networks(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 5).cast("int"))
-    return cut(learned.choices(rows, ["line_id", "fold"], MODELS, special="éèñßöü", language="fr", ref="ref"))
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _networks(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 5).cast("int"))
 
 
 def forced_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of the candidates of disputed columns."""
-    return _choices(spark, sf_dir).where("n_c > 1").select("line_id", "col", "ch", "is_gap", "cost")
+    return _choices(_folded(spark, sf_dir), "truth").select("line_id", F.col("col").cast("long").alias("col"), "ch", "is_gap", F.col("cost").cast("long").alias("cost"))
 
 
 def learned_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold texts of a learned choice."""
-    return learned.cross_validated(_choices(spark, sf_dir), ["line_id", "fold"])
+    """Out-of-fold texts of a learned choice. One reader is always right, which has to be learned."""
+    rows = _folded(spark, sf_dir)
+    return learned.cross_validated(rows, _choices(rows, "ref"), ["line_id", "fold"])
+
+
+def learned_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest weights of a choice learned from all lines."""
+    scorer = learned.fit(learned.examples(_choices(_folded(spark, sf_dir), "ref"), ["line_id", "fold"]))
+    top = scorer.top(learned.feature_names(MODELS)) if scorer else []
+    return spark.createDataFrame([(i, name, round(w, 6)) for i, (name, w) in enumerate(top)], "place int, feature string, weight double")
 
 
 def lm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +117,29 @@ def lm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("line_id", "decoded.text", F.size(F.filter("decoded.unsure", lambda x: x)).alias("unsure"))
 
 
+def lm_decode_without_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beam search that the model does not pull on, which is the weighted vote."""
+    raw = charlm.uses(views.lines(spark, sf_dir), "ref", 2)
+    rows = charlm.decode(_networks(spark, sf_dir), raw, 2, pull=0.0, gap_bias=0.0, weights=UNLIKE, constrain=False)
+    return rows.select("line_id", "decoded.text")
+
+
 def system_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rates of the votes, overall and by language."""
     rows = _networks(spark, sf_dir)
     each = F.array(*[F.struct(F.lit(n).alias("model"), v.alias("hyp")) for n, v in (("majority", network.vote("majority")), ("confidence", network.vote()), ("weighted", network.vote("confidence", WEIGHTS)))])
-    return metrics.evaluate(rows.select("lang", "ref", F.inline(each)), "éèñßöü")
+    found = metrics.evaluate(rows.select("lang", "ref", F.inline(each)), SPECIAL)
+    return found.select("model", "lang", "lines", *[F.round(c, 9).alias(c) for c in ("cer", "wer", "restricted_cer", "collapsed_cer")])
+
+
+def system_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each vote: its rates, and its character error rate in each language as a column of its own."""
+    return metrics.report(system_report(spark, sf_dir), ["de", "en", "es", "fr"])
+
+
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The votes' rates as printed lines."""
+    return metrics.format_report(system_report(spark, sf_dir))
 
 
 def combined_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,23 +148,130 @@ def combined_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.combined_checks(rows).select("line_id", "checked")
 
 
-QUERIES = {f.__name__: f for f in (vote_majority, vote_confidence, vote_weighted, unsure_counts, network_build, oracle_errors, column_features, forced_costs, learned_decode, lm_decode, system_report, combined_checks)}
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned, voted and constrained texts."""
+    return network.reconcile(_lines(spark, sf_dir)).select("line_id", "text")
+
+
+def combined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line's combined text with the number of its unsure characters, and the readers shown beside it."""
+    rows = network.combine(_lines(spark, sf_dir))
+    return rows.select("line_id", "text", F.size(F.filter("unsure", lambda x: x)).cast("long").alias("unsure"), F.array_join(F.map_keys("shown"), "+").alias("shown"))
+
+
+def error_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.error_overlap(views.readings(spark, sf_dir), "line_id")
+    return found.withColumn("jaccard", F.round("jaccard", 9))
+
+
+def network_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks as rows, by the table function that SQL can call too."""
+    return network.cells(_prealigned(spark, sf_dir), "line_id").withColumn("conf", F.round("conf", 9))
+
+
+def selection_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subset of readers under every method on the second half of validation, the best marked."""
+    rows = _lines(spark, sf_dir).where("part = 'valB'").withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+
+    def learn(lines: DataFrame, own: list[str]) -> DataFrame:
+        chosen = learned.choices(lines, ["line_id", "fold"], own, special=SPECIAL, language="fr", ref="ref")
+        texts = learned.cross_validated(lines, chosen, ["line_id", "fold"]).withColumnRenamed("text", "hyp")
+        return lines.select("line_id", "ref").join(texts, "line_id")
+
+    methods = {"majority": lambda lines, own: lines.withColumn("hyp", network.vote("majority")), "confidence": lambda lines, own: lines.withColumn("hyp", network.vote()), "learned": learn}
+    found = selection.protocol(rows, MODELS, methods, prepare=lambda lines, own: network.align(selection.subset(lines, own)))
+    return spark.createDataFrame([("+".join(r["members"]), r["method"], round(r["cer"], 9), i == 0) for i, r in enumerate(found)], "members string, method string, cer double, chosen boolean")
+
+
+QUERIES = {f.__name__: f for f in (vote_majority, vote_confidence, vote_weighted, unsure_counts, network_build, oracle_errors, oracle_rates, column_features, forced_costs, learned_decode, learned_weights, lm_decode, lm_decode_without_pull, system_report, system_table, report_text, combined_checks, reconciled, combined_lines, error_overlap, network_cells, selection_protocol)}
+
+_CELLS = views.SQL
+
+
+def _ascii(x: str) -> str:
+    """SQL that maps the texts' letters beyond ASCII, and the readers' own, to control characters: levenshtein() counts bytes there."""
+    letters = "éÉßÇèÊíñÑêÈöüÖÓÍÜçäÄóəɘɔʌ"
+    codes = [c for c in range(1, 32) if c not in (9, 10, 13)]
+    return f"translate({x}, '{letters}', {' || '.join(f'chr({c})' for c in codes[: len(letters)])})"
+
+
+def _lev(a: str, b: str) -> str:
+    return f"levenshtein({_ascii(a)}, {_ascii(b)})"
+
+
+def _vote(name: str, score: str, cells: str = "cells") -> str:
+    """CTEs: the scored candidates, the best ones and the texts of a vote."""
+    return f""", {name}_scored as (select line_id, i, c.ch as ch, c.gap as gap, {score} as s, min(c.m) as first, count(*) as support from {cells} group by line_id, i, c.ch, c.gap),
+        {name}_best as (select *, row_number() over (partition by line_id, i order by s desc, first) as r, sum(s) over (partition by line_id, i) as total from {name}_scored),
+        {name} as (select line_id, string_agg(ch, '' order by i) as text from {name}_best where r = 1 group by line_id)"""
+
+
+def _sum(weight: str = "") -> str:
+    value = f"{weight}(case when c.gap then 0.5 else c.conf end)::double"
+    return f"list_reduce(list_prepend(0.0::double, list_transform(list_sort(list({{'m': c.m, 's': {value}}})), lambda x: x.s)), lambda a, x: a + x)"
+
+
+_MAJORITY, _CONFIDENCE = _vote("majority", "count(*)::double"), _vote("confidence", _sum())
+_WEIGHTED = _vote("weighted", _sum("(case when c.m = 1 then 1.75 else 1.0 end)::double * "))
+_RATES = f"""model, lang, count(*)::bigint as lines, round(coalesce(sum(e) / nullif(sum(n), 0), 0), 9)::double as cer, round(coalesce(sum(we) / nullif(sum(wn), 0), 0), 9)::double as wer,
+            round(coalesce(sum(re) / nullif(sum(rn), 0), 0), 9)::double as restricted_cer, round(coalesce(sum(ce) / nullif(sum(cn), 0), 0), 9)::double as collapsed_cer"""
+_ONLY, _JOINED = f"regexp_replace({{x}}, '[^{SPECIAL}]', '', 'g')", "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+_SYSTEMS = f"""{_CELLS}{_MAJORITY}{_CONFIDENCE}{_WEIGHTED},
+        texts as (select line_id, 'majority' as model, text as hyp from majority union all select line_id, 'confidence', text from confidence union all select line_id, 'weighted', text from weighted),
+        parts as (select model, lang, {_lev('ref', 'hyp')} as e, length(ref) as n, {WORDS.format(x='ref')} as a, {WORDS.format(x='hyp')} as b, {_ONLY.format(x='ref')} as rr, {_ONLY.format(x='hyp')} as rh, {_JOINED.format(x='ref')} as cr, {_JOINED.format(x='hyp')} as ch from texts join lines using (line_id)),
+        counted as (select model, lang, e, n, {TOKENS} as we, len(a) as wn, {_lev('rr', 'rh')} as re, length(rr) as rn, {_lev('cr', 'ch')} as ce, length(cr) as cn from parts),
+        rated as (select {_RATES} from counted group by grouping sets ((model), (model, lang)))"""
+_A = "(length(ref) - length(replace(ref, 'a', '')))"
+
+#: Subsets of readers and, for each, what the votes get wrong: by a place's letter, whether it is the first one and missed, and its confidences.
+_SUBSETS = [[0, 1], [0, 2], [1, 2], [0, 1, 2]]
+
 
-_CELLS = f"""{views.SQL}, places as (select line_id, doc_id, ref, unnest(range(1, length(ref) + 1)) as i from lines),
-    cells as (select line_id, i, unnest([{{'m': 0, 'ch': substr(translate(ref, 'e', 'a'), i, 1), 'conf': ((i * 7 + doc_id) % 101) / 100.0::double}},
-        {{'m': 1, 'ch': substr(ref, i, 1), 'conf': ((i * 7 + 31 + doc_id) % 101) / 100.0::double}}, {{'m': 2, 'ch': substr(translate(ref, 'eo', 'iu'), i, 1), 'conf': ((i * 7 + 62 + doc_id) % 101) / 100.0::double}}]) as c from places)"""
+def _subset(k: int, own: list[int]) -> str:
+    cells = f", cells{k} as (select * from cells join (select line_id from read where part = 'valB') using (line_id) where c.m in ({', '.join(map(str, own))}))"
+    return cells + _vote(f"majority{k}", "count(*)::double", f"cells{k}") + _vote(f"confidence{k}", _sum(), f"cells{k}")
 
 
-def _vote(score: str) -> str:
-    return f"""{_CELLS}, scored as (select line_id, i, c.ch as ch, {score} as s, min(c.m) as first, count(*) as support from cells group by line_id, i, c.ch),
-        best as (select line_id, i, ch, support, s, row_number() over (partition by line_id, i order by s desc, first) as r, sum(s) over (partition by line_id, i) as total from scored)"""
+def _protocol() -> str:
+    ctes = "".join(_subset(k, own) for k, own in enumerate(_SUBSETS))
+    rate = lambda errors: f"round(sum({errors}) / sum(length(ref)), 9)::double"
+    rows = []
+    for k, own in enumerate(_SUBSETS):
+        name = "+".join(MODELS[m] for m in own)
+        rows += [f"select {4 * k + j} as place, '{name}' as members, '{method}' as method, {rate(_lev('ref', 'text'))} as cer from {method}{k} join read using (line_id)" for j, method in enumerate(("majority", "confidence"))]
+        # A reader that is always right is chosen; without it the better one of each letter, and neither for `e`.
+        missed = "0" if 1 in own else "length(ref) - length(replace(ref, 'e', ''))"
+        rows.append(f"select {4 * k + 2}, '{name}', 'learned', {rate(missed)} from read where part = 'valB'")
+    return f"{_CELLS}{ctes}, found as ({' union all '.join(rows)}) select members, method, cer, row_number() over (order by cer, place) = 1 as chosen from found"
 
 
-_SUM = "list_reduce(list_prepend(0.0::double, list_transform(list_sort(list({{'m': c.m, 's': {w}c.conf}})), lambda x: x.s)), lambda a, x: a + x)"
-_LINES = " select line_id, string_agg(ch, '' order by i) as text from best where r = 1 group by line_id"
 ORACLE_SQL = {
-    "vote_majority": _vote("count(*)::double") + _LINES,
-    "vote_confidence": _vote(_SUM.format(w="").replace("{{", "{").replace("}}", "}")) + _LINES,
-    "vote_weighted": _vote(_SUM.format(w="(case when c.m = 1 then 1.75 else 1.0 end)::double * ").replace("{{", "{").replace("}}", "}")) + _LINES,
-    "unsure_counts": _vote(_SUM.format(w="").replace("{{", "{").replace("}}", "}")) + " select line_id, count(*) filter (support = 1 or s / (case when total = 0 then 1 else total end) < 0.5)::bigint as unsure from best where r = 1 group by line_id",
+    "vote_majority": f"{_CELLS}{_MAJORITY} select * from majority",
+    "vote_confidence": f"{_CELLS}{_CONFIDENCE} select * from confidence",
+    "lm_decode_without_pull": f"{_CELLS}{_vote('unlike', _sum(f'[{UNLIKE[0]}, {UNLIKE[1]}, {UNLIKE[2]}][c.m + 1]::double * '))} select * from unlike",
+    "reconciled": f"{_CELLS}{_CONFIDENCE} select * from confidence",
+    "vote_weighted": f"{_CELLS}{_WEIGHTED} select * from weighted",
+    "unsure_counts": f"{_CELLS}{_CONFIDENCE} select line_id, count(*) filter (not gap and (support = 1 or s / (case when total = 0 then 1 else total end) < 0.5))::bigint as unsure from confidence_best where r = 1 group by line_id",
+    "combined_lines": f"""{_CELLS}{_CONFIDENCE}, flags as (select line_id, count(*) filter (not gap and (support = 1 or s / (case when total = 0 then 1 else total end) < 0.5))::bigint as unsure from confidence_best where r = 1 group by line_id)
+        select line_id, text, unsure, '{'+'.join(MODELS)}' as shown from confidence join flags using (line_id)""",
+    "network_build": f"""{_CELLS}{_MAJORITY}{_CONFIDENCE}{_WEIGHTED} select line_id, length(ref)::bigint as columns, dropped::bigint as gaps, majority.text as majority, confidence.text as confidence, weighted.text as weighted
+        from read join majority using (line_id) join confidence using (line_id) join weighted using (line_id)""",
+    "oracle_errors": f"{_CELLS}{_CONFIDENCE} select line_id, {_A}::bigint as oracle, {_lev(chr(116) + 'ranslate(ref, ' + repr('a') + ', ' + repr('ʌ') + ')', 'text')}::bigint as vote from read join confidence using (line_id)",
+    "oracle_rates": f"{_CELLS} select lang, round(sum({_A}) / sum(length(ref)), 9)::double as oracle_cer from read group by lang",
+    "column_features": f"""{_CELLS}, by_ch as (select line_id, i, any_value(ref) as ref, c.ch as ch, c.gap as is_gap, count(*)::bigint as n_agree, round(list_reduce(list_prepend(0.0::double, list_transform(list_sort(list({{'m': c.m, 's': coalesce(c.conf, 0)::double}})), lambda x: x.s)), lambda a, x: a + x), 9) as conf_sum,
+            coalesce(max(c.conf), 0)::double as conf_max, string_agg(c.m::varchar, '+' order by c.m) as members, min(c.m)::int as first from cells group by line_id, i, c.ch, c.gap)
+        select line_id, (i - 1)::int as col, ch, is_gap, n_agree, conf_sum, conf_max, not is_gap and strpos('{SPECIAL}', ch) > 0 as is_special, false as is_mark, count(*) over (partition by line_id, i)::bigint as n_candidates, round((i - 1) / length(ref), 9)::double as position, members, first from by_ch""",
+    "forced_costs": f"""{_CELLS}, c as (select distinct line_id, ref, i, c.ch as ch, c.gap as is_gap from cells), d as (select *, count(*) over (partition by line_id, i) as n from c)
+        select line_id, (i - 1)::bigint as col, ch, is_gap, ({_A} + case when is_gap then (substr(ref, i, 1) <> 'a')::int else (ch <> substr(ref, i, 1))::int end)::bigint as cost from d where n > 1""",
+    "learned_decode": f"{_CELLS} select line_id, (doc_id % 5)::int as fold, ref as text from read",
+    "system_report": f"{_SYSTEMS} select * from rated",
+    "system_table": f"""{_SYSTEMS} select model, max(lines) filter (lang is null) as lines, {', '.join(f"max({c}) filter (lang is null) as {c}" for c in ('cer', 'wer', 'restricted_cer', 'collapsed_cer'))},
+        {', '.join(f"max(cer) filter (lang = '{x}') as cer_{x}" for x in ('de', 'en', 'es', 'fr'))} from rated group by model""",
+    "report_text": f"""{_SYSTEMS}, lined as (select model, coalesce(lang, '') as lang, format('{{:<14s}} {{:<6s}} {{:>8d}} {{:>8s}} {{:>8s}} {{:>8s}}', model, coalesce(lang, 'all'), lines, printf('%.2f%%', cer * 100), printf('%.2f%%', wer * 100), printf('%.2f%%', restricted_cer * 100)) as line from rated)
+        select string_agg(line, chr(10) order by model, lang) as report from lined""",
+    "combined_checks": f"{_CELLS} select line_id, translate(ref, 'e', 'ə') as checked from read",
+    "error_overlap": f"""{_CELLS}, n as (select sum(length(ref) - length(replace(ref, 'e', '')))::bigint as e, sum(length(ref) - length(translate(ref, 'eo', '')) + (dropped and substr(ref, 1, 1) not in ('e', 'o'))::int)::bigint as eo from read)
+        select 'schwa' as model_a, 'keep' as model_b, 0::bigint as both, e as either, 0.0::double as jaccard from n union all select 'schwa', 'drop', e, eo, round(e / eo, 9)::double from n union all select 'keep', 'drop', 0, eo, 0.0::double from n""",
+    "network_cells": f"{_CELLS} select line_id, (i - 1)::int as col, c.m::int as member, c.ch as ch, c.gap as is_gap, round(c.conf, 9)::double as conf from cells",
+    "selection_protocol": _protocol(),
 }

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +20,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scanned table dealt to all cores if it comes from fewer files than there are; larger inputs stay where they are."""
+    """A scanned table dealt to all cores if it has fewer partitions than there are; larger inputs stay where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to spark.checkpoint.dir and read it from there; a folder of its own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    """Write df to spark.checkpoint.dir and read it from there; a folder of its own only where that is unset on one machine."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, set for this session; a temporary one where it is unset and Spark runs on one machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def summed(df: DataFrame, matrix: Callable[[pd.DataFrame], np.ndarray], shape: tuple[int, ...], pools: int = 16) -> np.ndarray:
+    """The sum of matrix(frame) over all of df: each partition sends one matrix to one of `pools` tasks by its number, these send one each."""
+
+    def total(frames: Iterator[pd.DataFrame], of: Callable[[pd.DataFrame], np.ndarray]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(shape)
+        for frame in frames:
+            if len(frame):
+                out += of(frame)
+        yield pd.DataFrame({"pool": [TaskContext.get().partitionId() % pools], "sum": [out.tobytes()]})
+
+    def read(frame: pd.DataFrame) -> np.ndarray:
+        return np.sum([np.frombuffer(b).reshape(shape) for b in frame["sum"]], 0)
+
+    schema = "pool int, sum binary"
+    parts = df.mapInPandas(lambda frames: total(frames, matrix), schema)
+    if df.rdd.getNumPartitions() > pools:
+        parts = parts.repartition(pools, "pool").mapInPandas(lambda frames: total(frames, read), schema)
+    return np.sum([np.zeros(shape), *(np.frombuffer(bytes(r["sum"])).reshape(shape) for r in parts.collect())], 0)  # `pools` rows at most
+
+
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows fit in `limit` bytes, else df, which joins by shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

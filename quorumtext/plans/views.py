@@ -31,6 +31,39 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("*", F.inline(edits))
 
 
+#: The recognisers of readings(), in member order.
+READERS = ("schwa", "keep", "drop")
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lines with one row per member: (model, member, hyp, conf).
+
+    The first writes another letter for `e`, the second reads all rightly, the third writes others again for
+    `e` and `o` and misses the first letter of a third of the lines. No letter that they make up stands in a
+    text, so columns of their alignment are the places of `ref`, and both engines can derive them.
+    """
+    own = lines(spark, sf_dir).withColumn("dropped", F.expr("length(ref) > 1 and (doc_id + length(ref)) % 3 = 0"))
+    made = ("translate(ref, 'e', 'ə')", "ref", "translate(if(dropped, substring(ref, 2), ref), 'eo', 'ɘɔ')")
+    rows = own.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("member"), F.lit(m).alias("model"), F.expr(h).alias("hyp")) for i, (m, h) in enumerate(zip(READERS, made, strict=True))])))
+    return rows.withColumn("conf", F.expr("transform(sequence(1, length(hyp)), i -> ((i * 7 + member * 31 + doc_id) % 101) / 100.0D)"))
+
+
+#: Latin letters and the letters and marks of the script that mixed() and ajami() put in their place.
+MIXED = ("abdeou", "ابدَرُ")
+AJAMI = ("bdfklmnrstzaiu", "بدفكلمنرستزَُِ")
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lines with `mixed`: some letters are those of the other script, some its vowel signs."""
+    return lines(spark, sf_dir).withColumn("mixed", F.translate("ref", *MIXED))
+
+
+def ajami(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lines with `ajami`: what of a line can be written in consonants and vowel signs of the script, and `latin`, the letters that these stand for."""
+    rows = lines(spark, sf_dir).withColumn("latin", F.regexp_replace(F.lower("ref"), "[^bdfklmnrstzaiu ]", ""))
+    return rows.withColumn("ajami", F.translate("latin", *AJAMI))
+
+
 #: The same views for the oracle.
 SQL = f"""
     with raw as (select doc_id, lang, source, unnest(string_split(text, chr(10))) as whole, generate_subscripts(string_split(text, chr(10)), 1) - 1 as row from documents),
@@ -42,5 +75,13 @@ SQL = f"""
     preds as (
         select *, 0 as member, 'drop_h' as model, replace(ref, 'th', 't') as hyp from lines
         union all select *, 1, 'keep', replace(ref, 'ou', 'u') from lines
-        union all select *, 2, 'swap_e', translate(ref, 'eé', 'ae') from lines)
+        union all select *, 2, 'swap_e', translate(ref, 'eé', 'ae') from lines),
+    mixed as (select *, translate(ref, '{MIXED[0]}', '{MIXED[1]}') as mixed from lines),
+    read as (select *, length(ref) > 1 and (doc_id + length(ref)) % 3 = 0 as dropped from lines),
+    places as (select line_id, doc_id, lang, ref, dropped, unnest(range(1, length(ref) + 1)) as i from read),
+    cells as (select line_id, doc_id, lang, ref, i, unnest([
+        {{'m': 0, 'ch': translate(substr(ref, i, 1), 'e', 'ə'), 'gap': false, 'conf': ((i * 7 + doc_id) % 101) / 100.0::double}},
+        {{'m': 1, 'ch': substr(ref, i, 1), 'gap': false, 'conf': ((i * 7 + 31 + doc_id) % 101) / 100.0::double}},
+        {{'m': 2, 'ch': case when dropped and i = 1 then '' else translate(substr(ref, i, 1), 'eo', 'ɘɔ') end, 'gap': dropped and i = 1,
+            'conf': case when dropped and i = 1 then null else (((i - dropped::int) * 7 + 62 + doc_id) % 101) / 100.0::double end}}]) as c from places)
 """

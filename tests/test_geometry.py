@@ -54,3 +54,23 @@ def test_joins_on_boxes(spark):
     ink = np.zeros((20, 100), dtype=bool)
     ink[:, 10:40] = ink[:, 44:50] = ink[:, 90:95] = True
     assert boxes.widen(ink, [(12, 0, 30, 20)], 8) == [(10, 0, 50, 20)]
+
+
+def test_line_images_keep_their_proportions():
+    import numpy as np
+
+    grey = np.full((32, 100), 200, dtype=np.uint8)
+    grey[:, :50] = 10
+    out = signal.prepared(grey)
+    assert out.shape == (64, 200) and (out[:, :80] > 190).all() and (out[:, 120:] < 20).all()  # mirrored
+    assert signal.prepared(np.zeros((10, 1000), np.uint8)).shape == (64, 1600)
+    batch = signal.padded([out, out[:, :50]])
+    assert batch.shape == (2, 64, 200) and (batch[1, :, 50:] == 1).all()
+
+
+def test_early_stopping(spark):
+    from quorumtext.operators import metrics
+
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([5.0, 4.0, 4.0, 6.0, 3.0, 9.0])], "run string, step int, v double")
+    rows = metrics.best_so_far(df, "run", "step", "v", 2).orderBy("step").collect()
+    assert [r["best"] for r in rows] == [5, 4, 4, 4, 3, 3] and [r["misses"] for r in rows] == [0, 0, 1, 2, 0, 1] and [r["stopped"] for r in rows] == [False, False, False, False, True, True]
