@@ -36,7 +36,7 @@ LATER = (
     (0x3D000, 0x3FC3F),
 )
 #: Finished words and trie nodes that a worker keeps between batches before it starts anew.
-MAX_WORDS, MAX_NODES = 700_000, 700_000
+MAX_WORDS, MAX_NODES = 300_000, 300_000
 #: Bytes of the longest word whose prefixes become nodes, which bounds the nodes' bytes too. Longer words
 #: pass the same recurrence over their positions, and are forgotten with their batch.
 MAX_PATH = 64
@@ -74,7 +74,7 @@ class Vocabulary:
     def agree(self, left: int, right: int) -> bool:
         """Whether `left`, `right` stay as they are when their bytes are encoded together."""
         if (known := self.agreed.get((left, right))) is None:
-            if len(self.agreed) > 2_000_000:
+            if len(self.agreed) > 500_000:
                 self.agreed.clear()
             known = self.agreed[left, right] = self._agree(left, right)
         return known

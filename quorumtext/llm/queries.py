@@ -23,7 +23,8 @@ def tokenizer(name: str) -> str:
 
 def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: shingles of three words, similarity 0.85."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=85)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,44 @@ QUERIES = {
     "op10_positional_index_decontamination": op10_positional_index_decontamination,
 }
 
+#: Lower case of A to Z alone.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The smallest id that links (a, b), given in both directions, reach from each.
+_REACH = """reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a), least as (select a as id, min(b) as least from reach group by a)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_minmax_near_dedup": rf"""
+        with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, list_distinct(case when w is null or len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as s from w),
+        n as (select doc_id, len(s) as n from s), each as (select doc_id, unnest(s) as g from s),
+        common as (select x.doc_id as a, y.doc_id as b, count(*) as k from each x join each y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+        links as (select a, b from common join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 85 * (x.n + y.n - k)), {_REACH}
+        select doc_id, n::bigint as n_shingles, least(doc_id, coalesce(least, doc_id)) as component_id, doc_id = least(doc_id, coalesce(least, doc_id)) as kept from n left join least on doc_id = id
+    """,
+    "op4_wrapper_extraction": r"""
+        with a as (select page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') as body from pages),
+        b as (select page_id, url, string_split(regexp_replace(regexp_replace(body, '</?(p|h1|br|div|ul|li)( [^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) as blocks from a),
+        c as (select page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as blocks from b)
+        select page_id, url, array_to_string(blocks, chr(10)) as text, length(array_to_string(blocks, chr(10)))::bigint as n_chars from c
+    """,
+    "op8_spherical_cap_dedup": f"""
+        with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings where label is not null and embedding is not null),
+        u as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from v where len(v) > 0 and list_sum(list_transform(v, lambda y: y * y)) > 0),
+        links as (select x.vec_id as a, y.vec_id as b from u x join u y on x.label = y.label and x.vec_id <> y.vec_id where list_dot_product(x.u, y.u) >= 0.98::double), {_REACH},
+        counts as (select a, count(*) as n from links group by a)
+        select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(least, vec_id)) as component_id, vec_id = least(vec_id, coalesce(least, vec_id)) as kept from embeddings left join least on vec_id = id left join counts on vec_id = a
+    """,
+    "op10_positional_index_decontamination": rf"""
+        with d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+        i as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        windows as (select distinct item_id, size, array_to_string(w[k:k + size - 1], ' ') as g from (select *, unnest(range(1, len(w) - size + 2)) as k from (select *, least(len(w), 10) as size from i where len(w) > 0))),
+        places as (select doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') as g from (select *, unnest(range(1, len(w) - size + 2)) as k from d, (select distinct size from windows))),
+        met as (select doc_id, item_id, k, size from places join windows using (size, g)),
+        hits as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(k, k + size)) as p from met) group by doc_id),
+        items as (select doc_id, count(*) as n, string_agg(x, ',' order by x) as ids from (select distinct doc_id, item_id::varchar as x from met) group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(hits.n, 0)::bigint as n_hit, coalesce(items.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(hits.n, 0) > 0 as contaminated
+        from d left join hits using (doc_id) left join items using (doc_id)
+    """,
     "op3_typed_part_chat": """
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -37,6 +37,8 @@ PARTS, STEPS = 8, 30
 #: A feature is telling from so many toxic documents, this log odds ratio and this log likelihood gain on.
 LEAST_DOCS, LEAST_ODDS, LEAST_GAIN = 4, 2.5, 12.0
 PREFIXES = (4, 5, 6)
+#: Features that a task counts before it hands them on, and tokens whose evidence it remembers.
+HELD, REMEMBERED = 50_000, 150_000
 
 
 def _marks() -> str:
@@ -74,7 +76,7 @@ class Field:
     def evidence(self, token: str) -> float:
         """Weight of a token for being toxic, beside the bias; 0 for one without lexicon features."""
         if (e := self.known.get(token)) is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             e = self.known[token] = sum(self.weights.get(f, 0.0) for f in features(token))
         return e
@@ -150,12 +152,21 @@ def lexicon(taken: DataFrame) -> dict[str, float]:
     totals = taken.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
 
     def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: tuple[Counter, Counter] = Counter(), Counter()
+
+        def counted() -> pd.DataFrame:
+            names = list(sums[0].keys() | sums[1].keys())
+            out = pd.DataFrame({"f": names, "t": [sums[1][f] for f in names], "c": [sums[0][f] for f in names]})
+            sums[0].clear()
+            sums[1].clear()
+            return out
+
         for frame in frames:
-            sums: tuple[Counter, Counter] = Counter(), Counter()
             for body, y in zip(frame.text, frame.y, strict=True):
                 sums[y].update({f for t in set(_TOKEN.findall(body.lower())) for f in features(t)})
-            names = list(sums[0] | sums[1])
-            yield pd.DataFrame({"f": names, "t": [sums[1][f] for f in names], "c": [sums[0][f] for f in names]})
+                if len(sums[0]) + len(sums[1]) > HELD:
+                    yield counted()
+        yield counted()
 
     counts = taken.select("text", "y").mapInPandas(held, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     likely = {r["f"] for r in _telling(counts, totals["t"], totals["n"]).select("f").collect()}  # at most a LEAST_DOCS-th of the sample's features
