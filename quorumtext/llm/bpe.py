@@ -274,7 +274,7 @@ def encode(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text")
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _in_batches(batches, 2000, 4 << 20):
+        for b in _in_batches(batches, 1000, 1 << 20):
             texts = b.column(1).to_pylist()
             joined, same = [], []
             for body, pieces in zip(texts, encode_words(texts, spec.value), strict=True):
@@ -310,7 +310,7 @@ def digests(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text"
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _in_batches(batches, 2000, 4 << 20):
+        for b in _in_batches(batches, 1000, 1 << 20):
             n, a, d = [], [], []
             for pieces in encode_words(b.column(1).to_pylist(), spec.value):
                 ids = ",".join([p[0] for p in pieces])
