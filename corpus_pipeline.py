@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumtext.llm import bpe, decontaminate, minhash, quality, toxicity
-from quorumtext.llm.common import cut, sized, table
+from quorumtext.llm.common import cut, short_batches, sized, table
 from quorumtext.llm.queries import tokenizer
 
 #: Documents go from this toxicity on, and below this quality.
@@ -37,6 +37,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows that share an id and not a text are documents of their own. Rows with a null id stay.
     """
+    short_batches(spark)
     found = cut(minhash.near_duplicates(docs, size=SHINGLE, threshold=SIMILAR).withColumnRenamed("text_hash", "__text_hash"))
     own = ["doc_id", "__text_hash"]
     gone = found.where(~F.col("kept")).select(*own).distinct()
@@ -59,6 +60,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip): the ids of every text, and whether they decode to it."""
+    short_batches(spark)
     out = bpe.encode(docs, tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
