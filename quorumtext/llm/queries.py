@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capfilter, chat, decontaminate, minhash, quality, sharding, toxicity, unigram, wrappers
+from . import bpe, capfilter, chat, decontaminate, minhash, quality, repair, repeats, resample, sharding, toxicity, unigram, wrappers
 from .common import table
 from .labelled import held_out
 
@@ -92,6 +92,23 @@ def op10_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> D
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
 
 
+def op11_recursive_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation, after damage to its rows."""
+    given = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(given), conversations=given)
+
+
+def op12_anchored_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document without passages of 20 words or more that come earlier."""
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), size=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_chunked_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's words, and the tenth that is drawn by them."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minmax_near_dedup": op1_minmax_near_dedup,
     "op2_trie_bpe": op2_trie_bpe,
@@ -103,6 +120,9 @@ QUERIES = {
     "op8_spherical_cap_dedup": op8_spherical_cap_dedup,
     "op9_bounded_ring_sharding": op9_bounded_ring_sharding,
     "op10_positional_index_decontamination": op10_positional_index_decontamination,
+    "op11_recursive_repair": op11_recursive_repair,
+    "op12_anchored_repeats": op12_anchored_repeats,
+    "op13_chunked_resampling": op13_chunked_resampling,
 }
 
 #: Lower case of A to Z alone.
@@ -110,6 +130,10 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 #: The smallest id that links (a, b), given in both directions, reach from each.
 _REACH = """reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a), least as (select a as id, min(b) as least from reach group by a)"""
 
+#: CRC-32 of a text `s` by a table `crc` made from the polynomial.
+_CRC_TABLE = "crc as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: xor(c >> 1, (c & 1) * 3988292384), i)) as crc)"
+_CRC = "xor(list_reduce(range(octet_length(encode(s))), lambda a, k: xor(a >> 8, crc[(xor(a, ('0x' || substr(hex(encode(s)), 2 * k::int + 1, 2))::bigint) & 255) + 1]), 4294967295), 4294967295)"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minmax_near_dedup": rf"""
         with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
@@ -155,4 +179,52 @@ ORACLE_SQL: dict[str, str] = {
             sum(24 + length(role) + length(replace(text, '<|', '<||')))::bigint as formatted_chars, 0::bigint as attachments, 0::bigint as expanded_tokens
         from turns group by conv_id
     """,
+    "op11_recursive_repair": rf"""
+        with recursive {_CRC_TABLE},
+        given as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as s from conversations),
+        hit as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC} % 20 as f from given, crc),
+        rows_ as (select conv_id, turn, case f when 4 then 'user' else role end as role, case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case f when 3 then 2 else 1 end)) as copy from hit where f <> 0),
+        placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as k, left(role, 1) as letter, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank from rows_),
+        told as (select *, not blank and row_number() over (partition by conv_id, role, text order by k) > 1 as duplicate, lag(letter) over (partition by conv_id order by k) || letter as pair from placed),
+        turns as (select *, blank or duplicate as gone, not blank and not duplicate and not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') as truncated from told),
+        steps(state, letter, target, name) as (values (0, 's', 1, null), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+        entry(state, target, audit, cost, said) as (select state, state, '', 0, []::varchar[] from (values (0), (1), (2), (3)) x(state) union all select state, target, 'I', 5, [name || ':'] from steps where name is not null),
+        best as (
+            select conv_id, 0::bigint as k, 0 as state, {{'cost': 0::bigint, 'audit': '', 'said': []::varchar[]}} as b from conversations group by conv_id
+            union all
+            select conv_id, k, state, min(b) from (
+                select p.conv_id, t.k, p.state, {{'cost': p.b.cost + 2, 'audit': p.b.audit || 'D', 'said': p.b.said}} as b from (select best.conv_id, best.k, e.target as state, {{'cost': best.b.cost + e.cost, 'audit': best.b.audit || e.audit, 'said': best.b.said || e.said}} as b from best join entry e on e.state = best.state) p join turns t on t.conv_id is not distinct from p.conv_id and t.k = p.k + 1
+                union all
+                select p.conv_id, t.k, s.target, {{'cost': p.b.cost + (case when truncated then 5 else 0 end), 'audit': p.b.audit || 'K', 'said': list_append(p.b.said, t.role || ':' || t.text)}} from (select best.conv_id, best.k, e.target as state, {{'cost': best.b.cost + e.cost, 'audit': best.b.audit || e.audit, 'said': best.b.said || e.said}} as b from best join entry e on e.state = best.state) p join turns t on t.conv_id is not distinct from p.conv_id and t.k = p.k + 1 and not gone join steps s on s.state = p.state and s.letter = t.letter
+                union all
+                select p.conv_id, t.k, s.target, {{'cost': p.b.cost + 1 + (case when truncated then 5 else 0 end), 'audit': p.b.audit || 'R', 'said': list_append(p.b.said, s.name || ':' || t.text)}} from (select best.conv_id, best.k, e.target as state, {{'cost': best.b.cost + e.cost, 'audit': best.b.audit || e.audit, 'said': best.b.said || e.said}} as b from best join entry e on e.state = best.state) p join turns t on t.conv_id is not distinct from p.conv_id and t.k = p.k + 1 and not gone join steps s on s.state = p.state and s.name is not null
+            ) group by conv_id, k, state
+        ),
+        ended as (select conv_id, min({{'cost': b.cost + e.cost, 'audit': b.audit || e.audit, 'said': b.said || e.said}}) as b from best join (select conv_id, max(k) as last from best group by conv_id) l using (conv_id) join entry e on e.state = best.state and e.target in (0, 3) where k = last group by conv_id),
+        counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, sum(blank::int)::bigint as blank, sum(duplicate::int)::bigint as duplicate, sum(truncated::int)::bigint as truncated, sum((pair not in ('su', 'ua', 'au'))::int)::bigint as illegal from turns group by conv_id)
+        select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, b.cost as cost, b.audit as audit, sha256(array_to_string(b.said, chr(10))) as repaired_sha256 from ended left join counts using (conv_id)
+    """,
+    "op12_anchored_repeats": r"""
+        with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+        each as (select doc_id, unnest(range(1, len(w) - 18)) as k, w from w where len(w) >= 20),
+        windows as (select doc_id, k, md5(array_to_string(w[k:k + 19], ' ')) as g from each),
+        later as (select doc_id, k from (select doc_id, k, row_number() over (partition by g order by doc_id, k) as n from windows) where n > 1),
+        gone as (select doc_id, list(distinct p) as gone from (select doc_id, unnest(range(k, k + 20)) as p from later) group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed, sha256(case when gone is null then array_to_string(w, ' ') else array_to_string(list_filter(w, lambda x, i: not list_contains(gone, i)), ' ') end) as kept_sha256 from w left join gone using (doc_id)
+    """,
+    "op13_chunked_resampling": rf"""
+        with {_CRC_TABLE},
+        d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+        i as (select coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from benchmark),
+        dw as (select doc_id, s, count(*) as n from (select doc_id, unnest(w) as s from d) group by 1, 2),
+        iw as (select s, count(*) as n from (select unnest(w) as s from i) group by 1),
+        code as (select s, {_CRC} % 10000 as b from (select s from dw union select s from iw), crc),
+        own as (select b, sum(n) as s from dw join code using (s) group by b),
+        wanted as (select b, sum(n) as t from iw join code using (s) group by b),
+        gain as (select r.b, floor(1000 * ln(((coalesce(t, 0) + 1) * ((select coalesce(sum(s), 0) from own) + 10000))::double / ((coalesce(s, 0) + 1) * ((select coalesce(sum(t), 0) from wanted) + 10000))::double))::bigint as g from (select unnest(range(10000)) as b) r left join own on own.b = r.b left join wanted on wanted.b = r.b),
+        sums as (select doc_id, sum(n * g)::bigint as g from dw join code using (s) join gain using (b) group by doc_id),
+        weighed as (select doc_id, len(w)::bigint as n_features, case when len(w) = 0 then 0 else (g - ((g % len(w)) + len(w)) % len(w)) // len(w) end::bigint as weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h from d left join sums using (doc_id)),
+        scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5)::double / 4294967296::double)))::bigint as score, row_number() over (partition by n_features >= 20 order by weight + floor(-1000 * ln(-ln((h + 0.5)::double / 4294967296::double)))::bigint desc, doc_id) as r from weighed)
+        select doc_id, n_features, weight, score, case when n_features >= 20 and r <= (select count(*) * 10 // 100 from scored where n_features >= 20) then r end::bigint as rank from scored
+    """,
 }
