@@ -1,8 +1,8 @@
 """Repeated passages: winnowed anchors are seeds, matches are extended to both sides, maximal repeats are kept.
 
 Any `size` consecutive words hold size - seed + 1 runs of `seed` words; the one with the least hash is
-their anchor. Equal windows have equal anchors, so documents meet on anchors alone. Of the occurrences
-of an anchor that agree in all words that a window around it can reach, all but the first are
+their anchor. Equal windows have equal anchors, so documents meet on anchors alone, in one shuffle. Of the
+occurrences of an anchor that agree in all words that a window around it can reach, all but the first are
 extended at once to the full reach; where an anchor has several such surroundings, each one's first
 occurrence is extended by single windows. Extended matches that overlap make up maximal repeats.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import numbered
-from .common import cut, fits, sized, with_group
+from .common import cut, fits, sized, written
 
 #: Words of a seed.
 SEED = 8
@@ -100,41 +100,44 @@ class Batch:
         return np.searchsorted(self.first, at, "right") - 1
 
 
-def later(*keys: np.ndarray) -> np.ndarray:
-    """Whether a row repeats an earlier one in all keys."""
-    order = np.lexsort(keys[::-1])
-    same = np.ones(len(order), bool)
-    for k in keys:
-        same[1:] &= k[order][1:] == k[order][:-1]
-    if len(same):
-        same[0] = False
+def later(g: np.ndarray, c: np.ndarray, no: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether an earlier one of these rows, by (no, pos), has the same (g, c)."""
+    order = np.lexsort((pos, no, c, g))
     out = np.zeros(len(order), bool)
-    out[order] = same
+    out[order[1:]] = (g[order][1:] == g[order][:-1]) & (c[order][1:] == c[order][:-1])
     return out
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())
+#: Kinds of rows on their way to be compared: by their group, by (g, c) as the group is hot, or known to be repeated. And what they are found to be.
+PLAIN, HOT, KNOWN = 0, 1, 2
+REPEATED, OPEN = 0, 1
+FOUND = "no long, pos int, g long, c long, kind byte"
 
 
-def anchors(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """(no, pos, g, c, inner) of (no, bytes): each anchor's place, its hash, that of its surroundings, and whether the document has it with them before."""
+def _batch(batch: Batch, numbers: pa.Array, at: np.ndarray, g: np.ndarray, c: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    """Rows of FOUND for places of a batch. Only the first of equal rows of a batch has to meet others, so that a common passage sends one row a batch."""
+    doc = batch.doc_of(at)
+    no, pos = numbers.to_numpy()[doc], at - batch.first[doc]
+    known = later(g, c, no, pos)
+    kind = np.where(known, KNOWN, np.where(np.isin(g.view(np.int64), hot), HOT, PLAIN)).astype(np.int8)
+    hashes = (pa.array(np.where(known, 0, x.view(np.int64)), pa.int64()) for x in (g, c))
+    return pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(pos, pa.int32()), *hashes, pa.array(kind, pa.int8())], ["no", "pos", "g", "c", "kind"])
+
+
+def anchors(docs: DataFrame, size: int, seed: int, hot: np.ndarray) -> DataFrame:
+    """FOUND of (no, bytes): each anchor's place, its hash and that of its surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             batch = Batch([x.as_py() for x in b.column(1)], size, seed)
             at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(a) for _, a in batch.windows())]))
-            doc = batch.doc_of(at)
-            g = rolled(batch.words, at, seed, ODD[0])
-            c = rolled(batch.words, at, size + batch.reach, ODD[1], -batch.reach)
-            inner = later(doc.astype(np.uint64), g, c)  # places are in order, and a stable sort keeps it
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(at - batch.first[doc], pa.int32()), _signed(g), _signed(c), pa.array(inner)], ["no", "pos", "g", "c", "inner"])
+            yield _batch(batch, b.column(0), at, rolled(batch.words, at, seed, ODD[0]), rolled(batch.words, at, size + batch.reach, ODD[1], -batch.reach), hot)
 
-    return docs.mapInArrow(run, "no long, pos int, g long, c long, inner boolean")
+    return docs.mapInArrow(run, FOUND)
 
 
 def _windows(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """(no, pos, g, c, inner) of (no, bytes, places): each window whose anchor is at one of the places, with 128 bits of hash."""
+    """FOUND of (no, bytes, places): each window whose anchor is at one of the places, with 128 bits of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,38 +146,63 @@ def _windows(docs: DataFrame, size: int, seed: int) -> DataFrame:
             lists = b.column(2)
             wanted[lists.flatten().to_numpy() + np.repeat(batch.first, lists.value_lengths().to_numpy())] = True
             at = np.concatenate([np.zeros(0, np.int64), *(starts[wanted[places]] for starts, places in batch.windows())])
-            doc = batch.doc_of(at)
-            g, c = (rolled(batch.words, at, size, odd) for odd in ODD[:2])
-            inner = later(doc.astype(np.uint64), g, c)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(at - batch.first[doc], pa.int32()), _signed(g), _signed(c), pa.array(inner)], ["no", "pos", "g", "c", "inner"])
+            yield _batch(batch, b.column(0), at, *(rolled(batch.words, at, size, odd) for odd in ODD[:2]), np.zeros(0, np.int64))
 
-    return docs.mapInArrow(run, "no long, pos int, g long, c long, inner boolean")
+    return docs.mapInArrow(run, FOUND)
 
 
-def _judged(found: DataFrame) -> DataFrame:
-    """The rows of found(no, pos, g, c, inner) with `first`: no document of a smaller number has the same (g, c), nor this one before.
+def _compared(found: DataFrame) -> DataFrame:
+    """(no, pos, kind): REPEATED if (g, c) is also that of an earlier (no, pos), OPEN if it is the first but the same g has another c too; other rows are left out.
 
-    The join is on the document's number too, so a common key is no hot one.
+    Rows meet sorted by (g, c, no, pos) and are read as a stream. Those of a hot g are dealt by (g, c) and all open.
     """
-    least = found.where("not inner").groupBy("g", "c").agg(F.min("no").alias("no")).withColumn("least", F.lit(True))
-    own = found.where("not inner").join(least, ["g", "c", "no"], "left").select("no", "pos", "g", "c", F.col("least").isNotNull().alias("first"))
-    return own.unionByName(found.where("inner").select("no", "pos", "g", "c", F.lit(False).alias("first")))
-
-
-def _numbered(df: DataFrame, key: str, text: str) -> DataFrame:
-    """df with `no`, a number for each document in the order of keys, null last, and `bytes`, its text.
 
-    A long key is its own number. Only where keys are null, of another type or shared by different texts are
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pending = None, None  # (g, c) of the row before; the first row of its g, while that has one c
+        for b in batches:
+            no, pos, g, c, kind = (x.to_numpy() for x in b.columns)
+            if not len(no):
+                continue
+            known = kind == KNOWN
+            out_no, out_pos, what = [no[known]], [pos[known]], [np.zeros(known.sum(), np.int8)]
+            no, pos, g, c, hot = (x[~known] for x in (no, pos, g, c, kind == HOT))
+            if len(no):
+                new = np.ones(len(no), bool)
+                new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+                new[0] = last != (g[0], c[0])
+                first = np.flatnonzero(new)
+                same = g[first][1:] == g[first][:-1]  # as the g of the first row of a context before it
+                after = np.concatenate([[last is not None and last[0] == g[first[0]]], same]) if len(first) else np.zeros(0, bool)
+                if len(first):
+                    if after[0] and pending is not None:
+                        out_no.append(pending[:1]), out_pos.append(pending[1:].astype(np.int32)), what.append(np.ones(1, np.int8))
+                    open_ = first[after | np.concatenate([same, [False]]) | hot[first]]
+                    out_no.append(no[open_]), out_pos.append(pos[open_]), what.append(np.ones(len(open_), np.int8))
+                    end = first[-1]
+                    pending = None if after[-1] or hot[end] else np.array([no[end], pos[end]])
+                out_no.append(no[~new]), out_pos.append(pos[~new]), what.append(np.zeros(int((~new).sum()), np.int8))
+                last = (g[-1], c[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_no), pa.int64()), pa.array(np.concatenate(out_pos), pa.int32()), pa.array(np.concatenate(what), pa.int8())], ["no", "pos", "kind"])
+
+    dealt = F.when(F.col("kind") == PLAIN, F.xxhash64("g")).when(F.col("kind") == HOT, F.xxhash64("g", "c")).otherwise(F.xxhash64("no", "pos"))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, dealt).sortWithinPartitions("g", "c", "no", "pos").mapInArrow(run, "no long, pos int, kind byte")
+
+
+def _numbered(df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """df with `no`, a number for each document in the order of keys, null last, and `bytes`, its text; and whether rows may repeat a number.
+
+    A long key is its own number. Only where keys are null, of another type or repeated are
     documents (key and text) counted, and the texts joined to their numbers.
     """
     docs = df.withColumn("__mark", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("bytes", F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
     if df.schema[key].dataType.simpleString() in ("bigint", "int"):
-        odd = docs.groupBy(key).agg((F.min("__mark") != F.max("__mark")).alias("several")).where(F.col("several") | F.col(key).isNull())
+        odd = docs.groupBy(key).agg(F.count("*").alias("rows")).where((F.col("rows") > 1) | F.col(key).isNull())
         if odd.isEmpty():
-            return docs.withColumn("no", F.col(key).cast("long")).drop("__mark")
+            return docs.withColumn("no", F.col(key).cast("long")).drop("__mark"), False
     own = docs.select(F.col(key).alias("__key"), "__mark").distinct()
     counted = cut(numbered(own, F.col("__key").asc_nulls_last(), "__mark", name="no"))
-    return docs.join(sized(counted, 40, BROADCAST), F.col(key).eqNullSafe(F.col("__key")) & (docs["__mark"] == counted["__mark"])).drop("__key", "__mark")
+    return docs.join(sized(counted, 40, BROADCAST), F.col(key).eqNullSafe(F.col("__key")) & (docs["__mark"] == counted["__mark"])).drop("__key", "__mark"), True
 
 
 def _with_places(docs: DataFrame, places: DataFrame, size: Column, how: str) -> DataFrame:
@@ -182,15 +210,23 @@ def _with_places(docs: DataFrame, places: DataFrame, size: Column, how: str) ->
     return docs.join(F.broadcast(places) if fits(places, size, BROADCAST) else places, "no", how)
 
 
+def _hot(docs: DataFrame, size: int, seed: int, share: int = 64, most: int = 10_000) -> np.ndarray:
+    """Anchors that make up more than one of `most` in one of `share` documents: at most `most` numbers. They tell how rows are dealt to tasks, not what is found."""
+    counts = anchors(docs.where(F.pmod(F.xxhash64("no"), F.lit(share)) == 0), size, seed, np.zeros(0, np.int64)).where(F.col("kind") != KNOWN).groupBy("g").agg(F.count("*").alias("n"))
+    counts = cut(counts.where("n > 4"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return np.array([r["g"] for r in counts.where(F.col("n") > total / most).select("g").collect()], np.int64)
+
+
 def repeated(docs: DataFrame, size: int = 20, seed: int = SEED) -> DataFrame:
     """(no, wide, narrow) of (no, bytes): places of anchors that are repeated with all words in reach, and starts of other repeated windows."""
-    found = cut(_judged(anchors(docs.select("no", "bytes"), size, seed)))
-    several = with_group(found.where("first"), ["g"], ["c"], {"n": ("count(*)", "sum(n)")}, "n > 1")
-    open_ = cut(several.groupBy("no").agg(F.collect_set("pos").alias("places")))
-    single = _judged(_windows(_with_places(docs.select("no", "bytes"), open_, 4 * F.size("places") + 32, "inner").select("no", "bytes", "places"), size, seed))
-    lists = found.where("not first").select("no", F.col("pos").alias("wide"), F.lit(None).cast("int").alias("narrow"))
-    lists = lists.unionByName(single.where("not first").select("no", F.lit(None).cast("int").alias("wide"), F.col("pos").alias("narrow")))
-    return cut(lists.groupBy("no").agg(F.collect_list("wide").alias("wide"), F.collect_list("narrow").alias("narrow")))
+    docs = docs.select("no", "bytes")
+    found = written(_compared(anchors(docs, size, seed, _hot(docs, size, seed))))
+    open_ = written(found.where(F.col("kind") == OPEN).groupBy("no").agg(F.collect_list("pos").alias("places")))
+    single = _compared(_windows(_with_places(docs, open_, 4 * F.size("places") + 32, "inner").select("no", "bytes", "places"), size, seed))
+    lists = found.select("no", F.when(F.col("kind") == REPEATED, F.col("pos")).alias("wide"), F.lit(None).cast("int").alias("narrow")).where("wide is not null")
+    lists = lists.unionByName(single.where(F.col("kind") == REPEATED).select("no", F.lit(None).cast("int").alias("wide"), F.col("pos").alias("narrow")))
+    return written(lists.groupBy("no").agg(F.collect_list("wide").alias("wide"), F.collect_list("narrow").alias("narrow")))
 
 
 def covered(n: int, wide: np.ndarray, narrow: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -215,8 +251,8 @@ def without_repeats(df: DataFrame, size: int = 20, *, seed: int = SEED, key: str
     if not 0 < seed <= size:
         raise ValueError("a seed has between one word and a window's")
     kind = df.schema[key].dataType.simpleString()
-    docs = _numbered(df.select(key, text), key, text)
-    marked = _with_places(docs, repeated(docs, size, seed), 4 * (F.size("wide") + F.size("narrow")) + 40, "left").select(key, "bytes", "wide", "narrow")
+    docs, again = _numbered(df.select(key, text), key, text)
+    marked = _with_places(docs, repeated(docs.dropDuplicates(["no"]) if again else docs, size, seed), 4 * (F.size("wide") + F.size("narrow")) + 40, "left").select(key, "bytes", "wide", "narrow")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
