@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import numbered
@@ -205,11 +205,6 @@ def _numbered(df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
     return docs.join(sized(counted, 40, BROADCAST), F.col(key).eqNullSafe(F.col("__key")) & (docs["__mark"] == counted["__mark"])).drop("__key", "__mark"), True
 
 
-def _with_places(docs: DataFrame, places: DataFrame, size: Column, how: str) -> DataFrame:
-    """docs joined with lists of places by number, broadcast only if the lists fit."""
-    return docs.join(F.broadcast(places) if fits(places, size, BROADCAST) else places, "no", how)
-
-
 def _hot(docs: DataFrame, size: int, seed: int, share: int = 64, most: int = 10_000) -> np.ndarray:
     """Anchors that make up more than one of `most` in one of `share` documents: at most `most` numbers. They tell how rows are dealt to tasks, not what is found."""
     counts = anchors(docs.where(F.pmod(F.xxhash64("no"), F.lit(share)) == 0), size, seed, np.zeros(0, np.int64)).where(F.col("kind") != KNOWN).groupBy("g").agg(F.count("*").alias("n"))
@@ -223,7 +218,8 @@ def repeated(docs: DataFrame, size: int = 20, seed: int = SEED) -> DataFrame:
     docs = docs.select("no", "bytes")
     found = written(_compared(anchors(docs, size, seed, _hot(docs, size, seed))))
     open_ = written(found.where(F.col("kind") == OPEN).groupBy("no").agg(F.collect_list("pos").alias("places")))
-    single = _compared(_windows(_with_places(docs, open_, 4 * F.size("places") + 32, "inner").select("no", "bytes", "places"), size, seed))
+    own = F.broadcast(open_) if fits(open_, 4 * F.size("places") + 32, BROADCAST) else open_
+    single = _compared(_windows(docs.join(own, "no").select("no", "bytes", "places"), size, seed))
     lists = found.select("no", F.when(F.col("kind") == REPEATED, F.col("pos")).alias("wide"), F.lit(None).cast("int").alias("narrow")).where("wide is not null")
     lists = lists.unionByName(single.where(F.col("kind") == REPEATED).select("no", F.lit(None).cast("int").alias("wide"), F.col("pos").alias("narrow")))
     return written(lists.groupBy("no").agg(F.collect_list("wide").alias("wide"), F.collect_list("narrow").alias("narrow")))
@@ -252,7 +248,8 @@ def without_repeats(df: DataFrame, size: int = 20, *, seed: int = SEED, key: str
         raise ValueError("a seed has between one word and a window's")
     kind = df.schema[key].dataType.simpleString()
     docs, again = _numbered(df.select(key, text), key, text)
-    marked = _with_places(docs, repeated(docs.dropDuplicates(["no"]) if again else docs, size, seed), 4 * (F.size("wide") + F.size("narrow")) + 40, "left").select(key, "bytes", "wide", "narrow")
+    places = repeated(docs.dropDuplicates(["no"]) if again else docs, size, seed)
+    marked = docs.join(places.hint("merge"), "no", "left").select(key, "bytes", "wide", "narrow")  # places grow with the texts: the same plan at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
