@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import arrow
 from ..functions.text import char_distance, collapse_spaces, only, percent, spelled_distance, text, token_distance, tokens
 from ..plans.storage import cut
+from .alignment import codes, letter_pairs
 
 
 def ratio(errors: Column, size: Column) -> Column:
@@ -149,55 +150,61 @@ def bootstrap(df: DataFrame, a: str, b: str, order: str, *, ref: str = "ref", re
     return diff.agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") < 0).cast("double")).alias("share_below"))
 
 
+def _places(ref: str, hyp: str, pairs: np.ndarray) -> list[tuple[str, int]]:
+    """The wrong places among the pairs of an alignment; an insertion's place is the next of ref."""
+    i, j = pairs[:, 0], pairs[:, 1]
+    both = (i >= 0) & (j >= 0)
+    a, b = codes(ref), codes(hyp)
+    wrong = np.zeros(len(i), bool)
+    wrong[both] = a[i[both]] != b[j[both]]
+    next_ = np.cumsum(i >= 0)
+    found = [("sub", int(x)) for x in i[wrong]] + [("del", int(x)) for x in i[j < 0]] + [("ins", int(x)) for x in np.unique(next_[i < 0])]
+    return sorted(found)
+
+
 def error_positions(ref: str, hyp: str, insertion_first: bool = False) -> list[tuple[str, int]]:
     """Wrong places of one line: ("sub", i), ("del", i) and, once for each place, ("ins", i).
 
     Among equally short edits the way back prefers the diagonal, then a deletion, then an insertion; the
     last two change places if `insertion_first`.
     """
-    n, m = len(ref), len(hyp)
-    table = np.zeros((n + 1, m + 1), dtype=np.int64)
-    table[:, 0], table[0] = np.arange(n + 1), np.arange(m + 1)
-    codes = np.array([ord(c) for c in hyp], dtype=np.int64)
-    steps = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (codes != ord(ref[i - 1])))
-        table[i] = np.minimum.accumulate(np.concatenate([[i], row]) - steps) + steps
-    found, i, j = set(), n, m
-    while i or j:
-        here = table[i, j]
-        if i and j and here == table[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
-            i, j = i - 1, j - 1
-            if ref[i] != hyp[j]:
-                found.add(("sub", i))
-            continue
-        delete, insert = i > 0 and here == table[i - 1, j] + 1, j > 0 and here == table[i, j - 1] + 1
-        if delete and not (insertion_first and insert):
-            i -= 1
-            found.add(("del", i))
-        else:
-            j -= 1
-            found.add(("ins", i))
-    return sorted(found)
+    return _places(ref, hyp, letter_pairs([ref], [hyp], insertion_first)[0])
 
 
 @arrow("array<string>")
 def wrong_places(refs: pd.Series, hyps: pd.Series) -> pd.Series:
-    """error_positions() as strings like `sub:3`; a substituted and a deleted character are the same place."""
+    """error_positions() as strings like `sub:3`; a substituted and a deleted character are the same place. Lines are aligned together."""
     kind = {"sub": "at", "del": "at", "ins": "ins"}
-    return pd.Series([sorted({f"{kind[k]}:{i}" for k, i in error_positions(r or "", h or "")}) for r, h in zip(refs, hyps, strict=True)])
+    refs, hyps = (list(x.fillna("")) for x in (refs, hyps))
+    found = (_places(r, h, pairs) for r, h, pairs in zip(refs, hyps, letter_pairs(refs, hyps), strict=True))
+    return pd.Series([sorted({f"{kind[k]}:{i}" for k, i in places}) for places in found])
+
+
+@arrow("struct<substituted:int,deleted:int,inserted:int>")
+def edit_counts(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+    """How many letters the cheapest edit of each line substitutes, deletes and inserts."""
+    refs, hyps = (list(x.fillna("")) for x in (refs, hyps))
+    made = []
+    for r, h, pairs in zip(refs, hyps, letter_pairs(refs, hyps), strict=True):
+        i, j = pairs[:, 0], pairs[:, 1]
+        both = (i >= 0) & (j >= 0)
+        made.append(((codes(r)[i[both]] != codes(h)[j[both]]).sum(), (j < 0).sum(), (i < 0).sum()))
+    return pd.DataFrame(made, columns=["substituted", "deleted", "inserted"], dtype=np.int32)
 
 
 def error_overlap(df: DataFrame, key: str, *, ref: str = "ref", hyp: str = "hyp", model: str = "model", member: str = "member") -> DataFrame:
-    """(model_a, model_b, both, either, jaccard) of wrong places for each two members, over all lines; members are few."""
+    """(model_a, model_b, both, either, jaccard) of wrong places for each two members, over all lines.
+
+    Members are few: a line holds its members' places in one array, and what meets over all lines is a count for each pair.
+    """
     rows = df.select(key, member, model, wrong_places(text(ref), text(hyp)).alias("places"))
-    single = rows.groupBy(member, model).agg(F.sum(F.size("places")).alias("n"))
-    held = rows.select(key, member, F.explode("places").alias("place")).groupBy(key, "place").agg(F.array_sort(F.collect_set(member)).alias("who"))
-    pairs = held.select(F.explode(F.expr("flatten(transform(who, (a, i) -> transform(slice(who, i + 2, size(who)), b -> struct(a as a, b as b))))")).alias("p"))
-    both = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("both"))
-    a = single.select(F.col(member).alias("a"), F.col(model).alias("model_a"), F.col("n").alias("na"))
-    b = single.select(F.col(member).alias("b"), F.col(model).alias("model_b"), F.col("n").alias("nb"))
-    every = a.join(F.broadcast(b), F.col("a") < F.col("b")).join(F.broadcast(both), ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    lines = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(member).alias("m"), F.col(model).alias("model"), "places"))).alias("own"))
+    pairs = lines.select(F.explode(F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 1, size(own)), y -> struct(x.m as a, y.m as b, x.model as model_a, y.model as model_b, size(array_intersect(x.places, y.places)) as n))))")).alias("p"))
+    sums = cut(pairs.groupBy("p.a", "p.b", "p.model_a", "p.model_b").agg(F.sum("p.n").alias("n")))
+    single = sums.where("a = b").select("a", F.col("model_a").alias("model"), "n")
+    a = single.select("a", F.col("model").alias("model_a"), F.col("n").alias("na"))
+    b = single.select(F.col("a").alias("b"), F.col("model").alias("model_b"), F.col("n").alias("nb"))
+    every = a.join(b, F.col("a") < F.col("b")).join(sums.select("a", "b", F.col("n").alias("both")), ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0).cast("long")))
     return every.select("model_a", "model_b", "both", (F.col("na") + F.col("nb") - F.col("both")).alias("either")).withColumn("jaccard", F.coalesce(F.col("both") / F.nullif("either", F.lit(0)), F.lit(0.0)))
 
 

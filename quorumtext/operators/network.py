@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import arrow
 from ..functions.text import padded_confidence, text
 from ..plans.storage import cut
+from .alignment import codes, merged_columns
 
 NETWORK = "array<array<struct<ch:string,is_gap:boolean,conf:double>>>"
 GAP_CONF = 0.5
@@ -38,117 +39,6 @@ def hypotheses(df: DataFrame, key: list[str], keep: list[str], *, member: str =
 # --- alignment ------------------------------------------------------------------------------------
 
 
-#: Cells of a table that lines of like length share in one pass, about.
-CELLS = 4_000_000
-
-
-def _tables(profile: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    """moves[line, column, character] of the cheapest alignments: 0 diagonal, 1 column without a character, 2 a new column.
-
-    profile is (lines, members, columns) of code points, -1 for a gap, seq (lines, characters). A column
-    costs the share of its members that differ; a new column costs 1. Among equal ways the diagonal comes
-    before a gap in the sequence and that before a new column. All lines advance together, one anti-diagonal at a time.
-    """
-    lines, members, columns = profile.shape
-    n = seq.shape[1]
-    up = (profile != -1).sum(1) / members
-    moves = np.zeros((lines, columns + 1, n + 1), dtype=np.int8)
-    moves[:, 1:, 0], moves[:, 0, 1:] = 1, 2
-    edge = np.concatenate([np.zeros((lines, 1)), np.cumsum(up, 1)], 1)
-    before = last = None  # the tables' two anti-diagonals before, by column
-    for d in range(columns + n + 1):
-        own = np.empty((lines, columns + 1))
-        if d <= n:
-            own[:, 0] = d
-        if d <= columns:
-            own[:, d] = edge[:, d]
-        lo, hi = max(1, d - n), min(columns, d - 1)
-        if lo <= hi:
-            chars = seq[:, d - hi - 1 : d - lo][:, ::-1]  # of column i the character d - i
-            off = np.zeros(chars.shape)
-            for m in range(members):
-                off += profile[:, m, lo - 1 : hi] != chars
-            best = before[:, lo - 1 : hi] + off / members
-            down = last[:, lo - 1 : hi] + up[:, lo - 1 : hi]
-            kind = (down < best).astype(np.int8)
-            best = np.where(kind == 1, down, best)
-            new = last[:, lo : hi + 1] + 1.0
-            longer = new < best
-            kind[longer] = 2
-            own[:, lo : hi + 1] = np.where(longer, new, best)
-            i = np.arange(lo, hi + 1)
-            moves[:, i, d - i] = kind
-        before, last = last, own
-    return moves
-
-
-def _grown(at: np.ndarray, size: np.ndarray, moves: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The columns (lines, columns, members) with a further member put in by its moves, and their numbers."""
-    lines, _, members = at.shape
-    row = np.arange(lines)
-    i, j = size.astype(np.int64), length.astype(np.int64)
-    steps = []
-    while (i + j > 0).any():
-        move = moves[row, i, j]
-        open_ = i + j > 0
-        i, j = i - (open_ & (move != 2)), j - (open_ & (move != 1))
-        steps.append((np.where(open_ & (move != 2), i, -1), np.where(open_ & (move != 1), j, -1), open_))
-    count = sum((o for _, _, o in steps), np.zeros(lines, dtype=np.int64))
-    width = len(steps)
-    column, character = (np.stack([s[k] for s in steps], 1) if steps else np.zeros((lines, 0), np.int64) for k in (0, 1))
-    order = np.clip(count[:, None] - 1 - np.arange(width), 0, None)  # steps went from the end
-    column, character = np.take_along_axis(column, order, 1), np.take_along_axis(character, order, 1)
-    inside = np.arange(width) < count[:, None]
-    out = np.full((lines, width, members + 1), -1, dtype=np.int64)
-    if at.shape[1]:
-        held = np.take_along_axis(at, np.broadcast_to(np.maximum(column, 0)[:, :, None], (lines, width, members)), 1)
-        out[:, :, :members] = np.where((inside & (column >= 0))[:, :, None], held, -1)
-    out[:, :, members] = np.where(inside, character, -1)
-    return out, count
-
-
-def _merge(texts: list[list[str]]) -> list[np.ndarray]:
-    """merged columns, one array (columns, members) for each line, of lines with equally many members in the order of merging."""
-    members = len(texts[0])
-    length = np.array([[len(t) for t in own] for own in texts])
-    codes = np.full((len(texts), members, length.max() + 1), -1, dtype=np.int32)  # an index of -1 picks the last place, a gap
-    for k, own in enumerate(texts):
-        for m, t in enumerate(own):
-            codes[k, m, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.int32)
-    at = np.where(np.arange(length[:, 0].max()) < length[:, :1], np.arange(length[:, 0].max()), -1)[:, :, None]
-    size = length[:, 0]
-    for k in range(1, members):
-        profile = np.stack([np.take_along_axis(codes[:, m], at[:, :, m], 1) for m in range(k)], 1)
-        moves = _tables(profile, codes[:, k, : max(length[:, k].max(), 0)])
-        at, size = _grown(at, size, moves, length[:, k])
-    return [a[:n] for a, n in zip(at, size, strict=True)]
-
-
-def merged_columns(lines: list[list[str]], first: list[tuple[int, int]]) -> list[np.ndarray]:
-    """For each line its columns as an array (columns, members) of indices into every member's text, -1 for a gap.
-
-    The pair of members given by `first` is merged first, then the others in order. Lines of like length are
-    aligned together; those whose texts are all equal are not aligned at all.
-    """
-    out: list[np.ndarray] = [np.empty((0, 0))] * len(lines)
-    groups: dict[tuple[int, int], list[int]] = {}
-    for k, own in enumerate(lines):
-        if all(t == own[0] for t in own):
-            out[k] = np.repeat(np.arange(len(own[0]) if own else 0)[:, None], max(len(own), 1), 1)
-        else:
-            longest = max(map(len, own))
-            groups.setdefault((len(own), longest // 16), []).append(k)
-    for (members, size), held in groups.items():
-        step = max(1, CELLS // ((members * (size + 1) * 16) * (size + 1) * 16))
-        for begin in range(0, len(held), step):
-            part = held[begin : begin + step]
-            order = [[a, b, *(m for m in range(members) if m not in (a, b))] for a, b in (first[k] for k in part)]
-            made = _merge([[lines[k][m] for m in o] for k, o in zip(part, order, strict=True)])
-            for k, o, columns in zip(part, order, made, strict=True):
-                out[k] = columns[:, np.argsort(o)]
-    return out
-
-
 @arrow("array<int>")
 def _columns(texts: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """merged_columns(), each line's array in one list, column by column."""
@@ -286,50 +176,69 @@ def column_features(df: DataFrame, *keys: str, special: str = "") -> DataFrame:
 # --- bounds ---------------------------------------------------------------------------------------
 
 
-def _passes(columns: list[list[tuple[str, bool]]], ref: str) -> tuple[np.ndarray, np.ndarray]:
-    """Cheapest costs of every (reference prefix, column prefix) and of every pair of suffixes."""
-    rows, n = len(ref), len(columns)
-    skip = np.array([0 if any(g for _, g in c) else 1 for c in columns], dtype=np.int64)
-    miss = np.ones((n, rows), dtype=np.int64)
-    for j, c in enumerate(columns):
-        letters = {ch for ch, g in c if not g}
-        miss[j] = [r not in letters for r in ref]
-    steps = np.arange(rows + 1)
+class _Pass:
+    """The cheapest costs of all prefixes of a reference against the first columns, one column further at each step."""
+
+    def __init__(self, columns: list[list[tuple[str, bool]]], ref: np.ndarray):
+        self.columns, self.ref, self.steps = columns, ref, np.arange(len(ref) + 1)
 
-    def forward(skips: np.ndarray, misses: np.ndarray) -> np.ndarray:
-        table = np.empty((n + 1, rows + 1), dtype=np.int64)
-        table[0] = steps
-        for j in range(n):
-            best = table[j] + skips[j]
-            best[1:] = np.minimum(best[1:], table[j, :-1] + misses[j])
-            table[j + 1] = np.minimum.accumulate(best - steps) + steps
-        return table
+    def start(self) -> np.ndarray:
+        return self.steps.astype(np.int32)
 
-    return forward(skip, miss), forward(skip[::-1], miss[::-1, ::-1])[::-1, ::-1]
+    def next(self, costs: np.ndarray, column: list[tuple[str, bool]]) -> np.ndarray:
+        best = costs + np.int32(not any(gap for _, gap in column))
+        missed = ~np.isin(self.ref, [ord(ch) for ch, gap in column if not gap])
+        best[1:] = np.minimum(best[1:], costs[:-1] + missed)
+        return (np.minimum.accumulate(best - self.steps) + self.steps).astype(np.int32)
+
+    def all(self, costs: np.ndarray, columns: list[list[tuple[str, bool]]]) -> list[np.ndarray]:
+        """The costs before each of the columns."""
+        out = []
+        for c in columns:
+            out.append(costs)
+            costs = self.next(costs, c)
+        return out
 
 
 def oracle_cost(columns: list[list[tuple[str, bool]]], ref: str) -> int:
     """Fewest errors that any choice in every column leaves."""
-    return int(_passes(columns, ref)[0][-1, -1])
+    forward = _Pass(columns, codes(ref))
+    costs = forward.start()
+    for c in columns:
+        costs = forward.next(costs, c)
+    return int(costs[-1])
 
 
 def candidate_costs(columns: list[list[tuple[str, bool]]], ref: str) -> list[list[int]]:
-    """For each column and candidate, the fewest errors of the line if it has to be chosen there."""
-    before, after = _passes(columns, ref)
-    codes = np.array(list(ref))
-    out = []
+    """For each column and candidate, the fewest errors of the line if it has to be chosen there.
+
+    Costs of prefixes are kept for one column in each block of about the root of their number, and
+    made again block by block while those of suffixes come from the end.
+    """
+    letters = codes(ref)
+    forward, backward = _Pass(columns, letters), _Pass(columns, letters[::-1])
+    block = max(1, int(len(columns) ** 0.5))
+    starts, costs = [], forward.start()
     for j, c in enumerate(columns):
-        costs = []
-        for ch, gap in c:
-            stay = before[j] + after[j + 1]
-            if gap:
-                costs.append(int(stay.min()))
-            else:
-                best = stay.min() + 1
-                if len(ref):
-                    best = min(best, (before[j, :-1] + (codes != ch) + after[j + 1, 1:]).min())
-                costs.append(int(best))
-        out.append(costs)
+        if j % block == 0:
+            starts.append(costs)
+        costs = forward.next(costs, c)
+    out: list[list[int]] = [[]] * len(columns)
+    behind = backward.start()
+    for k in reversed(range(len(starts))):
+        own = columns[k * block : (k + 1) * block]
+        for j, before in reversed(list(enumerate(forward.all(starts[k], own)))):
+            after = behind[::-1]
+            stay = int((before + after).min())
+            moved = before[:-1] + after[1:]
+            made = []
+            for ch, gap in own[j]:
+                best = stay if gap else stay + 1
+                if not gap and len(ref):
+                    best = min(best, int((moved + (letters != ord(ch))).min()))
+                made.append(best)
+            out[k * block + j] = made
+            behind = backward.next(behind, own[j])
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import spread, table
@@ -64,6 +64,32 @@ def ajami(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ajami", F.translate("latin", *AJAMI))
 
 
+#: Readers of words(), all of whose errors are letters that words hold: (name, letters put in others' place). None is always right.
+WORD_READERS = (("doubling", (("e", "ee"), ("th", "t"))), ("missing", (("an", "n"), ("o", ""))), ("swapping", (("he", "eh"), ("s", "t"))))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, model, member, hyp, conf): every different word of documents as the WORD_READERS read it."""
+    docs = spread(table(spark, sf_dir, "documents")).select(F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word"))
+
+    def read(edits: tuple[tuple[str, str], ...]) -> Column:
+        out = F.col("word")
+        for old, new in edits:
+            out = F.replace(out, F.lit(old), F.lit(new))
+        return out
+
+    made = F.array(*[F.struct(F.lit(i).alias("member"), F.lit(name).alias("model"), read(edits).alias("hyp")) for i, (name, edits) in enumerate(WORD_READERS)])
+    rows = docs.where("word <> ''").distinct().select("word", F.inline(made))
+    return rows.withColumn("conf", F.expr("if(hyp = '', array(), transform(sequence(1, length(hyp)), i -> ((i * 7 + member * 31 + length(word)) % 101) / 100.0D))"))
+
+
+def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_id, ref, hyp): all lines of documents, of any length, as a reader that misses, doubles and swaps letters reads them."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "ref"))
+    hyp = F.replace(F.replace(F.replace("ref", F.lit("th"), F.lit("t")), F.lit("er"), F.lit("re")), F.lit("on"), F.lit("oon"))
+    return docs.where(F.length("ref") > 0).select(F.concat_ws("_", "doc_id", "row").alias("line_id"), "ref", hyp.alias("hyp"))
+
+
 #: The same views for the oracle.
 SQL = f"""
     with raw as (select doc_id, lang, source, unnest(string_split(text, chr(10))) as whole, generate_subscripts(string_split(text, chr(10)), 1) - 1 as row from documents),
