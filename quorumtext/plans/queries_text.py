@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPECIAL, first_difference, in_part, only, output_length, padded_confidence, percent, tokens
 from ..operators import charlm, metrics, script, signal
+from ..streaming import tables as stream_tables
 from . import views
 from .queries_lines import ACCENTED
-from .storage import table
+from .storage import cut, shared_folder, table
 
-#: Published example lines of the transliteration.
-AJAMI = ["وَاڧَرْ إِࢽْڢِرَاجِ تَڢَرْکࣸو", "مَيْ سࣸوࢽْسَ بَذَيْغَ هَلَّکَابَا", "وَرْ ڟَکٜيٰبا", "أَکَ کَرْکَشٜيٰ غَالِبَࢽْسࣸ", "تَثِکَا ثِي ࢽَمَࢽ بࣸشَارَا", "إِࢽْجِ دَاطِي إِࢽْيِ مࣸرْࢽَا"]
 ORDER = 3
 
 
@@ -31,6 +32,32 @@ def kn_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charlm.probabilities(seen, charlm.tables(raw, ORDER), ORDER, charlm.vocabulary_size(raw, ORDER)).withColumn("p", F.round("p", 9))
 
 
+#: Lines of this part are ordinary ones; the others are learned as corrections, each of which weighs as much as three.
+ORDINARY, CORRECTION = "test", 3
+
+
+def incremental_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's tables of ordinary lines, brought up to date with corrections: only what these touch is made anew."""
+    rows = views.lines(spark, sf_dir)
+    raw = cut(charlm.uses(rows.where(F.col("part") == ORDINARY), "ref", ORDER))
+    more = cut(charlm.uses(rows.where(F.col("part") != ORDINARY), "ref", ORDER, CORRECTION))
+    counts, histories = (cut(t) for t in charlm.split_tables(raw, ORDER))
+    new_counts, new_histories = charlm.touched(counts, histories, charlm.count_changes(raw, more, ORDER))
+    return charlm.replaced(counts, new_counts, "k", "h", "c").join(charlm.replaced(histories, new_histories, "k", "h"), ["k", "h"])
+
+
+def learned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tables, kept by a stream of the lines that is read to its end in several batches."""
+    rows = views.lines(spark, sf_dir).select("ref", F.when(F.col("part") == ORDINARY, 1).otherwise(CORRECTION).alias("weight"))
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    rows.write.parquet(f"{folder}/lines")
+    stream = spark.readStream.schema("ref string, weight int").option("maxFilesPerTrigger", max(1, -(-rows.rdd.getNumPartitions() // 4))).parquet(f"{folder}/lines")
+    with stream_tables.rocksdb(spark):
+        query = stream_tables.maintain(stream, "ref", ORDER, f"{folder}/state", weight=F.col("weight"), available_now=True)
+        query.awaitTermination()
+        return cut(stream_tables.tables_of(spark, f"{folder}/state"))
+
+
 def alphabet_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return script.alphabet(table(spark, sf_dir, "documents"), "text")
 
@@ -76,11 +103,6 @@ def transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.ajami(spark, sf_dir).select("line_id", script.transliterate("ajami").alias("latin"))
 
 
-def transliterated_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published example lines in Latin letters."""
-    return spark.createDataFrame([(i, t) for i, t in enumerate(AJAMI)], "id int, ajami string").withColumn("latin", script.transliterate("ajami"))
-
-
 def _joined(column: str) -> Column:
     """Words joined by twos."""
     words = tokens(column)
@@ -224,13 +246,18 @@ def nfc_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", script.nfc_changes("text").alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (ngram_uses, ngram_continuations, kn_probabilities, alphabet_build, alphabet_round_trip, codec_round_trip, lost_characters, restricted_texts, normalised_lines, mirrored_lines, constrained_lines, transliterated, transliterated_examples, divided_lines, boko_lines, tidy_lines, carried_flags, error_flags, shown_errors, highlighted_lines, numbered_replies, split_pairs, corrections, scalar_functions, ctc_infeasible, early_stopping, exact_report, exact_losses, added_tokens, special_coverage, alphabet_sets, ngram_totals, nfc_changed)}
+QUERIES = {f.__name__: f for f in (ngram_uses, ngram_continuations, kn_probabilities, incremental_tables, learned_tables, alphabet_build, alphabet_round_trip, codec_round_trip, lost_characters, restricted_texts, normalised_lines, mirrored_lines, constrained_lines, transliterated, divided_lines, boko_lines, tidy_lines, carried_flags, error_flags, shown_errors, highlighted_lines, numbered_replies, split_pairs, corrections, scalar_functions, ctc_infeasible, early_stopping, exact_report, exact_losses, added_tokens, special_coverage, alphabet_sets, ngram_totals, nfc_changed)}
 
 _GRAMS = f"""{views.SQL}, padded as (select chr(2) || chr(2) || ref || chr(3) as s from lines),
     ends as (select s, unnest(range({ORDER}, length(s) + 1)) as i from padded),
     uses as (select k, substr(s, i - k + 1, k - 1) as h, substr(s, i, 1) as c, count(*)::bigint as n from ends, (select unnest(range(1, {ORDER} + 1)) as k) group by all),
     cont as (select k - 1 as k, substr(h, 2) as h, c, count(*)::bigint as n from uses where k > 1 group by 1, 2, 3)"""
 
+_TABLES = f"""{views.SQL}, padded as (select chr(2) || chr(2) || ref || chr(3) as s, case when part = '{ORDINARY}' then 1 else {CORRECTION} end as w from lines),
+    ends as (select s, w, unnest(range({ORDER}, length(s) + 1)) as i from padded),
+    uses as (select k, substr(s, i - k + 1, k - 1) as h, substr(s, i, 1) as c, sum(w)::bigint as n from ends, (select unnest(range(1, {ORDER} + 1)) as k) group by all),
+    counts as (select * from uses where k = {ORDER} union all select k - 1, substr(h, 2), c, count(*)::bigint from uses where k > 1 group by 1, 2, 3)
+    select k::int as k, h, c, n, sum(n) over (partition by k, h)::bigint as total, count(*) over (partition by k, h)::bigint as types from counts"""
 _LATIN, _ARABIC = "A-Za-zÀ-ÖØ-öø-ÿ", "ابدَرُ"
 _HALF = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1])), 4294967295::bigint)"
 _SHOWN = "replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
@@ -278,6 +305,8 @@ ORACLE_SQL = {
         select counts.k::int as k, counts.grams, counts.uses, counts.squares, longer.grams as continuing from counts left join counts longer on longer.k = counts.k + 1""",
     "ngram_uses": f"{_GRAMS} select k::int as k, h, c, n from uses",
     "ngram_continuations": f"{_GRAMS} select k::int as k, h, c, n from cont",
+    "incremental_tables": _TABLES,
+    "learned_tables": _TABLES,
     "kn_probabilities": f"""{_GRAMS}, model as (select *, sum(n) over (partition by k, h) as total, count(*) over (partition by k, h) as types from (select * from uses where k = 3 union all select * from cont)),
         base as (select 1.0::double / (count(distinct c) + 2) as p from uses where k = 1),
         q as (select h, c from uses where k = 3),
