@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -150,6 +152,33 @@ def bootstrap(df: DataFrame, a: str, b: str, order: str, *, ref: str = "ref", re
     return diff.agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") < 0).cast("double")).alias("share_below"))
 
 
+def _mixed(x: str) -> str:
+    """SQL: a 32-bit number whose bits depend on all bits of x, in whole numbers below 2 to the 63rd that any engine can repeat."""
+    for _ in range(2):
+        x = f"((({x}) ^ (({x}) div 65536)) * 73244475 % 4294967296)"
+    return f"(({x}) ^ (({x}) div 65536))"
+
+
+#: Bounds, in 2 to the 32nd parts, below which a Poisson variable of mean 1 is 0, 1, 2, ...
+POISSON = [int(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(13)]
+
+
+def poisson_bootstrap(df: DataFrame, a: str, b: str, number: str, *, ref: str = "ref", reps: int = 2000, seed: int = 0) -> DataFrame:
+    """Like bootstrap(), but each line is in each resample as often as a hash of (seed, resample, line's 32-bit number) says, Poisson with mean 1.
+
+    A resample has the lines' number on average only, as suits ratios. The draws are a function of the counters alone: they do not
+    depend on partitions, order or retries, any engine can repeat them, and lines are read once and never shuffled: a partition sends `reps` sums.
+    """
+    own = df.select(F.col(number).cast("long").alias("x"), char_distance(ref, a).cast("long").alias("ea"), char_distance(ref, b).cast("long").alias("eb"), F.length(text(ref)).cast("long").alias("n"))
+    drawn = own.select("x", "ea", "eb", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    salt = drawn.withColumn("s", F.expr(_mixed(f"cast({seed} * 1000003 + rep as bigint)")))
+    u = salt.withColumn("u", F.expr(_mixed("x ^ s")))
+    times = sum((F.when(F.col("u") >= bound, 1).otherwise(0) for bound in POISSON[1:]), F.when(F.col("u") >= POISSON[0], 1).otherwise(0))
+    sums = u.withColumn("t", times.cast("long")).groupBy("rep").agg(*[F.sum(F.col(c) * F.col("t")).alias(c) for c in ("ea", "eb", "n")])
+    diff = sums.select(F.coalesce((F.col("ea") - F.col("eb")) / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("d"))
+    return diff.agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") < 0).cast("double")).alias("share_below"))
+
+
 def _places(ref: str, hyp: str, pairs: np.ndarray) -> list[tuple[str, int]]:
     """The wrong places among the pairs of an alignment; an insertion's place is the next of ref."""
     i, j = pairs[:, 0], pairs[:, 1]

@@ -63,6 +63,12 @@ def bootstrap_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.bootstrap(_two_systems(spark, sf_dir), "base", "best", "line_id")
 
 
+def bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same difference by draws that hashes of counters make, which SQL repeats."""
+    rows = _two_systems(spark, sf_dir).withColumn("number", F.conv(F.substring(F.md5("line_id"), 1, 8), 16, 10).cast("long"))
+    return _rounded(metrics.poisson_bootstrap(rows, "base", "best", "number"), "mean_diff", "low", "high", "share_below")
+
+
 def val_half_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     half = F.when(crc_half("doc_id") == 0, "valA").otherwise("valB")
@@ -116,7 +122,7 @@ def member_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.subsets(single, "model", "errors", "member")
 
 
-QUERIES = {f.__name__: f for f in (cer_by_model_lang, error_rates, cer_per_line, best_member_per_line, per_char_counts, per_char_pivot, summarise_parts, improvement_picks, improvement_counts, bootstrap_diff, val_half_split, cv_folds, member_pairs, complete_lines, uncovered_docs, benchmark_lines, length_stats, sampler_weights, member_subsets)}
+QUERIES = {f.__name__: f for f in (cer_by_model_lang, error_rates, cer_per_line, best_member_per_line, per_char_counts, per_char_pivot, summarise_parts, improvement_picks, improvement_counts, bootstrap_diff, bootstrap_poisson, val_half_split, cv_folds, member_pairs, complete_lines, uncovered_docs, benchmark_lines, length_stats, sampler_weights, member_subsets)}
 
 _V = views.SQL
 
@@ -143,7 +149,21 @@ TOKENS = """list_reduce(
     lambda p, x: {{'w': '', 'r': list_reduce(list_prepend([p.r[1] + 1], list_transform(range(1, len(b) + 1), lambda j: [j])),
         lambda row, jj: row || [least(p.r[jj[1] + 1] + 1, row[jj[1]] + 1, p.r[jj[1]] + (case when x.w = b[jj[1]] then 0 else 1 end))])}}).r[-1]""".replace("{{", "{").replace("}}", "}")
 
+def _mixed(x: str) -> str:
+    """SQL of metrics' mixing of 32-bit numbers."""
+    for _ in range(2):
+        x = f"(xor({x}, ({x}) // 65536) * 73244475 % 4294967296)"
+    return f"xor({x}, ({x}) // 65536)"
+
+
 ORACLE_SQL = {
+    "bootstrap_poisson": f"""{_V}, own as (select ('0x' || substr(md5(line_id), 1, 8))::bigint as x, {_lev('ref', "replace(ref, 'th', 't')")} as ea, {_lev('ref', "translate(ref, 'eé', 'ae')")} as eb, length(ref) as n from lines),
+        salts as (select r, {_mixed('r')} as s from (select unnest(range(2000))::bigint as r)),
+        drawn as (select r, ea, eb, n, {_mixed('xor(x, s)')} as u from own, salts),
+        times as (select r, ea, eb, n, {' + '.join(f'(u >= {b})::int' for b in metrics.POISSON)} as t from drawn),
+        sums as (select r, sum(ea * t) as ea, sum(eb * t) as eb, sum(n * t) as n from times group by r),
+        diffs as (select coalesce((ea - eb) / nullif(n, 0), 0)::double as d from sums)
+        select round(avg(d), 9) as mean_diff, round(quantile_cont(d, 0.025), 9) as low, round(quantile_cont(d, 0.975), 9) as high, round(avg((d < 0)::int), 9) as share_below from diffs""",
     "cer_by_model_lang": f"""{_V} select model, lang, count(*)::bigint as lines, round(coalesce(sum({_lev('ref', 'hyp')}) / nullif(sum(length(ref)), 0), 0), 9)::double as cer from preds group by grouping sets ((model), (model, lang))""",
     "error_rates": f"""{_V}, parts as (select model, lang, {_lev('ref', 'hyp')} as e, length(ref) as n, {WORDS.format(x='ref')} as a, {WORDS.format(x='hyp')} as b, {_RESTRICT.format(x='ref')} as rr, {_RESTRICT.format(x='hyp')} as rh, {_COLLAPSE.format(x='ref')} as cr, {_COLLAPSE.format(x='hyp')} as ch from preds),
         counted as (select model, lang, e, n, {TOKENS} as we, len(a) as wn, {_lev('rr', 'rh')} as re, length(rr) as rn, {_lev('cr', 'ch')} as ce, length(cr) as cn from parts)

@@ -157,8 +157,8 @@ def highlighted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's first line sent as a numbered reply and read back, its third line left to the fallback."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 40), r"\s+", " ").alias("t"))
+    """A document's text on one line sent as a numbered reply and read back, its third line left to the fallback."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
     reply = F.concat(F.lit("1. "), F.col("t"), F.lit("\nnone\n2) x\n 2. "), F.col("doc_id").cast("string"))
     return rows.select("doc_id", F.array_join(script.with_fallback(reply, F.array(F.lit("a"), F.lit("b"), F.lit("c"))), "|").alias("lines"))
 
@@ -179,7 +179,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("split", F.when(F.col("doc_id") % 3 == 0, "test").when(F.col("doc_id") % 3 == 1, "train").otherwise("val"))
     parts = [in_part("split", "doc_id", p) for p in ("test", "train", "valA", "valB")]
     part = F.coalesce(*[F.when(x, p) for x, p in zip(parts, ("test", "train", "valA", "valB"), strict=True)])
-    kept = padded_confidence(F.sequence(F.lit(1), F.expr("cast(doc_id % 7 + 1 as int)")).cast("array<double>"), F.substring("text", 1, 4))
+    kept = padded_confidence(F.sequence(F.lit(1), F.expr("cast(doc_id % 7 + 1 as int)")).cast("array<double>"), "text")
     return rows.select(
         "doc_id", part.alias("part"), percent(F.col("n_chars") / 1000).alias("percent"), output_length(F.col("n_chars")).cast("long").alias("frames"), first_difference("text", F.translate("text", "t", "T")).cast("long").alias("differs"),
         signal.single_line(F.col("n_chars"), F.col("doc_id") * 30).alias("single"), F.array_join(F.transform(kept, lambda c: (c * 10).cast("int").cast("string")), ",").alias("conf"),
@@ -281,13 +281,13 @@ ORACLE_SQL = {
     "shown_errors": f"""{views.SQL}, b as (select line_id, dropped, case when dropped then substr(ref, 2) else ref end as body from read)
         select line_id, case when dropped then '{script.MISS}' else '' end || array_to_string(list_transform(list_filter(string_split(translate(body, 'eo', 'ɘɔ'), ''), lambda c: c <> ''), lambda c: case when c in ('ɘ', 'ɔ') then '<span class="err">' || c || '</span>' else replace({_SHOWN.format(c='c')}, ' ', '&nbsp;') end), '') as html from b""",
     "highlighted_lines": f"{views.SQL} select line_id, array_to_string(list_transform(list_filter(string_split(ref, ''), lambda c: c <> ''), lambda c: case when c = 'e' then '<mark>e</mark>' else {_SHOWN.format(c='c')} end), '') as html from lines",
-    "numbered_replies": "select doc_id, coalesce(nullif(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g')), ''), 'a') || '|' || doc_id || '|c' as lines from documents",
+    "numbered_replies": "select doc_id, coalesce(nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), ''), 'a') || '|' || doc_id || '|c' as lines from documents",
     "split_pairs": "select doc_id, lang as first, source || ' ||| x' as second from documents",
     "corrections": "select doc_id, len(list_filter(string_split(text, chr(10)), lambda l: contains(l, 'x')))::bigint as corrected from documents",
     "scalar_functions": f"""{views.SQL}, d as (select documents.*, {_HALF} as crc from documents, tbl)
         select doc_id, case doc_id % 3 when 0 then 'test' when 1 then 'train' else case when crc % 2 = 0 then 'valA' else 'valB' end end as part, printf('%.2f%%', n_chars / 1000 * 100) as percent, greatest(1, n_chars // 2)::bigint as frames,
             strpos(text, 't')::bigint as differs, n_chars <= 400 and doc_id * 30 >= 3 * n_chars as single,
-            array_to_string(list_transform(range(1, length(substr(text, 1, 4)) + 1), lambda i: case when i <= doc_id % 7 + 1 then (i * 10)::int::varchar else '5' end), ',') as conf from d""",
+            array_to_string(list_transform(range(1, length(text) + 1), lambda i: case when i <= doc_id % 7 + 1 then (i * 10)::int::varchar else '5' end), ',') as conf from d""",
     "ctc_infeasible": f"{views.SQL}, w as (select line_id, (doc_id * 7 + length(ref)) % 250 as width, length(ref) as needed from lines) select line_id, width::bigint as width, greatest(1, width // 2)::bigint as steps, needed::bigint as needed from w where greatest(1, width // 2) < needed",
     "early_stopping": """with o as (select user_id, event_id, value, min(value) over w as best, min(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before, row_number() over w as n from events window w as (partition by user_id order by event_id)),
         i as (select *, coalesce(value < before, value is not null) as improved from o), m as (select *, n - max(case when improved then n else 1 end) over (partition by user_id order by event_id) as misses from i)
