@@ -1,4 +1,9 @@
-"""Boxes of text lines: predicates as theta joins within a page, greedy rows and widening in Arrow functions per page."""
+"""Boxes of text lines: predicates as joins of boxes that share a grid cell, greedy rows and widening in Arrow functions per page.
+
+A grid has a level for each power of two, and a box belongs to the level whose cells are as wide as it is, so it
+touches two cells at most each way. Boxes of different levels meet at the coarser one. So what is
+compared grows with the boxes near each other, not with the square of a page's.
+"""
 
 from __future__ import annotations
 
@@ -29,55 +34,118 @@ def clipped(df: DataFrame, page: str, width: str, height: str, first: int = 60)
 
 
 def upper_median(df: DataFrame, page: str) -> DataFrame:
-    """(page, med): the middle height, the upper one of an even number."""
-    return df.groupBy(page).agg(F.array_sort(F.collect_list(F.col("y1") - F.col("y0"))).alias("h")).select(page, F.expr("element_at(h, cast(size(h) div 2 as int) + 1)").alias("med"))
+    """(page, med): the middle height, the upper one of an even number. Boxes are counted by height first, so no task has a page's boxes."""
+    from pyspark.sql import Window
+
+    counts = df.groupBy(page, (F.col("y1") - F.col("y0")).alias("h")).agg(F.count("*").alias("n"))
+    by_height = Window.partitionBy(page).orderBy("h")
+    told = counts.withColumns({"upto": F.sum("n").over(by_height), "all": F.sum("n").over(Window.partitionBy(page))})
+    return told.where(F.expr("upto > `all` div 2")).groupBy(page).agg(F.min("h").alias("med"))
 
 
 def _area(p: str) -> str:
     return f"greatest({p}.x1 - {p}.x0, 0) * greatest({p}.y1 - {p}.y0, 0)"
 
 
+def _level(extent: str) -> str:
+    """SQL: the level whose cells are at least that wide."""
+    return f"cast(ceil(log2(greatest({extent}, 1))) as int)"
+
+
+def _touched(low: str, high: str, level: str) -> str:
+    """SQL: the cells of a level between two places."""
+    return f"sequence(cast(floor({low} / power(2, {level})) as bigint), cast(floor({high} / power(2, {level})) as bigint))"
+
+
+def _levels(df: DataFrame, *columns: str) -> list:
+    """The levels that occur: some dozens at most."""
+    return [tuple(r) for r in df.select(*columns).distinct().collect()]
+
+
 def drop_contained(df: DataFrame, page: str, key: str, share: float = 0.6) -> DataFrame:
-    """Boxes of which less than `share` lies inside any larger box of their page."""
+    """Boxes of which less than `share` lies inside any larger box of their page; `share` is over a half.
+
+    More than half of a box is inside only what holds its middle, so the middle is looked up in the cells of every level. A
+    box without an area is inside any that has one.
+    """
+    if share <= 0.5:
+        raise ValueError("a box's middle tells nothing of a share of half or less")
+    larger = df.where("x1 > x0 and y1 > y0").select(F.col(page).alias("__p"), F.struct(key, "x0", "y0", "x1", "y1").alias("b"), F.expr(_level("x1 - x0")).alias("lx"), F.expr(_level("y1 - y0")).alias("ly"))
+    kinds = _levels(larger, "lx", "ly")
+    placed = larger.withColumn("cx", F.explode(F.expr(_touched("b.x0", "b.x1", "lx")))).withColumn("cy", F.explode(F.expr(_touched("b.y0", "b.y1", "ly"))))
+    looked = F.array(*[F.struct(F.lit(x).alias("lx"), F.lit(y).alias("ly")) for x, y in kinds]).cast("array<struct<lx:int,ly:int>>")
+    own = df.where("x1 > x0 and y1 > y0").select(F.col(page).alias("__p"), F.struct(key, "x0", "y0", "x1", "y1").alias("a"), F.inline(looked))
+    own = own.withColumns({"cx": F.expr("cast(floor((a.x0 + a.x1) / 2 / power(2, lx)) as bigint)"), "cy": F.expr("cast(floor((a.y0 + a.y1) / 2 / power(2, ly)) as bigint)")})
     inside = f"greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) >= {share!r}D * ({_area('a')})"
-    on = F.expr(f"a.{page} = b.{page} and a.{key} <> b.{key} and {_area('b')} > {_area('a')} and {inside}")
-    return df.alias("a").join(df.alias("b"), on, "left_anti")
+    cell = ["__p", "lx", "ly", "cx", "cy"]
+    met = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell]
+    gone = own.alias("l").join(placed.alias("r"), [*met, F.expr(f"a.{key} <> b.{key} and {_area('b')} > {_area('a')} and {inside}")], "left_semi").select(F.col("__p").alias(page), F.col(f"a.{key}").alias(key)).distinct()
+    flat = df.where("x1 <= x0 or y1 <= y0").join(df.where("x1 > x0 and y1 > y0").select(page).distinct(), page, "left_semi").select(page, key)
+    return df.join(gone.unionByName(flat).distinct(), [page, key], "left_anti")
+
+
+def _in_cells(df: DataFrame, levels: list[int], box: str) -> DataFrame:
+    """df once for every cell that struct `box` touches at its level and coarser ones, with `own`, whether the level is its own."""
+    rows = df.withColumn("__own", F.expr(_level(f"greatest({box}.x1 - {box}.x0, {box}.y1 - {box}.y0)")))
+    rows = rows.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).where("__level >= __own").withColumn("own", F.expr("__level = __own"))
+    cells = rows.withColumn("cx", F.explode(F.expr(_touched(f"{box}.x0", f"{box}.x1", "__level")))).withColumn("cy", F.explode(F.expr(_touched(f"{box}.y0", f"{box}.y1", "__level"))))
+    return cells.drop("__own")
 
 
 def drop_slivers(df: DataFrame, page: str, key: str) -> DataFrame:
     """Boxes at least 0.45 of the usual height, and shorter ones that no such box lies within half that height of."""
     med = upper_median(df, page).withColumn("med", F.greatest(F.lit(8), "med"))
-    own = df.join(med, page)
-    tall = own.where("y1 - y0 >= 0.45D * med")
-    near = f"a.{page} = b.{page} and a.{key} <> b.{key} and a.y1 - a.y0 < 0.45D * a.med and greatest(b.y0 - a.y1, a.y0 - b.y1, 0) <= 0.5D * a.med and least(a.x1, b.x1 + a.med) - greatest(a.x0, b.x0 - a.med) > 0"
-    return own.alias("a").join(tall.alias("b"), F.expr(near), "left_anti").drop("med")
+    own = df.join(med, page).select(F.col(page).alias("__p"), F.col(key).alias("__k"), "x0", "y0", "x1", "y1", "med")
+    own = own.withColumn("near", F.expr("struct(x0 - med as x0, y0 - 0.5D * med as y0, x1 + med as x1, y1 + 0.5D * med as y1)")).withColumn("box", F.struct("x0", "y0", "x1", "y1"))
+    tall, short = own.where("y1 - y0 >= 0.45D * med"), own.where("y1 - y0 < 0.45D * med")
+    extent = lambda box: F.expr(_level(f"greatest({box}.x1 - {box}.x0, {box}.y1 - {box}.y0)")).alias("level")
+    levels = [x for (x,) in _levels(tall.select(extent("near")).union(short.select(extent("box"))), "level")]
+    cell = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("__p", "__level", "cx", "cy")]
+    near = "(a.own or b.own) and a.__k <> b.__k and greatest(b.y0 - a.y1, a.y0 - b.y1, 0) <= 0.5D * a.med and least(a.x1, b.x1 + a.med) - greatest(a.x0, b.x0 - a.med) > 0"
+    gone = _in_cells(short, levels, "box").alias("a").join(_in_cells(tall, levels, "near").alias("b"), [*cell, F.expr(near)], "left_semi")
+    return df.join(gone.select(F.col("__p").alias(page), F.col("__k").alias(key)).distinct(), [page, key], "left_anti")
 
 
 def row_overlaps(df: DataFrame, page: str, key: str, overlap: float = 0.5) -> DataFrame:
-    """(page, a, b) of boxes that could share a row: similar heights, overlapping by more than `overlap` of the smaller."""
-    on = f"a.{page} = b.{page} and a.{key} < b.{key} and least(a.y1, b.y1) - greatest(a.y0, b.y0) > {overlap!r}D * least(a.y1 - a.y0, b.y1 - b.y0) and greatest(a.y1 - a.y0, b.y1 - b.y0) <= 2 * least(a.y1 - a.y0, b.y1 - b.y0)"
-    return df.alias("a").join(df.alias("b"), F.expr(on)).select(F.col(f"a.{page}"), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+    """(page, a, b) of boxes that could share a row: similar heights, overlapping by more than `overlap` of the smaller.
+
+    Heights within a factor of two differ by a level at most, so a box is dealt to its own level's bands and the next one's; a pair is
+    found in the band where the lower of their tops lies.
+    """
+    tall = df.where("y1 > y0").withColumn("__own", F.expr(_level("y1 - y0"))).withColumn("__level", F.explode(F.expr("array(__own, __own + 1)")))
+    bands = tall.withColumn("__band", F.explode(F.expr(_touched("y0", "y1", "__level"))))
+    one = "a.__level = greatest(a.__own, b.__own) and a.__band = cast(floor(greatest(a.y0, b.y0) / power(2, a.__level)) as bigint)"
+    on = f"a.{page} = b.{page} and a.__level = b.__level and a.__band = b.__band and {one} and a.{key} < b.{key} and least(a.y1, b.y1) - greatest(a.y0, b.y0) > {overlap!r}D * least(a.y1 - a.y0, b.y1 - b.y0) and greatest(a.y1 - a.y0, b.y1 - b.y0) <= 2 * least(a.y1 - a.y0, b.y1 - b.y0)"
+    return bands.alias("a").join(bands.alias("b"), F.expr(on)).select(F.col(f"a.{page}"), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
 def rows_of(boxes: list[tuple[float, float, float, float]], overlap: float = 0.5) -> list[tuple[int, int, int, int]]:
-    """Boxes merged to rows, from top to bottom: by their middles, each joins the first row it overlaps that is of similar height."""
+    """Boxes merged to rows, from top to bottom: by their middles, each joins the first row it overlaps that is of similar height.
+
+    Rows that end above where any further box can begin are closed, so a box is compared with those around it alone.
+    """
     if not boxes:
         return []
     b = np.array(boxes, dtype=float)
     h = b[:, 3] - b[:, 1]
     usual = np.sort(h)[len(h) // 2]
     b = b[(h <= 2.5 * usual) & (b[:, 2] - b[:, 0] > 0.6 * usual)]
-    rows = np.empty((0, 4))
-    for box in b[np.argsort((b[:, 1] + b[:, 3]) / 2, kind="stable")]:
-        tall, own = rows[:, 3] - rows[:, 1], box[3] - box[1]
-        shared = np.minimum(rows[:, 3], box[3]) - np.maximum(rows[:, 1], box[1])
-        fits = np.flatnonzero((shared > overlap * np.minimum(tall, own)) & (np.maximum(tall, own) <= 2 * np.minimum(tall, own)))
-        if len(fits):
-            r = rows[fits[0]]
-            rows[fits[0]] = [*np.minimum(r[:2], box[:2]), *np.maximum(r[2:], box[2:])]
+    reach = max(1.25 * usual, 0.0)
+    open_: list[list[float]] = []
+    closed: list[list[float]] = []
+    for box in b[np.argsort((b[:, 1] + b[:, 3]) / 2, kind="stable")].tolist():
+        ended = (box[1] + box[3]) / 2 - reach
+        closed += [r for r in open_ if r[3] < ended]
+        open_ = [r for r in open_ if r[3] >= ended]
+        own = box[3] - box[1]
+        for r in open_:
+            tall, shared = r[3] - r[1], min(r[3], box[3]) - max(r[1], box[1])
+            if shared > overlap * min(tall, own) and max(tall, own) <= 2 * min(tall, own):
+                r[:] = [min(r[0], box[0]), min(r[1], box[1]), max(r[2], box[2]), max(r[3], box[3])]
+                break
         else:
-            rows = np.vstack([rows, box])
-    return [tuple(int(round(v)) for v in r) for r in rows[np.argsort(rows[:, 1], kind="stable")]]
+            open_.append(list(box))
+    return [tuple(int(round(v)) for v in r) for r in sorted(closed + open_, key=lambda r: r[1])]
 
 
 @arrow(BOXES)

@@ -152,7 +152,7 @@ def bootstrap(df: DataFrame, a: str, b: str, order: str, *, ref: str = "ref", re
     return diff.agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") < 0).cast("double")).alias("share_below"))
 
 
-def _mixed(x: str) -> str:
+def mixed(x: str) -> str:
     """SQL: a 32-bit number whose bits depend on all bits of x, in whole numbers below 2 to the 63rd that any engine can repeat."""
     for _ in range(2):
         x = f"((({x}) ^ (({x}) div 65536)) * 73244475 % 4294967296)"
@@ -171,8 +171,8 @@ def poisson_bootstrap(df: DataFrame, a: str, b: str, number: str, *, ref: str =
     """
     own = df.select(F.col(number).cast("long").alias("x"), char_distance(ref, a).cast("long").alias("ea"), char_distance(ref, b).cast("long").alias("eb"), F.length(text(ref)).cast("long").alias("n"))
     drawn = own.select("x", "ea", "eb", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    salt = drawn.withColumn("s", F.expr(_mixed(f"cast({seed} * 1000003 + rep as bigint)")))
-    u = salt.withColumn("u", F.expr(_mixed("x ^ s")))
+    salt = drawn.withColumn("s", F.expr(mixed(f"cast({seed} * 1000003 + rep as bigint)")))
+    u = salt.withColumn("u", F.expr(mixed("x ^ s")))
     times = sum((F.when(F.col("u") >= bound, 1).otherwise(0) for bound in POISSON[1:]), F.when(F.col("u") >= POISSON[0], 1).otherwise(0))
     sums = u.withColumn("t", times.cast("long")).groupBy("rep").agg(*[F.sum(F.col(c) * F.col("t")).alias(c) for c in ("ea", "eb", "n")])
     diff = sums.select(F.coalesce((F.col("ea") - F.col("eb")) / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("d"))

@@ -116,13 +116,20 @@ def sampler_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.sampling_weights(docs.select("doc_id", "lang"), "lang").select("doc_id", F.round("weight", 12).alias("weight"))
 
 
+def sampler_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many documents as there are, drawn with replacement so that languages are drawn alike."""
+    docs = selection.sampling_weights(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang")
+    own = docs.withColumn("share", F.floor(F.col("weight") * 1e6 + 0.5).cast("long"))
+    return selection.drawn(own, "share", own.count(), "doc_id", seed=3).select("draw", "doc_id", "lang")
+
+
 def member_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All subsets of two or more members in best-first order, with their best member's errors."""
     single = views.predictions(spark, sf_dir).groupBy("member", "model").agg(F.sum(F.levenshtein("ref", "hyp")).alias("errors"))
     return selection.subsets(single, "model", "errors", "member")
 
 
-QUERIES = {f.__name__: f for f in (cer_by_model_lang, error_rates, cer_per_line, best_member_per_line, per_char_counts, per_char_pivot, summarise_parts, improvement_picks, improvement_counts, bootstrap_diff, bootstrap_poisson, val_half_split, cv_folds, member_pairs, complete_lines, uncovered_docs, benchmark_lines, length_stats, sampler_weights, member_subsets)}
+QUERIES = {f.__name__: f for f in (cer_by_model_lang, error_rates, cer_per_line, best_member_per_line, per_char_counts, per_char_pivot, summarise_parts, improvement_picks, improvement_counts, bootstrap_diff, bootstrap_poisson, val_half_split, cv_folds, member_pairs, complete_lines, uncovered_docs, benchmark_lines, length_stats, sampler_weights, sampler_draws, member_subsets)}
 
 _V = views.SQL
 
@@ -149,7 +156,7 @@ TOKENS = """list_reduce(
     lambda p, x: {{'w': '', 'r': list_reduce(list_prepend([p.r[1] + 1], list_transform(range(1, len(b) + 1), lambda j: [j])),
         lambda row, jj: row || [least(p.r[jj[1] + 1] + 1, row[jj[1]] + 1, p.r[jj[1]] + (case when x.w = b[jj[1]] then 0 else 1 end))])}}).r[-1]""".replace("{{", "{").replace("}}", "}")
 
-def _mixed(x: str) -> str:
+def mixed_sql(x: str) -> str:
     """SQL of metrics' mixing of 32-bit numbers."""
     for _ in range(2):
         x = f"(xor({x}, ({x}) // 65536) * 73244475 % 4294967296)"
@@ -157,9 +164,13 @@ def _mixed(x: str) -> str:
 
 
 ORACLE_SQL = {
+    "sampler_draws": f"""with w as (select doc_id, lang, floor(1.0::double / count(*) over (partition by lang) * 1000000 + 0.5)::bigint as w from documents),
+        ends as (select doc_id, lang, sum(w) over (order by doc_id) as upto, w from w), n as (select sum(w)::bigint as total, count(*) as n from w),
+        draws as (select j as draw, ({mixed_sql('(3000009 + 2 * j) % 4294967296')} * 1073741824 + {mixed_sql('(3000009 + 2 * j + 1) % 4294967296')} % 1073741824) % total as at_ from (select unnest(range(n))::bigint as j, total from n))
+        select draw, doc_id, lang from draws join ends on at_ >= upto - w and at_ < upto""",
     "bootstrap_poisson": f"""{_V}, own as (select ('0x' || substr(md5(line_id), 1, 8))::bigint as x, {_lev('ref', "replace(ref, 'th', 't')")} as ea, {_lev('ref', "translate(ref, 'eé', 'ae')")} as eb, length(ref) as n from lines),
-        salts as (select r, {_mixed('r')} as s from (select unnest(range(2000))::bigint as r)),
-        drawn as (select r, ea, eb, n, {_mixed('xor(x, s)')} as u from own, salts),
+        salts as (select r, {mixed_sql('r')} as s from (select unnest(range(2000))::bigint as r)),
+        drawn as (select r, ea, eb, n, {mixed_sql('xor(x, s)')} as u from own, salts),
         times as (select r, ea, eb, n, {' + '.join(f'(u >= {b})::int' for b in metrics.POISSON)} as t from drawn),
         sums as (select r, sum(ea * t) as ea, sum(eb * t) as eb, sum(n * t) as n from times group by r),
         diffs as (select coalesce((ea - eb) / nullif(n, 0), 0)::double as d from sums)

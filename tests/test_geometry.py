@@ -74,3 +74,80 @@ def test_early_stopping(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([5.0, 4.0, 4.0, 6.0, 3.0, 9.0])], "run string, step int, v double")
     rows = metrics.best_so_far(df, "run", "step", "v", 2).orderBy("step").collect()
     assert [r["best"] for r in rows] == [5, 4, 4, 4, 3, 3] and [r["misses"] for r in rows] == [0, 0, 1, 2, 0, 1] and [r["stopped"] for r in rows] == [False, False, False, False, True, True]
+
+
+def scattered(rnd, n, pages=2):
+    """Boxes of very different sizes, some without an area and some equal."""
+    rows = []
+    for key in range(n):
+        x, y = (int(v) for v in rnd.integers(-50, 400, 2))
+        w, h = ((int(rnd.integers(200, 500)), int(rnd.integers(100, 400))) if rnd.random() < 0.1 else (int(rnd.integers(0, 60)), int(rnd.integers(0, 20))))
+        rows.append((int(rnd.integers(0, pages)), key, x, y, x + w, y + h))
+    return rows + [(p, n + i, *b) for i, (p, _, *b) in enumerate(rows[:3])]
+
+
+def test_boxes_of_cells_equal_all_pairs(spark):
+    rows = scattered(np.random.default_rng(3), 150)
+    df = spark.createDataFrame(rows, "page int, key int, x0 int, y0 int, x1 int, y1 int")
+    area = lambda b: max(b[4] - b[2], 0) * max(b[5] - b[3], 0)
+    meet = lambda a, b: max(min(a[4], b[4]) - max(a[2], b[2]), 0) * max(min(a[5], b[5]) - max(a[3], b[3]), 0)
+    others = lambda a: [b for b in rows if b[0] == a[0] and b[1] != a[1]]
+    assert sorted(r["key"] for r in boxes.drop_contained(df, "page", "key").collect()) == [a[1] for a in rows if not any(area(b) > area(a) and meet(a, b) >= 0.6 * area(a) for b in others(a))]
+    med = {p: sorted(b[5] - b[3] for b in rows if b[0] == p) for p in (0, 1)}
+    med = {p: max(8, h[len(h) // 2]) for p, h in med.items()}
+    assert {r["page"]: max(8, r["med"]) for r in boxes.upper_median(df, "page").collect()} == med
+
+    def hugs(a):
+        m = med[a[0]]
+        tall = [b for b in others(a) if b[5] - b[3] >= 0.45 * m]
+        return any(max(b[3] - a[5], a[3] - b[5], 0) <= 0.5 * m and min(a[4], b[4] + m) - max(a[2], b[2] - m) > 0 for b in tall)
+
+    assert sorted(r["key"] for r in boxes.drop_slivers(df, "page", "key").collect()) == [a[1] for a in rows if a[5] - a[3] >= 0.45 * med[a[0]] or not hugs(a)]
+    pairs = sorted((a[1], b[1]) for a in rows for b in others(a) if a[1] < b[1] and min(a[5], b[5]) - max(a[3], b[3]) > 0.5 * min(a[5] - a[3], b[5] - b[3]) and max(a[5] - a[3], b[5] - b[3]) <= 2 * min(a[5] - a[3], b[5] - b[3]))
+    assert sorted((r["a"], r["b"]) for r in boxes.row_overlaps(df, "page", "key").collect()) == pairs
+    for op in (boxes.drop_contained, boxes.drop_slivers, boxes.row_overlaps):
+        assert op(df.limit(0), "page", "key").collect() == []
+
+
+def test_a_page_of_very_many_boxes(spark):
+    """100,000 lines on one page, with a fragment inside and a sliver beside every tenth: all pairs would be ten thousand millions."""
+    n = 100_000
+    lines = spark.range(n).selectExpr("0 as page", "id as key", "id % 50 * 1100 as x0", "id div 50 * 30 as y0", "id % 50 * 1100 + 1000 as x1", "id div 50 * 30 + 20 as y1")
+    inner = spark.range(0, n, 10).selectExpr("0 as page", f"{n} + id as key", "id % 50 * 1100 + 100 as x0", "id div 50 * 30 + 2 as y0", "id % 50 * 1100 + 160 as x1", "id div 50 * 30 + 16 as y1")
+    beside = spark.range(0, n, 10).selectExpr("0 as page", f"{2 * n} + id as key", "id % 50 * 1100 + 1001 as x0", "id div 50 * 30 as y0", "id % 50 * 1100 + 1005 as x1", "id div 50 * 30 + 4 as y1")
+    df = lines.union(inner).union(beside)
+    assert boxes.drop_contained(df, "page", "key").where("key < 200000").count() == n
+    assert boxes.drop_slivers(df, "page", "key").count() == n + n // 10
+
+
+def test_rows_are_those_of_all_comparisons():
+    def plain(given, overlap=0.5):
+        h = sorted(b[3] - b[1] for b in given)
+        usual, rows = h[len(h) // 2], []
+        for b in sorted((b for b in given if b[3] - b[1] <= 2.5 * usual and b[2] - b[0] > 0.6 * usual), key=lambda b: (b[1] + b[3]) / 2):
+            for r in rows:
+                tall, own = r[3] - r[1], b[3] - b[1]
+                if min(r[3], b[3]) - max(r[1], b[1]) > overlap * min(tall, own) and max(tall, own) <= 2 * min(tall, own):
+                    r[:] = [min(r[0], b[0]), min(r[1], b[1]), max(r[2], b[2]), max(r[3], b[3])]
+                    break
+            else:
+                rows.append(list(b))
+        return [tuple(r) for r in sorted(rows, key=lambda r: r[1])]
+
+    rnd = np.random.default_rng(5)
+    for _ in range(60):
+        given = [tuple(b) for _, _, *b in scattered(rnd, int(rnd.integers(1, 60)))]
+        assert boxes.rows_of(given) == plain(given)
+
+
+def test_weighted_draws(spark):
+    from quorumtext.operators import selection
+
+    rows = [(i, {"a": 1, "b": 6, "c": 0}.get(k), k) for i, k in enumerate("abcabcx")]
+    df = spark.createDataFrame(rows, "key int, weight int, kind string").repartition(3)
+    got = selection.drawn(df, "weight", 3000, "key").collect()
+    assert sorted(r["draw"] for r in got) == list(range(3000))
+    shares = {k: sum(r["key"] == k for r in got) / 3000 for k in range(7)}
+    assert abs(shares[0] - 1 / 14) < 0.02 and abs(shares[1] - 6 / 14) < 0.03 and abs(shares[4] - 6 / 14) < 0.03 and shares[2] == shares[5] == shares[6] == 0
+    assert sorted(map(tuple, selection.drawn(df.repartition(2), "weight", 3000, "key").collect())) == sorted(map(tuple, got))
+    assert selection.drawn(df.where("weight = 0"), "weight", 5, "key").collect() == [] and selection.drawn(df, "weight", 0, "key").collect() == []
