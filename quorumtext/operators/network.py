@@ -9,8 +9,13 @@ equal floating-point scores and ties go to the earlier member.
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,20 +139,38 @@ def combine(df: DataFrame, gap_conf: float = GAP_CONF, constrain: bool = True) -
 
 
 class Cells:
-    """Table function of a network: a row for each column and member."""
-
-    def eval(self, network: list):  # noqa: ANN201
-        for col, cells in enumerate(network or []):
-            for member, cell in enumerate(cells):
-                yield col, member, cell["ch"], cell["is_gap"], cell["conf"]
-
-
-def cells(df: DataFrame, key: str, name: str = "network_cells") -> DataFrame:
-    """(key, col, member, ch, is_gap, conf): df's networks as rows, by a table function that this session's SQL knows by `name`."""
+    """Table function of a table of (key, network): a row for each column and member, a batch of rows at a time."""
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        networks = rows.column(1)
+        columns = networks.flatten()
+        cells = columns.flatten()
+        places = lambda lists: lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        n_columns, n_members = places(networks), places(columns)
+        inner = lambda sizes: np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        line, col = np.repeat(np.arange(len(rows)), n_columns), inner(n_columns)
+        taken = pa.array(np.repeat(line, n_members), pa.int64())
+        yield pa.table(
+            [rows.column(0).take(taken), pa.array(np.repeat(col, n_members), pa.int32()), pa.array(inner(n_members), pa.int32()), *(cells.field(c) for c in ("ch", "is_gap", "conf"))],
+            names=["key", "col", "member", "ch", "is_gap", "conf"],
+        )
+
+
+def cells(df: DataFrame, key: str) -> DataFrame:
+    """(key, col, member, ch, is_gap, conf): df's networks as rows, by a table function that takes df as a table in Arrow batches, where its rows are.
+
+    Lines without columns or without a network give no rows. The session's SQL knows the function by a name of its own for each type of key.
+    """
     spark = df.sparkSession
-    spark.udtf.register(name, F.udtf(Cells, returnType="col int, member int, ch string, is_gap boolean, conf double"))
-    df.createOrReplaceTempView(f"{name}_rows")
-    return spark.sql(f"select r.{key}, c.* from {name}_rows r, lateral {name}(r.network) c")
+    kind = df.schema[key].dataType.simpleString()
+    name = f"network_cells_{re.sub(r'[^a-z0-9]', '_', kind)}"
+    spark.udtf.register(name, F.arrow_udtf(Cells, returnType=f"key {kind}, col int, member int, ch string, is_gap boolean, conf double"))
+    view = f"{name}_{uuid.uuid4().hex}"
+    df.select(key, "network").createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"select * from {name}(table(select * from {view}))").withColumnRenamed("key", key)
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def exploded(df: DataFrame, *keys: str) -> DataFrame:
