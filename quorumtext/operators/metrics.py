@@ -240,14 +240,3 @@ def error_overlap(df: DataFrame, key: str, *, ref: str = "ref", hyp: str = "hyp"
 def folds(index: str, k: int = 5) -> Column:
     """Fold of a numbered line."""
     return (F.col(index) % k).cast("int")
-
-
-def best_so_far(df: DataFrame, run: str, step: str, value: str, patience: int) -> DataFrame:
-    """df with `best` (the smallest value up to a step), `improved`, `misses` (steps since the last improvement) and `stopped`: whether training that waits `patience` steps had ended before."""
-    order = Window.partitionBy(run).orderBy(step)
-    before = F.min(value).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("improved", F.coalesce(F.col(value) < before, F.col(value).isNotNull())).withColumn("best", F.min(value).over(order))
-    rows = rows.withColumn("__run", F.sum(F.col("improved").cast("int")).over(order)).withColumn("__n", F.row_number().over(order))
-    rows = rows.withColumn("misses", (F.col("__n") - F.min("__n").over(Window.partitionBy(run, "__run"))).cast("int"))
-    stopped = F.coalesce(F.max((F.col("misses") >= patience).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)) == 1, F.lit(False))
-    return rows.withColumn("stopped", stopped).drop("__run", "__n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow
 from ..functions.text import output_length, text
+from .scan import runs, symbol_runs  # noqa: F401
 
 
 def best_frame(df: DataFrame, probs: str) -> DataFrame:
@@ -18,21 +19,11 @@ def best_frame(df: DataFrame, probs: str) -> DataFrame:
 
 def ctc_decode(frames: DataFrame, sequence: str, time: str, *, symbol: str = "symbol", conf: str = "conf", blank: int = 0) -> DataFrame:
     """(sequence, symbols, confs): repeated symbols are one, blanks go, a symbol's confidence is its run's largest."""
-    order = Window.partitionBy(sequence).orderBy(time)
-    starts = frames.withColumn("__new", (~F.col(symbol).eqNullSafe(F.lag(symbol).over(order))).cast("int"))
-    runs = starts.withColumn("__run", F.sum("__new").over(order)).where(F.col(symbol) != blank)
-    each = runs.groupBy(sequence, "__run", symbol).agg(F.max(conf).alias("c"))
+    each = symbol_runs(frames, sequence, time, symbol=symbol, conf=conf, blank=blank).select(sequence, F.col("run").alias("__run"), symbol, F.col(conf).alias("c"))
     made = each.groupBy(sequence).agg(F.array_sort(F.collect_list(F.struct("__run", F.col(symbol).alias("s"), "c"))).alias("r"))
     return frames.select(sequence).distinct().join(made.select(sequence, F.transform("r", lambda x: x["s"]).alias("symbols"), F.transform("r", lambda x: x["c"]).alias("confs")), sequence, "left")
 
 
-def runs(df: DataFrame, group: str, position: str, mask: Column) -> DataFrame:
-    """(group, start, end) of maximal true runs over gapless positions, end exclusive."""
-    marked = df.select(group, position, mask.alias("__m")).where("__m")
-    island = F.col(position) - F.row_number().over(Window.partitionBy(group).orderBy(position))
-    return marked.withColumn("__i", island).groupBy(group, "__i").agg(F.min(position).alias("start"), (F.max(position) + 1).alias("end")).drop("__i")
-
-
 def moving_average(value: str, group: str, position: str, k: int) -> Column:
     """Mean of k places around each, places beyond the ends counting as 0; of an even k the longer half stands before."""
     w = Window.partitionBy(group).orderBy(position).rowsBetween(-(k // 2), (k - 1) // 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boxes, signal
+from ..operators import boxes, scan, signal
 from .storage import table
 
 
@@ -39,6 +39,31 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", F.round(signal.moving_average("q", "g", "l_orderkey", 4), 9).alias("smooth"))
 
 
+def long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of clicks in all events, taken as one sequence."""
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("g"), "event_id", "event_type")
+    numbers = scan.counted(scan.dealt(rows, "g", "event_id"), "g", "event_id", "i").withColumn("i", F.col("i") - 1)
+    return scan.runs(numbers, "g", "i", F.col("event_type") == "click").select("start", "end")
+
+
+def long_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the frames of one sequence: their kinds without repeats, and each run's largest value."""
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("g"), "event_id", F.length("event_type").alias("symbol"), F.col("value").alias("conf"))
+    return scan.symbol_runs(rows, "g", "event_id", blank=5).select("run", "symbol", "conf")
+
+
+def long_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed values of all events, taken as one sequence in blocks."""
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("g"), "event_id", "value")
+    return scan.smoothed(rows, "value", "g", "event_id", 7, block=512).select("event_id", F.round("smooth", 9).alias("smooth"))
+
+
+def long_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the evaluations of one training: the best so far, and where waiting for fifty would end it."""
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("g"), "event_id", "value")
+    return scan.best_so_far(rows, "g", "event_id", "value", 50).select("event_id", "best", "improved", "misses", "stopped")
+
+
 def otsu_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.otsu(_levels(spark, sf_dir), "page", "level")
 
@@ -124,7 +149,7 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page", F.col("line").cast("long").alias("line"), "text", F.array_join(F.map_keys("shown"), "+").alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (ctc_decode, frame_argmax, runs_islands, moving_average, otsu_thresholds, box_containment, box_hugging, interval_overlap, upper_medians, grouped_rows, page_lines, refined_boxes, line_images, read_pages)}
+QUERIES = {f.__name__: f for f in (ctc_decode, frame_argmax, runs_islands, moving_average, long_runs, long_decode, long_average, long_stopping, otsu_thresholds, box_containment, box_hugging, interval_overlap, upper_medians, grouped_rows, page_lines, refined_boxes, line_images, read_pages)}
 
 _B = """with box as (select l_orderkey as page, l_linenumber as key, min(l_partkey % 300) as x0, min(l_suppkey * 7 % 90) as y0, min(l_partkey % 300 + 10 + l_suppkey * 13 % 200) as x1, min(l_suppkey * 7 % 90 + 4 + l_quantity::bigint % 30) as y1 from lineitem group by 1, 2),
     med as (select page, list_sort(list(y1 - y0)) as h from box group by page), sized as (select page, h[len(h) // 2 + 1] as med from med)"""
@@ -141,6 +166,15 @@ ORACLE_SQL = {
     "runs_islands": """with e as (select user_id, event_type, row_number() over (partition by user_id order by event_id) - 1 as i from events),
         m as (select user_id, i, i - row_number() over (partition by user_id order by i) as island from e where event_type = 'click')
         select user_id, min(i)::bigint as start, (max(i) + 1)::bigint as "end" from m group by user_id, island""",
+    "long_runs": """with e as (select event_type, row_number() over (order by event_id) - 1 as i from events), m as (select i, i - row_number() over (order by i) as island from e where event_type = 'click')
+        select min(i)::bigint as start, (max(i) + 1)::bigint as "end" from m group by island""",
+    "long_decode": """with e as (select event_id, length(event_type) as symbol, value as conf, case when lag(length(event_type)) over (order by event_id) is not distinct from length(event_type) then 0 else 1 end as new from events),
+        r as (select *, sum(new) over (order by event_id) as run from e)
+        select run::bigint as run, symbol::int as symbol, max(conf) as conf from r where symbol <> 5 group by run, symbol""",
+    "long_average": "select event_id, round(sum(value) over (order by event_id rows between 3 preceding and 3 following) / 7, 9) as smooth from events",
+    "long_stopping": """with o as (select event_id, value, min(value) over w as best, min(value) over (order by event_id rows between unbounded preceding and 1 preceding) as before, row_number() over w as n from events window w as (order by event_id)),
+        i as (select *, coalesce(value < before, value is not null) as improved from o), m as (select *, n - max(case when improved then n else 1 end) over (order by event_id) as misses from i)
+        select event_id, best, improved, misses::int as misses, coalesce(max((misses >= 50)::int) over (order by event_id rows between unbounded preceding and 1 preceding) = 1, false) as stopped from m""",
     "moving_average": """with o as (select l_orderkey, sum(l_quantity) as q from lineitem group by 1) select l_orderkey, round(sum(q) over (partition by l_orderkey // 1000 order by l_orderkey rows between 2 preceding and 1 following) / 4, 9) as smooth from o""",
     "otsu_thresholds": """with h as (select l_partkey % 20 as page, (floor(l_extendedprice)::bigint % 256)::int as t, count(*)::double as n from lineitem group by 1, 2),
         p as (select page, t, sum(n) over (partition by page order by t) as b, sum(n * t) over (partition by page order by t) as sb, sum(n) over (partition by page) as a, sum(n * t) over (partition by page) as sa from h),

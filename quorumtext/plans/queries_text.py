@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPECIAL, first_difference, in_part, only, output_length, padded_confidence, percent, tokens
-from ..operators import charlm, metrics, script, signal
+from ..operators import charlm, metrics, scan, script, signal
 from ..streaming import tables as stream_tables
 from . import views
 from .queries_lines import ACCENTED
@@ -194,7 +194,7 @@ def ctc_infeasible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as evaluations of their users' training: the best so far, and where waiting for five would end it."""
-    return metrics.best_so_far(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", 5)
+    return scan.best_so_far(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", 5)
 
 
 def _pieces(column: str) -> tuple[Column, Column]:

@@ -69,10 +69,10 @@ def test_line_images_keep_their_proportions():
 
 
 def test_early_stopping(spark):
-    from quorumtext.operators import metrics
+    from quorumtext.operators import scan
 
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([5.0, 4.0, 4.0, 6.0, 3.0, 9.0])], "run string, step int, v double")
-    rows = metrics.best_so_far(df, "run", "step", "v", 2).orderBy("step").collect()
+    rows = scan.best_so_far(df, "run", "step", "v", 2).orderBy("step").collect()
     assert [r["best"] for r in rows] == [5, 4, 4, 4, 3, 3] and [r["misses"] for r in rows] == [0, 0, 1, 2, 0, 1] and [r["stopped"] for r in rows] == [False, False, False, False, True, True]
 
 
