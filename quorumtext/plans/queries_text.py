@@ -258,6 +258,24 @@ _TABLES = f"""{views.SQL}, padded as (select chr(2) || chr(2) || ref || chr(3) a
     uses as (select k, substr(s, i - k + 1, k - 1) as h, substr(s, i, 1) as c, sum(w)::bigint as n from ends, (select unnest(range(1, {ORDER} + 1)) as k) group by all),
     counts as (select * from uses where k = {ORDER} union all select k - 1, substr(h, 2), c, count(*)::bigint from uses where k > 1 group by 1, 2, 3)
     select k::int as k, h, c, n, sum(n) over (partition by k, h)::bigint as total, count(*) over (partition by k, h)::bigint as types from counts"""
+_PAIRS = "regexp_extract_all(ref, '[^ \\t\\n\\r\\f\\v]+')"
+_DIVIDED = f"""{views.SQL}, words as (select line_id, {_PAIRS} as w from lines),
+    lexicon as (select x, count(*) as n from (select unnest(w) as x from words) where length(x) > 1 group by x), total as (select sum(n)::double as total from lexicon),
+    priced as (select x, -ln(n::double / total) as cost from lexicon, total),
+    joined as (select line_id, list_transform(range(0, (len(w) + 1) // 2), lambda i: w[2 * i + 1] || coalesce(w[2 * i + 2], '')) as j from words),
+    own as (select distinct unnest(j) as word from joined),
+    begun as (select word, unnest(range(0, length(word))) as b from own), spans as (select word, b, unnest(range(b + 1, length(word) + 1)) as e from begun),
+    costed as (select word, list(cost order by b, e) as costs from spans left join priced on x = substr(word, b + 1, e - b) group by word),
+    best as (select word, list_reduce(list_transform(range(1, length(word) + 1), lambda e: [{{'c': e::double, 'b': 0::bigint, 'u': 0::bigint, 'p': ''}}]),
+        lambda done, x: done || [coalesce(list_min(list_filter(list_transform(range(greatest(0, x[1].c::bigint - 20), x[1].c::bigint), lambda b:
+            {{'c': done[b + 1].c + coalesce(costs[b * length(word) - b * (b - 1) // 2 + x[1].c::bigint - b], 12.0::double + 0.1::double * (x[1].c::bigint - b)),
+            'b': case when x[1].c::bigint - b = 1 and substr(word, b + 1, 1) <> 'a' then -1 else b end,
+            'u': done[b + 1].u + (costs[b * length(word) - b * (b - 1) // 2 + x[1].c::bigint - b] is null)::int,
+            'p': done[b + 1].p || case when b = 0 then '' else ' ' end || substr(word, b + 1, x[1].c::bigint - b)}}), lambda w: w.c < 1e17 and w.b >= 0 and w.u <= 1)), {{'c': 1e18::double, 'b': 0::bigint, 'u': 0::bigint, 'p': ''}})],
+        [{{'c': 0.0::double, 'b': -1::bigint, 'u': 0::bigint, 'p': ''}}])[-1] as d from costed),
+    parts as (select word, case when d.c < 1e17 then d.p else word end as p from best),
+    placed as (select line_id, unnest(j) as word, generate_subscripts(j, 1) as i from joined)
+    select lines.line_id, coalesce(string_agg(p, ' ' order by i), '') as divided from lines left join placed using (line_id) left join parts using (word) group by lines.line_id"""
 _LATIN, _ARABIC = "A-Za-zÀ-ÖØ-öø-ÿ", "ابدَرُ"
 _HALF = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1])), 4294967295::bigint)"
 _SHOWN = "replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
@@ -305,6 +323,7 @@ ORACLE_SQL = {
         select counts.k::int as k, counts.grams, counts.uses, counts.squares, longer.grams as continuing from counts left join counts longer on longer.k = counts.k + 1""",
     "ngram_uses": f"{_GRAMS} select k::int as k, h, c, n from uses",
     "ngram_continuations": f"{_GRAMS} select k::int as k, h, c, n from cont",
+    "divided_lines": _DIVIDED,
     "incremental_tables": _TABLES,
     "learned_tables": _TABLES,
     "kn_probabilities": f"""{_GRAMS}, model as (select *, sum(n) over (partition by k, h) as total, count(*) over (partition by k, h) as types from (select * from uses where k = 3 union all select * from cont)),
