@@ -103,6 +103,17 @@ def transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.ajami(spark, sf_dir).select("line_id", script.transliterate("ajami").alias("latin"))
 
 
+def spelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that meet the rules of long vowels, carriers, doubling, glides and the article, in Latin letters."""
+    return views.spelled(spark, sf_dir).select("line_id", script.transliterate("ajami").alias("latin"))
+
+
+def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of both directions in the order of a scan, and whether they come back."""
+    rows = views.ordered(spark, sf_dir).withColumn("scan", script.mirror("logical"))
+    return rows.select("line_id", "scan", (script.mirror("scan") == F.col("logical")).alias("restored"))
+
+
 def _joined(column: str) -> Column:
     """Words joined by twos."""
     words = tokens(column)
@@ -246,7 +257,7 @@ def nfc_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", script.nfc_changes("text").alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (ngram_uses, ngram_continuations, kn_probabilities, incremental_tables, learned_tables, alphabet_build, alphabet_round_trip, codec_round_trip, lost_characters, restricted_texts, normalised_lines, mirrored_lines, constrained_lines, transliterated, divided_lines, boko_lines, tidy_lines, carried_flags, error_flags, shown_errors, highlighted_lines, numbered_replies, split_pairs, corrections, scalar_functions, ctc_infeasible, early_stopping, exact_report, exact_losses, added_tokens, special_coverage, alphabet_sets, ngram_totals, nfc_changed)}
+QUERIES = {f.__name__: f for f in (ngram_uses, ngram_continuations, kn_probabilities, incremental_tables, learned_tables, alphabet_build, alphabet_round_trip, codec_round_trip, lost_characters, restricted_texts, normalised_lines, mirrored_lines, constrained_lines, transliterated, spelled_lines, ordered_lines, divided_lines, boko_lines, tidy_lines, carried_flags, error_flags, shown_errors, highlighted_lines, numbered_replies, split_pairs, corrections, scalar_functions, ctc_infeasible, early_stopping, exact_report, exact_losses, added_tokens, special_coverage, alphabet_sets, ngram_totals, nfc_changed)}
 
 _GRAMS = f"""{views.SQL}, padded as (select chr(2) || chr(2) || ref || chr(3) as s from lines),
     ends as (select s, unnest(range({ORDER}, length(s) + 1)) as i from padded),
@@ -323,6 +334,12 @@ ORACLE_SQL = {
         select counts.k::int as k, counts.grams, counts.uses, counts.squares, longer.grams as continuing from counts left join counts longer on longer.k = counts.k + 1""",
     "ngram_uses": f"{_GRAMS} select k::int as k, h, c, n from uses",
     "ngram_continuations": f"{_GRAMS} select k::int as k, h, c, n from cont",
+    "spelled_lines": f"""{views.SQL}, words as (select line_id, list_filter(string_split(regexp_replace(lower(ref), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '') as w from lines),
+        spelled as (select line_id, list_transform(w, lambda x: {{'n': length(x) % 4, 'k': length(x) % 4 = 3 or length(x) % 4 = 2 and x[1] = 'k',
+            't': {[latin for _, latin in views.BEFORE]}[length(x) % 4 + 1] || array_to_string(list_transform(list_filter(string_split(x, ''), lambda c: c <> ''), lambda c: {[latin for _, latin in views.SYLLABLES.values()]}[unicode(c) - 96]), '')}}) as s from words)
+        select line_id, array_to_string(list_transform(s, lambda x: case when x.k then 'al-' || substr(x.t, 3) else x.t end), ' ') as latin from spelled""",
+    "ordered_lines": f"""{views.SQL}, p as (select line_id, doc_id, translate(regexp_replace(lower(ref), '[^a-z ]', '', 'g'), '{views.LETTERS[0]}', '{views.LETTERS[1]}') as a, regexp_replace(ref, '[^A-Za-z ]', '', 'g') as l, (length(ref) * 7 + doc_id)::varchar as n from lines)
+        select line_id, 'ب ' || a || ' ب ' || reverse(n) || ' ' || reverse(doc_id::varchar) || ' م ' || reverse(n || '/12-3') || ' ب ' || translate(reverse(n), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' -١٢- ' || translate(reverse(n), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' ب ' || reverse('x' || l || 'z') || ' ب' as scan, true as restored from p""",
     "divided_lines": _DIVIDED,
     "incremental_tables": _TABLES,
     "learned_tables": _TABLES,

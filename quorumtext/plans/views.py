@@ -64,6 +64,38 @@ def ajami(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ajami", F.translate("latin", *AJAMI))
 
 
+#: For each letter a syllable of the script and what it spells: short and long vowels, doubled and bare consonants, glides, nunation, both final forms of a long a.
+SYLLABLES = {
+    "a": ("بَ", "ba"), "b": ("بُو", "bo"), "c": ("بِي", "bi"), "d": ("بٜيٰ", "be"), "e": ("بَّ", "bba"), "f": ("با", "ba"), "g": ("بَيْ", "bai"), "h": ("بَوْ", "bau"), "i": ("رً", "ran"),
+    "j": ("شࣷو", "sho"), "k": ("لَى", "la"), "l": ("تى", "ta"), "m": ("مٜ", "me"), "n": ("نْ", "n"), "o": ("وَ", "wa"), "p": ("يِ", "yi"), "q": ("ڢ", "f"), "r": ("ذِ", "zi"), "s": ("ࢽَا", "na"),
+    "t": ("طُ", "ɗu"), "u": ("بࣸو", "bo"), "v": ("قِ", "ƙi"), "w": ("حَا", "ha"), "x": ("خّ", "khh"), "y": ("ݒُ", "bu"), "z": ("كٌ", "kun"),
+}
+#: What stands before a word, by its length modulo 4: nothing, a marked carrier, a bare one, the article.
+BEFORE = (("", ""), ("إِ", "i"), ("ا", "a"), ("ال", "al"))
+
+
+def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_id, ajami): every line's Latin letters as SYLLABLES of the script, each word with one of BEFORE."""
+    rows = lines(spark, sf_dir).select("line_id", F.expr("filter(split(regexp_replace(lower(ref), '[^a-z ]', ''), ' '), w -> w <> '')").alias("words"))
+    of = F.create_map(*[F.lit(x) for letter, (ajami, _) in SYLLABLES.items() for x in (letter, ajami)])
+    first = F.array(*[F.lit(a) for a, _ in BEFORE])
+    word = lambda w: F.concat(F.get(first, F.length(w) % 4), F.array_join(F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c: of[c]), ""))
+    return rows.select("line_id", F.array_join(F.transform("words", word), " ").alias("ajami"))
+
+
+#: The Latin alphabet and one letter of the script for each.
+LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه")
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_id, logical): lines of the script's letters with numbers, joined numbers, both kinds of digits and Latin phrases in between."""
+    rows = lines(spark, sf_dir).withColumns({"a": F.translate(F.regexp_replace(F.lower("ref"), "[^a-z ]", ""), *LETTERS), "l": F.regexp_replace("ref", "[^A-Za-z ]", ""), "n": F.length("ref") * 7 + F.col("doc_id")})
+    arabic = F.translate(F.col("n").cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    n = F.col("n").cast("string")
+    logical = F.concat(F.lit("ب "), "a", F.lit(" ب "), n, F.lit(" "), F.col("doc_id").cast("string"), F.lit(" م "), n, F.lit("/12-3 ب "), arabic, F.lit(" -٢١- "), arabic, F.lit(" ب x"), "l", F.lit("z ب"))
+    return rows.select("line_id", logical.alias("logical"))
+
+
 #: Readers of words(), all of whose errors are letters that words hold: (name, letters put in others' place). None is always right.
 WORD_READERS = (("doubling", (("e", "ee"), ("th", "t"))), ("missing", (("an", "n"), ("o", ""))), ("swapping", (("he", "eh"), ("s", "t"))))
 
