@@ -9,8 +9,8 @@ optional place. So a wrapper has fixed texts, text slots, `( )+` and `( )?`, but
 
 To extract, a page's stream is aligned with its host's wrapper, which binds its blocks to places. A place
 with a fixed text on most of the host's distinct pages is template, unless it stands within the content of its
-own container; the same text at another place is content. Tags and marks of menus, notices and the like are left out everywhere, and inside article
-and main elements all other text is kept, whatever the host's pages share.
+own container; the same text at another place is content, inside article and main elements as well. Tags and marks of menus, notices
+and the like are left out, unless they hold all that tells of an article.
 
 Counts are summed by host with partial aggregates, and pages meet their host's wrapper in parts, so a host
 may hold any share of the pages. Wrappers of rare hosts lack evidence about fixed texts; there tags decide alone.
@@ -24,6 +24,7 @@ import html
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,17 +38,25 @@ BLOCKS = frozenset(
 )
 #: Tags without content, and tags whose content is no text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select button object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select button".split())
 #: Of these, the ones that swallow the rest of a page if they are not closed; other unclosed ones are passed over.
-SWALLOW = frozenset("script style textarea title iframe".split())
+SWALLOW = frozenset("script style".split())
 #: Containers that never hold the article, by tag, role or whole words of class and id.
 ASIDE_TAGS = frozenset("nav header footer aside form head menu dialog fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ASIDE_WORDS = re.compile(r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|footer|header|masthead|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscri\w*|comment\w*|respond|discuss\w*|disqus|share\w*|social|related|recommend\w*|breadcrumb\w*|pagination|pager|widget\w*|search|login|signup|copyright|legal|tags?|toolbar|skip", re.I)
+#: Parts of such words, cut at hyphens, underscores and capitals, that tell as much at either end of them: `comment-list`, `post-comments`, `adSlot`.
+ASIDE_PARTS = re.compile(r"ads?|adv|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|ccpa|newsletter|subscri\w*|comments?|repl(?:y|ies)|disqus|related|recommend\w*|social|sidebar|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|teasers?|footer|popup|modal|widget|masthead|toolbar", re.I)
+#: Words that begin like this tell how a page is laid out.
+LAYOUT = frozenset("has with no without is not layout".split())
+#: What an article element's own marks may say of it: that it is a reader's, another article's or an advert's.
+OTHER_ARTICLE = re.compile(r"comments?|repl(?:y|ies)|teasers?|related|recommend\w*|promo\w*|sponsor\w*|ads?|advert\w*", re.I)
 #: Elements that hold the whole page or the article itself: the words of their class and id tell its topic or layout.
 FRAME = frozenset("html body main article".split())
 #: Distinct pages, and share of the host's distinct pages, on which a slot must show one and the same text to count as template.
 CONSTANT_FROM, CONSTANT_SHARE = 4, 0.5
+#: Letters of a paragraph that may be an article's.
+PARAGRAPH = 140
 #: Streams that a task merges at once, about.
 MERGED = 32
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -145,17 +154,39 @@ def slots(page: str | None) -> list[tuple[str, str]]:
     return found
 
 
-def apart(path: str, marks: bool = True) -> bool:
-    """Whether a path leads through a container that never holds the article, by its tags and, if asked, their marks."""
-    for step in path.split("/"):
-        name, _, mark = step.partition(".")
-        if name in ASIDE_TAGS:
-            return True
-        if marks and name not in FRAME and any(m in ASIDE_ROLES or ASIDE_WORDS.fullmatch(m) for m in mark.lower().split()):
+def _parts(mark: str) -> list[str]:
+    return [x for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", mark) if x]
+
+
+@lru_cache(maxsize=1 << 14)
+def aside(step: str) -> bool:
+    """Whether the marks of a step of a path say that it is apart; those of the page's own elements say nothing."""
+    name, _, marks = step.partition(".")
+    if name in FRAME:
+        return name == "article" and any(OTHER_ARTICLE.fullmatch(end) for m in marks.split() for p in [_parts(m)] if p and p[0] not in LAYOUT for end in (p[0], p[-1]))
+    for m in marks.split():
+        parts = _parts(m)
+        if m.lower() in ASIDE_ROLES or ASIDE_WORDS.fullmatch(m) or parts and parts[0].lower() not in LAYOUT and (ASIDE_PARTS.fullmatch(parts[0]) or ASIDE_PARTS.fullmatch(parts[-1])):
             return True
     return False
 
 
+def apart(path: str, overruled: frozenset[str] = frozenset()) -> str:
+    """The outermost container on a path that never holds the article, by its tags or its marks, as the path to it; empty if there is none.
+
+    An article's own header belongs to it. Containers in `overruled` are passed over.
+    """
+    within, at = False, 0
+    for step in path.split("/"):
+        at += len(step)
+        name = step.partition(".")[0]
+        if (name in ASIDE_TAGS and not (within and name == "header") or aside(step)) and path[:at] not in overruled:
+            return path[:at]
+        within = within or name == "article"
+        at += 1
+    return ""
+
+
 #: Stands between a path and the name of its fixed text.
 FIXED = "\x00"
 
@@ -403,19 +434,34 @@ def _within(kept: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
     return out[::-1]
 
 
+def _holds_article(path: str, text: str) -> bool:
+    """Whether a block tells of an article around it: by an article or main element, a headline, or a paragraph of some length."""
+    steps = [step.partition(".")[0] for step in path.split("/")]
+    return not {"article", "main", "h1"}.isdisjoint(steps) or steps[-1] == "p" and len(text) >= PARAGRAPH
+
+
 def article(found: list[tuple[str, str]], wrapper: Wrapper | None) -> str:
-    """Main text of a page's blocks: those in no container apart that an article or main element holds, or else that are no template.
+    """Main text of a page's blocks: those in no container apart that are no template, and of these the ones in article and main elements if there are any.
 
-    A page that has only template keeps it. Where the marks of its containers would leave nothing, what
-    the host's pages do not share overrules them, and the tags decide alone.
+    The wrapper is bound before anything else, and what it knows as template goes from articles too. A page
+    that has only template keeps it. Where all that tells of an article stands in containers apart, the largest of these is
+    overruled, as a form or a layout may hold the whole page, until something is left; menus are never.
     """
     constant = wrapper.constant(found) if wrapper else [False] * len(found)
-    for marks in (True, False):
-        kept = [(path, text, c) for (path, text), c in zip(found, constant, strict=True) if not apart(path, marks)]
-        own = [s for s in kept if _inner(s[0])] or [s for s in _within(kept) if not s[2]] or (kept if marks else [])
-        if own:
+    overruled: frozenset[str] = frozenset()
+    while True:
+        where = [apart(path, overruled) for path, _ in found]
+        kept = [(path, text, c) for (path, text), c, out in zip(found, constant, where, strict=True) if not out]
+        content = [s for s in _within(kept) if not s[2]] or kept
+        if own := [s for s in content if _inner(s[0])] or content:
             return "\n".join(text for _, text, _ in own)
-    return ""
+        held: dict[str, int] = {}
+        for (path, text), out in zip(found, where, strict=True):
+            if _holds_article(path, text) and out.rpartition("/")[2].partition(".")[0] not in ("nav", "menu"):
+                held[out] = held.get(out, 0) + len(text)
+        if not held:
+            return ""
+        overruled |= {max(held, key=held.get)}
 
 
 def main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

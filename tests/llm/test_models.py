@@ -340,3 +340,33 @@ def test_pipeline(spark, tmp_path, labelled):
         seen.append({r["doc_id"] for r in at.select("doc_id").collect()})
     assert 5000 in seen[-1] and 5001 not in seen[2] and 5002 in seen[2] and 5002 not in seen[3]
     assert at.where("doc_id = 5000").count() == 1 and at.where("not round_trip").count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>Main</p></article><section class="replies"><article><p>reader says</p></article></section>', "Main"),
+        ('<article><p>Main</p><article class="comment depth-2"><p>reader says</p></article></article>', "Main"),
+        ('<article><p>Main</p><div class="comment-list"><p>reader</p></div><div id="postComments">reader</div></article>', "Main"),
+        ('<article><div class="ad-slot">Buy</div><p>Main</p><div class="ads_box"><p>Buy</p></div><div class="ad-banner top">Buy</div><div class="adSlot">Buy</div></article>', "Main"),
+        ('<div id="gdpr"><p>We use cookies</p></div><div class="story"><p>Main</p></div>', "Main"),
+        ('<article class="teaser"><p>Other story</p></article><div class="story"><p>Main long story</p></div>', "Main long story"),
+        ('<form id="aspnetForm"><nav>menu</nav><article><h1>Title</h1><p>Main</p></article></form>', "Title\nMain"),
+        ('<aside><div class="modal"><main><p>Main</p><footer>f</footer></main></div></aside>', "Main"),
+        ("<article><header><h1>Title</h1></header><p>Main</p><footer>f</footer></article><header>Site</header>", "Title\nMain"),
+        ("<article><p>If <math><mi>x</mi></math> holds</p><textarea>open<p>Main</p></article>", "If x holds\nopen\nMain"),
+        ('<body class="has-sidebar"><div class="layout no-sidebar with-ads"><div class="article-banner-image"><p>Main</p></div></div></body>', "Main"),
+        ('<div id="gdpr"><p>We use cookies</p></div><nav><h1>menu</h1></nav>', ""),
+        ("<nav>" * 30 + "<p>" + "x" * 200, ""),
+    ],
+)
+def test_containers_of_real_pages(page, text):
+    assert wrappers.article(wrappers.slots(page), None) == text
+
+
+def test_template_goes_from_articles_too(spark):
+    """What most pages of a host show at one place is no content, in an article element as well; inside the content it stays."""
+    page = lambda i: f"<article><div>Home of news</div><div class='text'><p>Story {i}</p><p>Advice</p><p>More {i}</p></div><div>Read on</div></article>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(8)] + [(8, "http://b.example/", page(8))]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}\nAdvice\nMore {i}" for i in range(8)) and got[8] == "Home of news\nStory 8\nAdvice\nMore 8\nRead on"
