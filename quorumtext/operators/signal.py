@@ -123,6 +123,16 @@ def variant(grey: np.ndarray, kind: str) -> np.ndarray:
     return windows.min((2, 3)) if kind == "thick" else windows.max((2, 3))
 
 
+#: Test-time variants of a line image.
+VARIANTS = ("thick", "thin", "dark", "light")
+
+
+@arrow("array<int>")
+def varied(images: pd.Series, widths: pd.Series, kinds: pd.Series) -> pd.Series:
+    """variant() of images given as grey levels row by row."""
+    return pd.Series([variant(np.asarray(g, dtype=np.uint8).reshape(-1, w), kind).ravel().astype(np.int32) if len(g) else [] for g, w, kind in zip(images, widths, kinds, strict=True)])
+
+
 BOXES = "array<struct<x0:int,y0:int,x1:int,y1:int>>"
 
 

@@ -149,7 +149,45 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page", F.col("line").cast("long").alias("line"), "text", F.array_join(F.map_keys("shown"), "+").alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (ctc_decode, frame_argmax, runs_islands, moving_average, long_runs, long_decode, long_average, long_stopping, otsu_thresholds, box_containment, box_hugging, interval_overlap, upper_medians, grouped_rows, page_lines, refined_boxes, line_images, read_pages)}
+def read_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's page read by two readers that count the dark columns of a line's image; on some lines the second is surer and one off."""
+    from . import inference
+
+    def loader(off):
+        def load():
+            import numpy as np
+
+            def model(frame):
+                dark = [int((np.stack([np.asarray(r) for r in crop]) < 128).any(0).sum()) for crop in frame.crop]
+                surer = frame.line % 4 == 1
+                frame = frame.assign(text=["بت " + str(d + (off and s)) for d, s in zip(dark, surer, strict=True)])
+                return frame.assign(conf=[[0.95 if off and s else 0.9 - 0.3 * off] * len(t) for t, s in zip(frame.text, surer, strict=True)])[["page", "line", "text", "conf"]]
+
+            return model
+
+        return load
+
+    for off, name in enumerate(("counter", "doubter")):
+        inference.register(name, loader(off), "page long, line int, text string, conf array<double>")
+    rows = inference.read_pages(_sheets(spark, sf_dir), ["counter", "doubter"], page="c_custkey")
+    return rows.select("page", F.col("line").cast("long").alias("line"), "text", F.size(F.filter("unsure", lambda u: u)).cast("long").alias("unsure"))
+
+
+def ink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line boxes of customers' pages on grey paper, which have no white rows: they are found by their ink."""
+    rows = _sheets(spark, sf_dir).withColumn("rows", F.transform("rows", lambda r: F.transform(r, lambda p: F.least(p, F.lit(240)))))
+    return rows.select("c_custkey", F.posexplode(signal.page_lines("rows")).alias("place", "b")).select("c_custkey", "place", "b.*")
+
+
+def image_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the grey levels of documents painted as images, in every test-time variant."""
+    grey = F.expr("transform(sequence(1, length(text) div 16 * 16), i -> (ascii(substring(text, i, 1)) * 37 + i) % 256)")
+    rows = table(spark, sf_dir, "documents").where("length(text) >= 16").select("doc_id", grey.alias("grey"), F.explode(F.array(*map(F.lit, signal.VARIANTS))).alias("kind"))
+    rows = rows.withColumn("made", signal.varied("grey", F.lit(16), "kind"))
+    return rows.select("doc_id", "kind", F.expr("aggregate(made, 0L, (a, p) -> a + p)").alias("total"), F.expr("aggregate(made, 0L, (a, p) -> (a * 31 + p) % 1000003)").alias("mixed"))
+
+
+QUERIES = {f.__name__: f for f in (ctc_decode, frame_argmax, runs_islands, moving_average, long_runs, long_decode, long_average, long_stopping, otsu_thresholds, box_containment, box_hugging, interval_overlap, upper_medians, grouped_rows, page_lines, refined_boxes, line_images, read_pages, read_ink, ink_lines, image_variants)}
 
 _B = """with box as (select l_orderkey as page, l_linenumber as key, min(l_partkey % 300) as x0, min(l_suppkey * 7 % 90) as y0, min(l_partkey % 300 + 10 + l_suppkey * 13 % 200) as x1, min(l_suppkey * 7 % 90 + 4 + l_quantity::bigint % 30) as y1 from lineitem group by 1, 2),
     med as (select page, list_sort(list(y1 - y0)) as h from box group by page), sized as (select page, h[len(h) // 2 + 1] as med from med)"""
@@ -189,6 +227,13 @@ ORACLE_SQL = {
         where least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.5::double * least(a.y1 - a.y0, b.y1 - b.y0) and greatest(a.y1 - a.y0, b.y1 - b.y0) <= 2 * least(a.y1 - a.y0, b.y1 - b.y0)""",
     "upper_medians": f"{_B} select page, med from sized",
     "grouped_rows": """select l_orderkey as page, min(l_partkey % 50)::int as x0, (l_linenumber * 40)::int as y0, (min(l_partkey % 50) + 290)::int as x1, (l_linenumber * 40 + 20 + max(l_suppkey) % 8)::int as y1 from lineitem group by l_orderkey, l_linenumber""",
+    "read_ink": """select c_custkey as page, k::bigint as line, 'بت ' || (coalesce(c_nationkey, 0) + 18 + (k % 4 = 1)::int) as text, case when k % 4 = 1 then length((list_filter([0, 1], lambda d: substr((coalesce(c_nationkey, 0) + 18)::varchar, d + 1, 1) <> substr((coalesce(c_nationkey, 0) + 19)::varchar, d + 1, 1)))) else 0 end::bigint as unsure from (select *, unnest(range(0, c_custkey % 5 + 3)) as k from customer)""",
+    "ink_lines": """select c_custkey, k::int as place, 0 as x0, (case k when 0 then 0 else k * 15 - 5 end)::int as y0, (coalesce(c_nationkey, 0) + 23)::int as x1, (k * 15 + 13)::int as y1 from (select *, unnest(range(0, c_custkey % 5 + 3)) as k from customer)""",
+    "image_variants": """with p as (select doc_id, list_transform(range(1, length(text) // 16 * 16 + 1), lambda i: (unicode(substr(text, i, 1)) * 37 + i) % 256) as g from documents where length(text) >= 16),
+        n as (select doc_id, g, list_transform(range(1, len(g) + 1), lambda i: [g[i], g[case when i % 16 = 1 then i else i - 1 end], g[case when i <= 16 then i else i - 16 end], g[case when i <= 16 then (case when i % 16 = 1 then i else i - 1 end) when i % 16 = 1 then i - 16 else i - 17 end]]) as near from p),
+        made as (select doc_id, 'thick' as kind, list_transform(near, lambda x: list_min(x)::bigint) as v from n union all select doc_id, 'thin', list_transform(near, lambda x: list_max(x)::bigint) from n
+            union all select doc_id, 'dark', list_transform(g, lambda x: floor(255.0::double * pow(x / 255.0::double, 1.6::double))::bigint) from n union all select doc_id, 'light', list_transform(g, lambda x: floor(255.0::double * pow(x / 255.0::double, 0.6::double))::bigint) from n)
+        select doc_id, kind, list_sum(v)::bigint as total, list_reduce(v, lambda a, x: (a * 31 + x) % 1000003, 0::bigint)::bigint as mixed from made""",
     "page_lines": """select c_custkey, k::int as place, 2 as x0, (k * 15)::int as y0, (20 + coalesce(c_nationkey, 0))::int as x1, (k * 15 + 9)::int as y1 from (select *, unnest(range(0, c_custkey % 5 + 3)) as k from customer)""",
     "refined_boxes": """select c_custkey, 2 as x0, (k * 15)::int as y0, (20 + coalesce(c_nationkey, 0))::int as x1, (k * 15 + 9)::int as y1 from (select *, unnest(range(0, c_custkey % 5 + 3)) as k from customer)""",
     "line_images": """select c_custkey, 64::bigint as height, round_even(60 * 64 / ((c_custkey % 5 + 3) * 15), 0)::bigint as width from customer""",
