@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import arrow
 from ..functions.text import padded_confidence, text
 from ..plans.storage import cut
-from .alignment import codes, merged_columns
+from .alignment import CELLS, codes, merged_columns
 
 NETWORK = "array<array<struct<ch:string,is_gap:boolean,conf:double>>>"
 GAP_CONF = 0.5
@@ -199,69 +199,128 @@ def column_features(df: DataFrame, *keys: str, special: str = "") -> DataFrame:
 # --- bounds ---------------------------------------------------------------------------------------
 
 
-class _Pass:
-    """The cheapest costs of all prefixes of a reference against the first columns, one column further at each step."""
+#: A cost that no way has.
+FAR = 1 << 28
 
-    def __init__(self, columns: list[list[tuple[str, bool]]], ref: np.ndarray):
-        self.columns, self.ref, self.steps = columns, ref, np.arange(len(ref) + 1)
+
+class _Costs:
+    """Cheapest costs of lines' references against their columns, all lines one column further at each step.
+
+    Lines are padded to the longest: beyond its own columns a line has free ones that hold no letter, and beyond its reference no way ends.
+    """
+
+    def __init__(self, lines: list[list[str]], refs: list[np.ndarray]):
+        n, width = max(map(len, lines)), max(map(len, refs))
+        most = max((len(c) for own in lines for c in own), default=1)
+        self.refs = np.full((len(lines), width), -3, np.int32)
+        self.letters = np.full((len(lines), n, most), -2, np.int32)
+        self.skip = np.zeros((len(lines), n), np.int32)
+        self.ends = np.array([len(r) for r in refs])
+        self.columns = np.array([len(x) for x in lines])
+        for k, (own, ref) in enumerate(zip(lines, refs, strict=True)):
+            self.refs[k, : len(ref)] = ref
+            for j, c in enumerate(own):
+                self.skip[k, j] = GAP not in c
+                self.letters[k, j, : len(c)] = [-1 if x == GAP else ord(x) for x in c]
+        self.free = np.arange(n) >= self.columns[:, None]
+        self.steps = np.arange(width + 1, dtype=np.int32)
+
+    def missed(self, j: int) -> np.ndarray:
+        out = np.ones(self.refs.shape, np.int32)
+        for k in range(self.letters.shape[2]):
+            out[self.letters[:, j, k, None] == self.refs] = 0
+        out[self.free[:, j]] = FAR
+        return out
 
     def start(self) -> np.ndarray:
-        return self.steps.astype(np.int32)
-
-    def next(self, costs: np.ndarray, column: list[tuple[str, bool]]) -> np.ndarray:
-        best = costs + np.int32(not any(gap for _, gap in column))
-        missed = ~np.isin(self.ref, [ord(ch) for ch, gap in column if not gap])
-        best[1:] = np.minimum(best[1:], costs[:-1] + missed)
-        return (np.minimum.accumulate(best - self.steps) + self.steps).astype(np.int32)
-
-    def all(self, costs: np.ndarray, columns: list[list[tuple[str, bool]]]) -> list[np.ndarray]:
-        """The costs before each of the columns."""
-        out = []
-        for c in columns:
-            out.append(costs)
-            costs = self.next(costs, c)
+        return np.broadcast_to(self.steps, (len(self.refs), len(self.steps))).copy()
+
+    def end(self) -> np.ndarray:
+        left = self.ends[:, None] - self.steps
+        return np.where(left >= 0, left, FAR).astype(np.int32)
+
+    def forward(self, costs: np.ndarray, j: int) -> np.ndarray:
+        best = costs + self.skip[:, j, None]
+        best[:, 1:] = np.minimum(best[:, 1:], costs[:, :-1] + self.missed(j))
+        return np.minimum.accumulate(best - self.steps, 1) + self.steps
+
+    def backward(self, after: np.ndarray, j: int) -> np.ndarray:
+        best = after + self.skip[:, j, None]
+        best[:, :-1] = np.minimum(best[:, :-1], after[:, 1:] + self.missed(j))
+        return np.minimum.accumulate((best + self.steps)[:, ::-1], 1)[:, ::-1] - self.steps
+
+    def forced(self, before: np.ndarray, after: np.ndarray, j: int) -> np.ndarray:
+        """(lines, candidates): the fewest errors if a candidate has to be chosen in the column."""
+        stay = (before + after).min(1)
+        moved = before[:, :-1] + after[:, 1:]
+        out = np.empty((len(stay), self.letters.shape[2]), np.int64)
+        for k in range(out.shape[1]):
+            letter = self.letters[:, j, k]
+            out[:, k] = stay + (letter != -1)
+            if moved.shape[1]:
+                aligned = (moved + (letter[:, None] != self.refs)).min(1)
+                out[:, k] = np.where(letter == -1, out[:, k], np.minimum(out[:, k], aligned))
         return out
 
 
-def oracle_cost(columns: list[list[tuple[str, bool]]], ref: str) -> int:
-    """Fewest errors that any choice in every column leaves."""
-    forward = _Pass(columns, codes(ref))
-    costs = forward.start()
-    for c in columns:
-        costs = forward.next(costs, c)
-    return int(costs[-1])
+def _together(lines: list[list[str]], refs: list[np.ndarray]) -> Iterator[list[int]]:
+    """Lines of like size, as many as CELLS of all their tables; a longer one alone."""
+    group, most = [], 0
+    for k in sorted(range(len(lines)), key=lambda k: (len(lines[k]), len(refs[k]))):
+        cells = (len(lines[k]) + 1) * (len(refs[k]) + 1)
+        if group and max(most, cells) * (len(group) + 1) > CELLS:
+            yield group
+            group, most = [], 0
+        group.append(k)
+        most = max(most, cells)
+    if group:
+        yield group
+
+
+def oracle_costs(lines: list[list[str]], refs: list[str]) -> list[int]:
+    """Fewest errors that any choice in every column leaves, for each line. A column is its candidates in one string."""
+    coded, out = [codes(r) for r in refs], [0] * len(lines)
+    for group in _together(lines, coded):
+        own = _Costs([lines[k] for k in group], [coded[k] for k in group])
+        costs = own.start()
+        results = np.where(own.columns == 0, own.ends, 0)
+        for j in range(own.skip.shape[1]):
+            costs = own.forward(costs, j)
+            last = own.columns == j + 1
+            results[last] = costs[last, own.ends[last]]
+        for k, cost in zip(group, results.tolist(), strict=True):
+            out[k] = cost
+    return out
 
 
-def candidate_costs(columns: list[list[tuple[str, bool]]], ref: str) -> list[list[int]]:
-    """For each column and candidate, the fewest errors of the line if it has to be chosen there.
+def candidate_costs(lines: list[list[str]], refs: list[str]) -> list[list[list[int]]]:
+    """For each line, column and candidate, the fewest errors of the line if that has to be chosen there.
 
-    Costs of prefixes are kept for one column in each block of about the root of their number, and
+    Costs of prefixes are kept for every column while they are few, and else for one in each block of about the root of their number; they are
     made again block by block while those of suffixes come from the end.
     """
-    letters = codes(ref)
-    forward, backward = _Pass(columns, letters), _Pass(columns, letters[::-1])
-    block = max(1, int(len(columns) ** 0.5))
-    starts, costs = [], forward.start()
-    for j, c in enumerate(columns):
-        if j % block == 0:
-            starts.append(costs)
-        costs = forward.next(costs, c)
-    out: list[list[int]] = [[]] * len(columns)
-    behind = backward.start()
-    for k in reversed(range(len(starts))):
-        own = columns[k * block : (k + 1) * block]
-        for j, before in reversed(list(enumerate(forward.all(starts[k], own)))):
-            after = behind[::-1]
-            stay = int((before + after).min())
-            moved = before[:-1] + after[1:]
-            made = []
-            for ch, gap in own[j]:
-                best = stay if gap else stay + 1
-                if not gap and len(ref):
-                    best = min(best, int((moved + (letters != ord(ch))).min()))
-                made.append(best)
-            out[k * block + j] = made
-            behind = backward.next(behind, own[j])
+    coded, out = [codes(r) for r in refs], [[] for _ in lines]
+    for group in _together(lines, coded):
+        own = _Costs([lines[k] for k in group], [coded[k] for k in group])
+        n = own.skip.shape[1]
+        block = n if n * own.start().size <= CELLS else max(1, int(n**0.5))
+        starts, costs = [], own.start()
+        for j in range(n):
+            if j % block == 0:
+                starts.append(costs)
+            if j < (n - 1) // block * block:  # the last block is made below
+                costs = own.forward(costs, j)
+        made: list[np.ndarray] = [np.empty(0)] * n
+        after = own.end()
+        for k in reversed(range(len(starts))):
+            before = [starts[k]]
+            for j in range(k * block, min((k + 1) * block, n) - 1):
+                before.append(own.forward(before[-1], j))
+            for j in reversed(range(k * block, min((k + 1) * block, n))):
+                made[j] = own.forced(before.pop(), after, j)
+                after = own.backward(after, j)
+        for i, k in enumerate(group):
+            out[k] = [made[j][i, : len(c)].tolist() for j, c in enumerate(lines[k])]
     return out
 
 
@@ -269,18 +328,14 @@ def candidate_costs(columns: list[list[tuple[str, bool]]], ref: str) -> list[lis
 GAP = "\x00"
 
 
-def _pairs(columns: list[str]) -> list[list[tuple[str, bool]]]:
-    return [[("", True) if ch == GAP else (ch, False) for ch in c] for c in columns]
-
-
 @arrow("long")
 def _oracle(columns: pd.Series, refs: pd.Series) -> pd.Series:
-    return pd.Series([oracle_cost(_pairs(list(c)), r) for c, r in zip(columns, refs, strict=True)])
+    return pd.Series(oracle_costs([list(c) for c in columns], list(refs)))
 
 
 @arrow("array<array<int>>")
 def _forced(columns: pd.Series, refs: pd.Series) -> pd.Series:
-    return pd.Series([candidate_costs(_pairs(list(c)), r) for c, r in zip(columns, refs, strict=True)])
+    return pd.Series(candidate_costs([list(c) for c in columns], list(refs)))
 
 
 def proposals() -> Column:

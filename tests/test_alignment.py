@@ -74,12 +74,12 @@ def test_long_lines_need_little_memory(monkeypatch):
 def test_costs_of_long_lines_need_little_memory():
     rnd = random.Random(4)
     ref = "".join(rnd.choices("abcd", k=3_000))
-    columns = [[(c, False), (rnd.choice("abcd"), False)] if rnd.random() < 0.1 else [(c, False)] for c in ref]
+    columns = [c + (rnd.choice("abcd") if rnd.random() < 0.1 else "") for c in ref]
     tracemalloc.start()
-    costs = network.candidate_costs(columns, ref)
+    costs = network.candidate_costs([columns], [ref])[0]
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 20e6 and network.oracle_cost(columns, ref) == 0 and all(min(c) == 0 for c in costs)
+    assert peak < 20e6 and network.oracle_costs([columns], [ref]) == [0] and all(min(c) == 0 for c in costs)
 
 
 def test_wrong_letters_and_places():
