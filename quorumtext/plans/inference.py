@@ -37,6 +37,27 @@ def predict(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return df.select(*columns).mapInPandas(run, schema)
 
 
+def predict_all(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """Rows that several registered models of one schema make of the given columns, with `member`, the model's place, and `model`, its name.
+
+    All models get a batch while it is there, so df is made once, however many there are.
+    """
+    if unknown := [n for n in names if n not in _MODELS]:
+        raise KeyError(f"no models {unknown}; known: {sorted(_MODELS)}")
+    own = [(n, *_MODELS[n]) for n in names]
+    schema, *others = [s for _, _, s in own]
+    if any(s != schema for s in others):
+        raise ValueError(f"models {names} return different columns")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = [(k, name, loader()) for k, (name, loader, _) in enumerate(own)]
+        for frame in frames:
+            for k, name, model in models:
+                yield model(frame).assign(member=k, model=name)
+
+    return df.select(*columns).mapInPandas(run, f"{schema}, member int, model string")
+
+
 def weighted(df: DataFrame, weights: dict[str, float], model: str = "model") -> DataFrame:
     """df with `weight` by model name, 1.0 where none is given."""
     own = F.create_map(*[x for m, w in weights.items() for x in (F.lit(m), F.lit(w))]) if weights else None
@@ -67,14 +88,16 @@ def read_pages(pages: DataFrame, readers: list[str], *, page: str = "page", rows
 
     own = pages.select(F.col(page).alias("page"), F.col(rows).alias("rows")).withColumns({"h": F.size("rows"), "w": F.coalesce(F.size(F.get("rows", F.lit(0))), F.lit(0))})
     whole = F.array(F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("w").alias("x1"), F.col("h").alias("y1")))
-    found = cut(own.withColumn("boxes", signal.page_lines("rows")).withColumn("boxes", F.when(signal.single_line("h", "w"), whole.cast(signal.BOXES)).otherwise(F.col("boxes"))))
-    several = boxes.refine(found.where(~signal.single_line("h", "w")), "page", "rows", "boxes").select("page", "rows", "h", "w", F.col("refined").alias("boxes"))
-    every = several.unionByName(found.where(signal.single_line("h", "w")).select("page", "rows", "h", "w", "boxes"))
-    lines = every.select("page", "rows", "h", "w", F.posexplode("boxes").alias("place", "b")).select("page", "rows", "h", "w", "place", "b.*")
-    lines = boxes.clipped(lines, "page", "w", "h", first).withColumnRenamed("place", "line")
-    crops = cut(lines.select("page", "line", F.expr("transform(slice(rows, y0 + 1, y1 - y0), r -> slice(r, x0 + 1, x1 - x0))").alias("crop")))
-    read = [predict(crops, name, ["page", "line", "crop"]).select("page", "line", F.lit(k).alias("member"), F.lit(name).alias("model"), "text", "conf") for k, name in enumerate(readers)]
-    hyps = network.hypotheses(reduce(DataFrame.unionByName, read), ["page", "line"], [], hyp="text", conf="conf")
+    found = own.where(~signal.single_line("h", "w")).withColumn("boxes", signal.page_lines("rows"))
+    several = boxes.refine(found, "page", "rows", "boxes").select("page", "rows", "h", "w", F.col("refined").alias("boxes"))
+    every = several.unionByName(own.where(signal.single_line("h", "w")).withColumn("boxes", whole.cast(signal.BOXES)))
+    # Boxes are clipped and the first of a page kept within its array, as boxes.clipped() does with rows: pixels move only into crops.
+    cut_ = F.transform("boxes", lambda b, i: F.struct(i.alias("line"), F.greatest(b["x0"], F.lit(0)).alias("x0"), F.greatest(b["y0"], F.lit(0)).alias("y0"), F.least(b["x1"], "w").alias("x1"), F.least(b["y1"], "h").alias("y1")))
+    kept = F.slice(F.filter(cut_, lambda b: (b["x1"] - b["x0"] > 10) & (b["y1"] - b["y0"] > 8)), 1, first)
+    lines = every.select("page", "rows", F.explode(kept).alias("b")).select("page", "rows", "b.*")
+    crops = lines.select("page", "line", F.expr("transform(slice(rows, y0 + 1, y1 - y0), r -> slice(r, x0 + 1, x1 - x0))").alias("crop"))
+    read = predict_all(crops, readers, ["page", "line", "crop"])
+    hyps = network.hypotheses(read, ["page", "line"], [], hyp="text", conf="conf")
     voted = cut(network.combine(hyps))
     tidy = voted.select("page", "line", "shown", script.tidied("text", "unsure").alias("t"))
     return tidy.select("page", "line", "t.text", "t.unsure", "shown").where(script.worth_keeping("text"))

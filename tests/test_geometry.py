@@ -162,3 +162,51 @@ def test_pages_of_few_boxes_need_no_cells(spark, monkeypatch):
     assert sorted((r["page"], r["key"]) for r in boxes.drop_contained(df, "page", "key").collect()) == [(1, 0), (2, 0)] + [(3, k) for k in range(80)]
     boxes.drop_contained(df.where("page < 3"), "page", "key").collect()
     assert seen == [[3]]
+
+
+def test_pages_in_arrow_buffers(spark):
+    import pyarrow as pa
+    from quorumtext.functions import arrow
+
+    rnd = np.random.default_rng(1)
+    pages = [rnd.integers(0, 255, (3, 4)), np.empty((0, 0)), rnd.integers(0, 255, (2, 5)), None, rnd.integers(0, 255, (1, 1))]
+    column = pa.array([None if p is None else p.astype(int).tolist() for p in pages], pa.list_(pa.list_(pa.int32())))
+    for at in range(3):  # a slice begins inside of its buffers
+        got = arrow.images_of(column[at:])
+        assert [x.tolist() for x in got] == [[] if p is None else p.tolist() for p in pages[at:]]
+    assert arrow.pixels(arrow.images_of(column)).to_pylist() == [x or [] for x in column.to_pylist()]
+    grey = rnd.integers(0, 255, (20, 30)).astype(np.uint8)
+    df = spark.createDataFrame([(grey.tolist(),), ([],), (grey[:, :9].tolist(),)], "p array<array<int>>")
+    got = [r[0] for r in df.select(signal.prepared_lines("p")).collect()]
+    assert got == [signal.prepared(grey).tolist(), [], signal.prepared(grey[:, :9]).tolist()]
+
+
+def test_few_boxes_are_refined_where_they_are(spark):
+    """Pages of few boxes give what joins give, and their plan moves no pixels."""
+    rnd = np.random.default_rng(7)
+    rows = [(p, rnd.integers(0, 255, (30, 60)).tolist(), [tuple(int(v) for v in b[2:]) for b in scattered(rnd, n, 1)]) for p, n in enumerate((1, 5, 20, 60, 80, 3))]
+    clip = lambda b: (max(b[0], 0), max(b[1], 0), max(b[2], 0), max(b[3], 0))
+    rows = [(p, g, [clip(b) for b in bs]) for p, g, bs in rows] + [(9, rows[0][1], [])]
+    df = spark.createDataFrame(rows, "page int, rows array<array<int>>, b array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    each = df.select("page", F.posexplode("b").alias("key", "b")).select("page", "key", "b.*")
+    joined = {}
+    for r in boxes.drop_contained(boxes.drop_slivers(each, "page", "key"), "page", "key").collect():
+        joined.setdefault(r["page"], []).append(tuple(r)[1:])
+    for p, _, bs in rows:
+        assert boxes.outstanding(np.array(bs, np.int64).reshape(-1, 4)).tolist() == [list(b[1:]) for b in sorted(joined.get(p, []))]
+    got = boxes.refine(df, "page", "rows", "b")
+    assert sorted(r["page"] for r in got.collect()) == [0, 1, 2, 3, 4, 5, 9]
+    assert all(r["refined"] == [] for r in got.where("page = 9").collect())
+    few = boxes.refine(df.where("page < 4"), "page", "rows", "b")
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_readers_share_one_pass(spark):
+    from quorumtext.plans import inference
+
+    for k in range(2):
+        inference.register(f"reader{k}", lambda k=k: lambda f: f.assign(text=f.t + str(k))[["t", "text"]], "t string, text string")
+    df = spark.createDataFrame([("a",), ("b",)], "t string")
+    both = inference.predict_all(df, ["reader0", "reader1"], ["t"])
+    assert sorted(map(tuple, both.collect())) == [("a", "a0", 0, "reader0"), ("a", "a1", 1, "reader1"), ("b", "b0", 0, "reader0"), ("b", "b1", 1, "reader1")]
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
