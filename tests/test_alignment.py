@@ -93,3 +93,30 @@ def test_edit_counts_of_odd_rows(spark):
     rows = [("a", "a"), (None, "ab"), ("ab", None), ("", ""), (None, None), ("a", "a")]
     got = spark.createDataFrame(rows, "ref string, hyp string").select(metrics.edit_counts("ref", "hyp").alias("e")).select("e.*").collect()
     assert [tuple(r) for r in got] == [(0, 0, 0), (0, 0, 2), (0, 2, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+
+
+def test_tables_hold_a_band_and_give_the_whole_tables_ways():
+    random = np.random.default_rng(3)
+    lines = []
+    for k in range(60):
+        t = "".join(random.choice(list("abcd "), 300))
+        lines.append([t.replace("a", "x") if k % 2 else t[1:], t, t.replace("b", "")[:280] if k % 7 == 0 else t[:100] + "q" + t[100:]])
+    sizes, whole = [], alignment.tables
+
+    def seen(*args):
+        moves, begin = whole(*args)
+        sizes.append(moves.nbytes / moves.shape[1])
+        return moves, begin
+
+    alignment.tables = seen
+    try:
+        narrow = alignment.merged_columns(lines, [(0, 1)] * len(lines))
+    finally:
+        alignment.tables = whole
+    assert min(sizes) < 301 * 301 / 8
+    bounds, alignment.cost_bounds = alignment.cost_bounds, lambda profile, seq, size, length: np.full(len(size), 1000.0)
+    try:
+        wide = alignment.merged_columns(lines, [(0, 1)] * len(lines))
+    finally:
+        alignment.cost_bounds = bounds
+    assert all(np.array_equal(a, b) for a, b in zip(narrow, wide, strict=True))
