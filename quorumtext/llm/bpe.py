@@ -36,7 +36,9 @@ LATER = (
     (0x3D000, 0x3FC3F),
 )
 #: Finished words and trie nodes that a worker keeps between batches before it starts anew.
-MAX_WORDS, MAX_NODES = 300_000, 300_000
+MAX_WORDS, MAX_NODES = 200_000, 100_000
+#: Bytes of the paths that many words share, which are kept while they are few.
+SHORT_PATH = 5
 #: Bytes of the longest word whose prefixes become nodes, which bounds the nodes' bytes too. Longer words
 #: pass the same recurrence over their positions, and are forgotten with their batch.
 MAX_PATH = 64
@@ -103,13 +105,13 @@ class Trie:
     """Distinct words as paths of bytes; `last` has the last token of each path's encoding.
 
     A node is known by the bytes of its path. `seen` has every finished word: its ids in decimal,
-    joined by commas, and the bytes that they decode to.
+    joined by commas, and the bytes that they decode to, None for the word's own.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.last: dict[bytes, int] = {}
-        self.seen: dict[str, tuple[str, bytes]] = {}
+        self.seen: dict[str, tuple[str, bytes | None]] = {}
         self.long: list[str] = []
 
     def add(self, distinct: set[str]) -> None:
@@ -126,10 +128,13 @@ class Trie:
             size = depth = len(word)
             if size > MAX_PATH:
                 self.long.append(name)
-                seen[name] = self._spelled(self._alone(word))
+                seen[name] = self._spelled(self._alone(word), word)
                 continue
             if len(last) > MAX_NODES:
+                short = {path: token for path, token in last.items() if len(path) <= SHORT_PATH}
                 last.clear()
+                if len(short) < MAX_NODES // 2:
+                    last.update(short)
             while depth and word[:depth] not in last:
                 depth -= 1
             while depth < size:
@@ -157,11 +162,12 @@ class Trie:
                 ids.append(token)
                 size -= len(rank[token])
             ids.reverse()
-            seen[name] = self._spelled(ids)
+            seen[name] = self._spelled(ids, word)
 
-    def _spelled(self, ids: list[int]) -> tuple[str, bytes]:
+    def _spelled(self, ids: list[int], word: bytes) -> tuple[str, bytes | None]:
         rank = self.vocabulary.bytes
-        return ",".join(map(str, ids)), b"".join([rank[i] for i in ids])
+        decoded = b"".join([rank[i] for i in ids])
+        return ",".join(map(str, ids)), None if decoded == word else decoded
 
     def _alone(self, word: bytes) -> list[int]:
         """Ids of one word by the last tokens of its positions: four bytes for each of the word's."""
@@ -217,8 +223,8 @@ def loaded(spec: str) -> tuple[Vocabulary, Trie, object, object]:
     return v, Trie(v), Words(), marks
 
 
-def encode_words(texts: list[str | None], spec: str) -> Iterator[list[tuple[str, bytes]]]:
-    """For each text its words' (ids in decimal, decoded bytes); special tokens' strings become their ids."""
+def encode_words(texts: list[str | None], spec: str) -> Iterator[tuple[str, bytes]]:
+    """For each text its ids in decimal, joined by commas, and the bytes that they decode to; special tokens' strings become their ids."""
     v, trie, pattern, marks = loaded(spec)
     cut: list[list[str]] = []
     for text in texts:
@@ -228,14 +234,19 @@ def encode_words(texts: list[str | None], spec: str) -> Iterator[list[tuple[str,
             cut.append(pattern.findall(text or ""))
     trie.add(set().union(*cut).difference(v.special))
     seen = trie.seen
-    special = {s: (str(i), s.encode()) for s, i in v.special.items()}
+    special = {s: (str(i), None) for s, i in v.special.items()}
     for pieces in cut:
-        yield [seen[p] if p in seen else special[p] for p in pieces] if special.keys() & pieces else [seen[p] for p in pieces]
+        found = [seen[p] if p in seen else special[p] for p in pieces] if special.keys() & pieces else [seen[p] for p in pieces]
+        ids = ",".join([ids for ids, _ in found])
+        if any([decoded is not None for _, decoded in found]):
+            yield ids, b"".join([p.encode() if decoded is None else decoded for p, (_, decoded) in zip(pieces, found, strict=True)])
+        else:
+            yield ids, "".join(pieces).encode()
 
 
 def encode_texts(texts: list[str | None], spec: str) -> list[list[int]]:
     """Ids of each text; a null text has none."""
-    return [[int(i) for ids, _ in pieces for i in ids.split(",")] for pieces in encode_words(texts, spec)]
+    return [[int(i) for i in ids.split(",")] if ids else [] for ids, _ in encode_words(texts, spec)]
 
 
 def decode_ids(ids: list[int], spec: str) -> str:
@@ -277,9 +288,9 @@ def encode(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text")
         for b in _in_batches(batches, 1000, 1 << 20):
             texts = b.column(1).to_pylist()
             joined, same = [], []
-            for body, pieces in zip(texts, encode_words(texts, spec.value), strict=True):
-                joined.append(",".join([p[0] for p in pieces]))
-                same.append(b"".join([p[1] for p in pieces]) == (body or "").encode())
+            for body, (ids, decoded) in zip(texts, encode_words(texts, spec.value), strict=True):
+                joined.append(ids)
+                same.append(decoded == (body or "").encode())
             sizes = [j.count(",") + 1 if j else 0 for j in joined]
             flat = np.fromstring(",".join(filter(None, joined)), dtype=np.int32, sep=",")
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
@@ -312,11 +323,10 @@ def digests(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _in_batches(batches, 1000, 1 << 20):
             n, a, d = [], [], []
-            for pieces in encode_words(b.column(1).to_pylist(), spec.value):
-                ids = ",".join([p[0] for p in pieces])
+            for ids, decoded in encode_words(b.column(1).to_pylist(), spec.value):
                 n.append(ids.count(",") + 1 if ids else 0)
                 a.append(hashlib.sha256(ids.encode()).hexdigest())
-                d.append(hashlib.sha256(b"".join([p[1] for p in pieces]).decode("utf-8", "replace").encode()).hexdigest())
+                d.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))

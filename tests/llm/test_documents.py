@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and their defined results for odd rows."""
 
 import hashlib
+import json
 import random
 import re
 import tracemalloc
@@ -149,6 +150,19 @@ def test_token_counts(spark, prose):
     assert unigram.token_counts(table(spark, []), path).count() == 0
 
 
+def test_a_worker_keeps_few_bytes_of_many_words():
+    """What stays of several batches of new words is bounded: a worker shares an executor's memory with the stages before."""
+    spec = bpe.tokenizer_spec(queries.tokenizer("byte_bpe_50k.json"))
+    rnd = random.Random(4)
+    words = bpe.Trie(bpe.Vocabulary(json.loads(spec)))
+    tracemalloc.start()
+    for _ in range(6):
+        words.add({"".join(rnd.choices("abcdeginorst", k=8)) for _ in range(45_000)})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 92 << 20
+
+
 def test_long_words_take_memory_in_proportion(reference):
     """Words without a break: ids and counts as ever, and no memory that grows with the square of their length."""
     rnd = random.Random(8)
