@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import arrow
+
 #: Code points of Unicode white space, as str.split() sees them; Java's \s with (?U) lacks the separators U+001C to U+001F.
 WHITE = r"(?U)[\s\x1c-\x1f]+"
 #: The four letters and eight vowel signs that this manuscript tradition adds to Arabic.
@@ -30,10 +34,70 @@ def collapse_spaces(x: Column | str) -> Column:
     return F.array_join(tokens(x), " ")
 
 
+#: Code points of texts that are compared together, in whole words of bits, and lines of a group; longer texts go to Spark's own function.
+TOGETHER, GROUP = 256, 1024
+
+
+def _points(texts: list[str], blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts in rows filled up with `blank`, and their lengths."""
+    sizes = np.array([len(t) for t in texts])
+    out = np.full((len(texts), max(1, sizes.max())), blank, np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, sizes
+
+
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Levenshtein distances of pairs, all pairs one letter of b further at each step.
+
+    A table's column is held as its differences downwards, +1 and -1 as bits of words (Myers 1999); each word takes the
+    difference along its upper edge from the word above.
+    """
+    x, rows = _points(a, 1 << 31)
+    y, columns = _points(b, 1 << 30)
+    words = -(-x.shape[1] // 64)
+    x = np.pad(x, ((0, 0), (0, 64 * words - x.shape[1])), constant_values=1 << 31)
+    one, top = np.uint64(1), np.uint64(63)
+    up = np.full((words, len(a)), ~np.uint64(0))
+    down = np.zeros((words, len(a)), np.uint64)
+    last, bit = np.maximum(rows - 1, 0) // 64, (np.maximum(rows - 1, 0) % 64).astype(np.uint64)
+    found = rows.copy()
+    for j in range(y.shape[1]):
+        equal = np.packbits(x == y[:, j, None], axis=1, bitorder="little").view(np.uint64)
+        more, less = np.full(len(a), one), np.zeros(len(a), np.uint64)
+        for w in range(words):
+            e, p, m = equal[:, w], up[w], down[w]
+            vertical = e | m
+            e = e | less
+            along = (((e & p) + p) ^ p) | e
+            plus, minus = m | ~(along | p), p & along
+            here = (last == w) & (j < columns)
+            found += np.where(here, ((plus >> bit) & one).astype(np.int64) - ((minus >> bit) & one).astype(np.int64), 0)
+            next_more, next_less = plus >> top, minus >> top
+            plus, minus = plus << one | more, minus << one | less
+            up[w], down[w] = minus | ~(vertical | plus), plus & vertical
+            more, less = next_more, next_less
+    return np.where(rows == 0, columns, found)
+
+
+@arrow("long")
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    """distances() of pairs in groups of like length; null where a text is."""
+    out = np.full(len(a), np.nan)
+    known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    a, b = a.to_numpy(), b.to_numpy()
+    known = known[np.argsort([len(x) for x in b[known]], kind="stable")]
+    for k in range(0, len(known), GROUP):
+        own = known[k : k + GROUP]
+        out[own] = distances(list(a[own]), list(b[own]))
+    return pd.Series(out).astype("Int64")
+
+
 def char_distance(a: Column | str, b: Column | str) -> Column:
-    """Levenshtein distance over code points, with a short cut for equal texts."""
+    """Levenshtein distance over code points: 0 for equal texts, usual lines compared many at a time, long ones by Spark's own function."""
     a, b = text(a), text(b)
-    return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b)).cast("long")
+    short = F.greatest(F.length(a), F.length(b)) <= TOGETHER
+    some = lambda x: F.when((a != b) & short, x)
+    return F.when(a == b, F.lit(0)).when(short, _distances(some(a), some(b))).otherwise(F.levenshtein(a, b)).cast("long")
 
 
 #: Letters that stand for the tokens of a pair: printable ASCII, then as many code points as a pair of usual lines can need.

@@ -89,3 +89,29 @@ def test_part_and_confidence(spark):
     assert [r[0] for r in df.select(T.padded_confidence("c", "t")).collect()] == [[0.1, 0.5, 0.5], [0.1], []]
     with pytest.raises(ValueError):
         T.in_part("s", "i", "dev")
+
+
+def test_distances_of_many_pairs_together():
+    """Pairs of all sizes around the words of bits, compared at once, have the distances of whole tables."""
+    import random
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rnd = random.Random(1)
+    made = lambda: ["".join(rnd.choices("abé😀", k=rnd.choice((0, 1, 5, 63, 64, 65, 128, 129)))) for _ in range(60)]
+    a = made()
+    b = [y if k % 2 else x[3:50] + "b" + x[51:] for k, (x, y) in enumerate(zip(a, made(), strict=True))]
+    assert T.distances(a, b).tolist() == [table(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_long_and_missing_texts_beside_lines(spark):
+    rows = [(1, "a" * 300, "a" * 299 + "b"), (2, None, "xy"), (3, "kitten", "sitting"), (4, "", ""), (5, "a" * 256, "b")]
+    got = spark.createDataFrame(rows, "i int, a string, b string").orderBy("i").select(T.char_distance("a", "b")).collect()
+    assert [r[0] for r in got] == [1, 2, 3, 0, 256]
