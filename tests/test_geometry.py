@@ -210,3 +210,25 @@ def test_readers_share_one_pass(spark):
     both = inference.predict_all(df, ["reader0", "reader1"], ["t"])
     assert sorted(map(tuple, both.collect())) == [("a", "a0", 0, "reader0"), ("a", "a1", 1, "reader1"), ("b", "b0", 0, "reader0"), ("b", "b1", 1, "reader1")]
     assert both._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+
+
+def test_long_documents_are_painted_in_time_that_grows_with_their_length(spark, tmp_path):
+    """A text of 300,000 letters; to seek each of them from the text's start takes minutes."""
+    import time
+
+    from quorumtext.plans import queries_geometry
+
+    text = "".join(chr(97 + i * i % 26) + "é" for i in range(150_000)) + "rest"
+    spark.createDataFrame([(1, text), (2, "too short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.time()
+    got = {r["kind"]: (r["total"], r["mixed"]) for r in queries_geometry.image_variants(spark, str(tmp_path)).collect()}
+    assert time.time() - start < 60
+    whole = len(text) // 16 * 16
+    grey = np.array([(ord(c) * 37 + i) % 256 for i, c in enumerate(text[:whole], 1)], np.uint8).reshape(-1, 16)
+    assert set(got) == set(signal.VARIANTS)
+    for kind in signal.VARIANTS:
+        made = signal.variant(grey, kind).ravel().tolist()
+        mixed = 0
+        for p in made:
+            mixed = (mixed * 31 + p) % 1000003
+        assert got[kind] == (sum(made), mixed)
