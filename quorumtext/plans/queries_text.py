@@ -249,7 +249,9 @@ def ngram_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By order, up to eight: distinct n-grams, their uses and squared uses, and how many continue shorter ones."""
     raw = charlm.uses(views.lines(spark, sf_dir), "ref")
     counts = raw.groupBy("k").agg(F.count("*").alias("grams"), F.sum("n").alias("uses"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    more = charlm.continuations(raw).groupBy("k").agg(F.sum("n").alias("continuing"))
+    counts = cut(counts)  # a row for each order
+    # Every n-gram continues the one without its first character, so the sum of continuations() is the number of longer n-grams.
+    more = counts.where("k > 1").select((F.col("k") - 1).alias("k"), F.col("grams").alias("continuing"))
     return counts.join(more, "k", "left")
 
 
