@@ -46,7 +46,78 @@ def _points(texts: list[str], blank: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def apart(line: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n lines, whether no letter that `a` has beside another one of `b`, or alone, is one that `b` has so.
+
+    a and b are letters side by side, -1 for none, of the lines that `line` tells. Each pair that differs, and each letter alone, is then an edit
+    that no way can save, so this way is a cheapest one.
+    """
+    differ = np.flatnonzero(a != b)
+    line, sides = line[differ], (a[differ], b[differ])
+    if not len(differ):
+        return np.ones(n, bool)
+    known, at = np.unique(np.concatenate(sides), return_inverse=True)
+    at = at.reshape(2, -1)
+    if n * len(known) <= 1 << 26:
+        held = np.zeros((2, n, len(known)), bool)
+        for k in (0, 1):
+            own = sides[k] >= 0
+            held[k, line[own], at[k][own]] = True
+        return ~(held[0] & held[1]).any(1)
+    keys = [line[side >= 0] * len(known) + own[side >= 0] for side, own in zip(sides, at, strict=True)]
+    out = np.ones(n, bool)
+    out[np.intersect1d(*keys) // len(known)] = False
+    return out
+
+
+#: Letters of texts from which on distance() takes single pairs.
+LONG = 512
+
+
+def distance(a: str, b: str) -> int:
+    """Levenshtein distance of one pair, a table's column as the bits of whole numbers (Myers 1999)."""
+    if not a or not b:
+        return len(a) + len(b)
+    equal: dict[str, int] = {}
+    for i, c in enumerate(a):
+        equal[c] = equal.get(c, 0) | 1 << i
+    all_, top = (1 << len(a)) - 1, len(a) - 1
+    up, down, found = all_, 0, len(a)
+    for c in b:
+        e = equal.get(c, 0)
+        vertical = e | down
+        along = (((e & up) + up) ^ up) | e
+        plus, minus = down | (all_ & ~(along | up)), up & along
+        found += (plus >> top & 1) - (minus >> top & 1)
+        plus, minus = (plus << 1 | 1) & all_, minus << 1 & all_
+        up, down = minus | (all_ & ~(vertical | plus)), plus & vertical
+    return found
+
+
+def plain_edits(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What pairs cost as texts that end together, and whether apart() tells that no way costs less."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    columns = sizes.max(1, initial=0)
+    line = np.repeat(np.arange(len(a)), columns)
+    col = np.arange(len(line)) - np.repeat(np.cumsum(columns) - columns, columns)
+    sides = []
+    for k, texts in enumerate((a, b)):
+        points = np.append(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32), np.int32(-1))
+        at = col - (columns - sizes[:, k])[line]
+        sides.append(points[np.where(at < 0, -1, at + (np.cumsum(sizes[:, k]) - sizes[:, k])[line])])
+    return np.bincount(line[sides[0] != sides[1]], minlength=len(a)), apart(line, *sides, len(a))
+
+
 def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Levenshtein distances of pairs; only those that plain_edits() leaves open need a table."""
+    found, sure = plain_edits(a, b)
+    left = np.flatnonzero(~sure).tolist()
+    if left:
+        found[left] = tabled([a[k] for k in left], [b[k] for k in left])
+    return found
+
+
+def tabled(a: list[str], b: list[str]) -> np.ndarray:
     """Levenshtein distances of pairs, all pairs one letter of b further at each step.
 
     A table's column is held as its differences downwards, +1 and -1 as bits of words (Myers 1999); each word takes the

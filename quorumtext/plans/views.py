@@ -33,6 +33,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The recognisers of readings(), in member order.
 READERS = ("schwa", "keep", "drop")
+#: SQL: which lines miss their first letter in the last one's reading, and the texts that they read.
+_DROPPED = "length(ref) > 1 and (doc_id + length(ref)) % 3 = 0"
+_READ = ("translate(ref, 'e', 'ə')", "ref", "translate(if(dropped, substring(ref, 2), ref), 'eo', 'ɘɔ')")
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +45,30 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     `e` and `o` and misses the first letter of a third of the lines. No letter that they make up stands in a
     text, so columns of their alignment are the places of `ref`, and both engines can derive them.
     """
-    own = lines(spark, sf_dir).withColumn("dropped", F.expr("length(ref) > 1 and (doc_id + length(ref)) % 3 = 0"))
-    made = ("translate(ref, 'e', 'ə')", "ref", "translate(if(dropped, substring(ref, 2), ref), 'eo', 'ɘɔ')")
-    rows = own.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("member"), F.lit(m).alias("model"), F.expr(h).alias("hyp")) for i, (m, h) in enumerate(zip(READERS, made, strict=True))])))
+    own = lines(spark, sf_dir).withColumn("dropped", F.expr(_DROPPED))
+    rows = own.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("member"), F.lit(m).alias("model"), F.expr(h).alias("hyp")) for i, (m, h) in enumerate(zip(READERS, _READ, strict=True))])))
     return rows.withColumn("conf", F.expr("transform(sequence(1, length(hyp)), i -> ((i * 7 + member * 31 + doc_id) % 101) / 100.0D)"))
 
 
+#: The confidences that readings() have, in the order of letters, twice as long as their period and so at hand for every begin.
+_CONFIDENCES = [(7 * j % 101) / 100.0 for j in range(101 + LINE)]
+
+
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lines with `hyps`, their readings() in member order: array<struct<member, model, text, conf>>."""
+    own = lines(spark, sf_dir).withColumn("dropped", F.expr(_DROPPED))
+    texts = own.select("*", *[F.expr(h).alias(f"__{i}") for i, h in enumerate(_READ)])
+
+    def conf(i: int) -> Column:
+        each = F.expr(f"transform(sequence(1, length(__{i})), i -> ((i * 7 + {i} * 31 + doc_id) % 101) / 100.0D)")
+        # The same numbers as a part of a fixed list, as 29 * 7 is 1 modulo 101.
+        part = F.slice(F.lit(_CONFIDENCES), F.expr(f"cast(({i} * 31 + doc_id) % 101 * 29 % 101 + 2 as int)"), F.length(f"__{i}"))
+        return F.when(F.col("doc_id") >= 0, part).otherwise(each)
+
+    hyps = F.array(*[F.struct(F.lit(i).alias("member"), F.lit(m).alias("model"), F.col(f"__{i}").alias("text"), conf(i).alias("conf")) for i, m in enumerate(READERS)])
+    return texts.select(*own.columns, hyps.alias("hyps"))
+
+
 #: Latin letters and the letters and marks of the script that mixed() and ajami() put in their place.
 MIXED = ("abdeou", "ابدَرُ")
 AJAMI = ("bdfklmnrstzaiu", "بدفكلمنرستزَُِ")
