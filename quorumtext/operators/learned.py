@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import text
 from ..plans.storage import kept, summed
-from .alignment import codes
-from .network import candidate_costs
+from .network import Networks, by_networks, forced_of
 from .script import constrain as constrained_line
 from .script import constrained
 
@@ -42,30 +38,11 @@ class _Candidates:
     features: np.ndarray
 
 
-def _letters(chars: pa.Array) -> np.ndarray:
-    """Code points of an array of single characters, -1 for empty ones."""
-    points = codes("".join(chars.to_pylist()))
-    out = np.full(len(chars), -1, np.int32)
-    out[pc.binary_length(chars).to_numpy(zero_copy_only=False) > 0] = points
-    return out
-
-
-def _cells(networks: pa.Array, members: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Columns of each line; letters (-1 for a gap) and confidences (0 for none) of all columns' members."""
-    sizes = networks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    cells = networks.flatten().flatten()
-    conf = cells.field("conf").fill_null(0.0).to_numpy(zero_copy_only=False)
-    return sizes, _letters(cells.field("ch")).reshape(-1, members), conf.reshape(-1, members)
-
-
-def _candidates(sizes: np.ndarray, letters: np.ndarray, confs: np.ndarray, other: np.ndarray, special: str) -> _Candidates:
+def _candidates(networks: Networks, other: np.ndarray, special: str) -> _Candidates:
     """Candidates with their features. Sums run in member order."""
-    members = letters.shape[1]
-    n = float(members)
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    col = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    own = np.flatnonzero((letters != letters[:, :1]).any(1))
-    line, col, letters, confs = line[own], col[own], letters[own], confs[own]
+    members = networks.letters.shape[1]
+    n, sizes, own = float(members), networks.sizes, networks.disputed
+    line, col, letters, confs = networks.line[own], networks.col[own], networks.letters[own], networks.confs[own]
     first = np.stack([(letters[:, :m] != letters[:, m, None]).all(1) for m in range(members)], 1)
     at, m = np.nonzero(first)
     letter, n_c = letters[at, m], first.sum(1)[at]
@@ -82,8 +59,13 @@ def _candidates(sizes: np.ndarray, letters: np.ndarray, confs: np.ndarray, other
     return _Candidates(line[at], col[at], (np.cumsum(first, 1) - 1)[at, m], letter, n_c, np.stack(base + by_member, 1))
 
 
-#: Lines whose candidates are made together.
-TOGETHER = 1024
+def _of(networks: Networks, models: list[str]) -> Networks:
+    """Networks of all models; a line without any column may tell of no members."""
+    if len(networks.letters) and networks.letters.shape[1] != len(models):
+        raise ValueError(f"lines of {networks.letters.shape[1]} members, models {models}")
+    return networks if len(networks.letters) else Networks(networks.sizes, np.zeros((0, len(models)), np.int32), np.zeros((0, len(models))), np.zeros((0, len(models)), bool))
+
+
 #: A row of choices() without its line's keys; `least` and `most` are the costs of the column's best and worst candidates.
 CHOICE, COSTS = "col int, place int, ch string, is_gap boolean, n_c int, features array<double>", "cost int, least int, most int"
 
@@ -99,39 +81,20 @@ def choices(df: DataFrame, keys: list[str], models: list[str], *, special: str,
     rows are made where it is, in Arrow batches.
     """
 
-    def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, letters, confs = _cells(batch.column("network"), len(models))
-        found = _candidates(sizes, letters, confs, batch.column("__other").to_numpy(zero_copy_only=False), special)
-        taken = pa.array(found.line, pa.int64())
+    def made(own: Networks, batch: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+        found = _candidates(_of(own, models), batch.column("__other").to_numpy(zero_copy_only=False), special)
         d = found.features.shape[1]
         features = pa.ListArray.from_arrays(pa.array(np.arange(len(found.col) + 1) * d, pa.int32()), pa.array(found.features.ravel(), pa.float64()))
-        own = [pa.array(found.col, pa.int32()), pa.array(found.place, pa.int32()), pa.array(["" if c < 0 else chr(c) for c in found.letter.tolist()], pa.string()), pa.array(found.letter < 0), pa.array(found.n_c, pa.int32()), features]
+        columns = [pa.array(found.col, pa.int32()), pa.array(found.place, pa.int32()), pa.array(["" if c < 0 else chr(c) for c in found.letter.tolist()], pa.string()), pa.array(found.letter < 0), pa.array(found.n_c, pa.int32()), features]
         if ref:
-            costs = np.array(_costs_of(sizes, letters, batch.column("__ref").to_pylist(), found), np.int64)
+            costs = forced_of(own, batch.column("__ref").to_pylist(), found.line, found.col, found.letter)
             starts = np.flatnonzero(found.place == 0)
             counts = np.diff(np.append(starts, len(costs)))
-            own += [pa.array(x, pa.int32()) for x in (costs, *(np.repeat(f.reduceat(costs, starts) if len(starts) else costs, counts) for f in (np.minimum, np.maximum)))]
-        return pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in keys), *own], schema.names)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), TOGETHER):
-                yield rows_of(batch.slice(at, TOGETHER))
-
-    lines = df.select(*keys, "network", _other(df, lang, language).alias("__other"), *([text(ref).alias("__ref")] if ref else []))
-    schema = StructType([*df.select(*keys).schema, *StructType.fromDDL(f"{CHOICE}, {COSTS}" if ref else CHOICE)])
-    return lines.mapInArrow(rows, schema)
-
+            columns += [pa.array(x, pa.int32()) for x in (costs, *(np.repeat(f.reduceat(costs, starts) if len(starts) else costs, counts) for f in (np.minimum, np.maximum)))]
+        return found.line, columns
 
-def _costs_of(sizes: np.ndarray, letters: np.ndarray, refs: list[str], found: _Candidates) -> list[int]:
-    """The forced costs of the candidates found; undisputed columns stand for themselves."""
-    written = ["\x00" if c < 0 else chr(c) for c in letters[:, 0].tolist()]
-    begin = np.cumsum(sizes) - sizes
-    more = np.flatnonzero(found.place > 0)
-    for at, c in zip((begin[found.line] + found.col)[more].tolist(), found.letter[more].tolist(), strict=True):
-        written[at] += "\x00" if c < 0 else chr(c)
-    lines = [written[b : b + n] for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
-    return [cost for own in candidate_costs(lines, refs) for column in own if len(column) > 1 for cost in column]
+    more = [_other(df, lang, language).alias("__other"), *([text(ref).alias("__ref")] if ref else [])]
+    return by_networks(df, keys, f"{CHOICE}, {COSTS}" if ref else CHOICE, made, *more)
 
 
 def examples(chosen: DataFrame, keys: list[str]) -> DataFrame:
@@ -249,38 +212,26 @@ def decode(df: DataFrame, chosen: DataFrame, keys: list[str], scorers: list[Scor
 def decoded(df: DataFrame, keys: list[str], models: list[str], scorers: list[Scorer | None], *, special: str, language: str, lang: str = "lang", fold: str | None = None, constrain: bool = True) -> DataFrame:
     """decode() of df under its choices(), which are made, scored and put into their line where it is."""
 
-    def texts(networks: pa.Array, other: pa.Array, folds: pa.Array) -> pa.Array:
-        sizes, letters, confs = _cells(networks, len(models))
-        found = _candidates(sizes, letters, confs, other.to_numpy(zero_copy_only=False), special)
-        own = np.where((own := folds.to_numpy(zero_copy_only=False)) < len(scorers), own, len(scorers) - 1)[found.line]
+    def made(networks: Networks, batch: pa.RecordBatch) -> tuple[None, list[pa.Array]]:
+        networks = _of(networks, models)
+        found = _candidates(networks, batch.column("__other").to_numpy(zero_copy_only=False), special)
+        own = np.where((own := batch.column("__fold").to_numpy(zero_copy_only=False)) < len(scorers), own, len(scorers) - 1)[found.line]
         score = np.empty(len(own))
         for f in np.unique(own).tolist():
             x, scorer = found.features[own == f], scorers[f]
             score[own == f] = scorer.scores(x) if scorer else x[:, 1]
         starts = np.flatnonzero(found.place == 0)
-        chosen = letters[:, 0].copy()
+        chosen = networks.letters[:, 0].copy()
         if len(starts):
             column = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(score))))
             best = np.flatnonzero(score == np.maximum.reduceat(score, starts)[column])
             best = best[np.unique(column[best], return_index=True)[1]]  # the earlier one of equals
-            chosen[(np.cumsum(sizes) - sizes)[found.line[best]] + found.col[best]] = found.letter[best]
-        out, at = [], 0
-        for n in sizes.tolist():
-            own_letters = chosen[at : at + n]
-            line = own_letters[own_letters >= 0].astype("<i4").tobytes().decode("utf-32-le", "surrogatepass")
-            out.append(constrained_line(line) if constrain else line)
-            at += n
-        return pa.array(out, pa.string())
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), texts(*(part.column(c) for c in ("network", "__other", "__fold")))], [*keys, "text"])
+            chosen[(np.cumsum(networks.sizes) - networks.sizes)[found.line[best]] + found.col[best]] = found.letter[best]
+        texts = networks.texts(chosen)
+        return None, [pa.array([constrained_line(t) for t in texts] if constrain else texts, pa.string())]
 
     own_fold = F.coalesce(F.col(fold).cast("int"), F.lit(len(scorers) - 1)) if fold else F.lit(0)
-    lines = df.select(*keys, "network", _other(df, lang, language).alias("__other"), own_fold.alias("__fold"))
-    return lines.mapInArrow(rows, StructType([*df.select(*keys).schema]).add("text", "string"))
+    return by_networks(df, keys, "text string", made, _other(df, lang, language).alias("__other"), own_fold.alias("__fold"))
 
 
 def cross_validated(df: DataFrame, keys: list[str], models: list[str], *, special: str, language: str, ref: str = "ref", fold: str = "fold", k: int = 5, descent: int = 0) -> DataFrame:
