@@ -135,16 +135,15 @@ def _problem(sums: np.ndarray) -> Scorer:
     return Scorer(mean, scale, np.zeros(len(mean)))
 
 
-#: A row of packed(): so many candidates at most, their features as one matrix, feature by feature, with labels and folds.
-PACKED, PACK = "x binary, y binary, fold binary", 128
+#: A row of packed(): so many candidates at most, their d features as one matrix, feature by feature and compressed, with labels and folds. A core's cache holds it.
+PACKED, PACK = "d int, x binary, y binary, fold binary", 1024
 
 
 def _packs(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[pa.Array]:
     """Columns of PACKED; alike values stand beside each other, so they compress well."""
     cuts = [slice(k, k + PACK) for k in range(0, len(y), PACK)]
-    made = ((np.ascontiguousarray(x[c].T, np.float64), y[c].astype(np.float64), fold[c].astype(np.int32)) for c in cuts)
-    columns = list(zip(*((a.tobytes(), b.tobytes(), f.tobytes()) for a, b, f in made), strict=True)) or [(), (), ()]
-    return [pa.array(c, pa.binary()) for c in columns]
+    columns = [[pa.compress(np.ascontiguousarray(x[c].T, np.float64).tobytes(), "zstd", asbytes=True) for c in cuts], [y[c].astype(np.float64).tobytes() for c in cuts], [fold[c].astype(np.int32).tobytes() for c in cuts]]
+    return [pa.array([x.shape[1]] * len(cuts), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)]
 
 
 def packed(df: DataFrame, models: list[str], *, special: str, language: str, lang: str = "lang", ref: str = "ref", fold: str = "fold") -> DataFrame:
@@ -172,7 +171,7 @@ def fit_all(rows: DataFrame, k: int, *, fold: str = "fold", descent: int = 0) ->
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, own = batch.columns
-            yield pa.RecordBatch.from_arrays(_packs(x.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else np.zeros((0, 0)), y.to_numpy(zero_copy_only=False), own.to_numpy(zero_copy_only=False)), ["x", "y", "fold"])
+            yield pa.RecordBatch.from_arrays(_packs(x.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else np.zeros((0, 0)), y.to_numpy(zero_copy_only=False), own.to_numpy(zero_copy_only=False)), ["d", "x", "y", "fold"])
 
     own = rows.select("features", F.col("y").cast("double").alias("y"), F.col(fold).cast("int").alias("fold"))
     return fit_packed(own.mapInArrow(packs, PACKED), k, descent=descent)
@@ -187,20 +186,19 @@ def fit_packed(rows: DataFrame, k: int, *, descent: int = 0) -> list[Scorer | No
     standardised once for all folds; what is summed of them is brought to each fold's own means and deviations afterwards.
     """
     rows = kept(rows)
-    first = rows.select(F.length("x").alias("x"), F.length("y").alias("y")).first()
+    first = rows.select("d").first()
     if first is None:
         return [None] * k
-    d = first["x"] // first["y"]
+    d = first["d"]
 
-    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features, labels and, for each fold, whether a row is outside it."""
-        x = np.concatenate([np.frombuffer(b).reshape(d, -1) for b in batch.column(0).to_pylist()], 1).T
-        y, own = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in ((1, np.float64), (2, np.int32)))
-        return x, y, (own[:, None] != np.arange(k)).astype(float)
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Features (feature by feature), labels and, for each fold, whether a row is outside it."""
+        for x, y, own in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            x = np.frombuffer(pa.decompress(x, d * len(y), "zstd", asbytes=True)).reshape(d, -1)
+            yield x, np.frombuffer(y), (np.frombuffer(own, np.int32) != np.arange(k)[:, None]).astype(float)
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
-        x, _, outside = read(batch)
-        return np.stack([np.repeat(outside.sum(0)[:, None], d, 1), outside.T @ x, outside.T @ x**2], 1)
+        return sum(np.stack([np.repeat(outside.sum(1)[:, None], d, 1), outside @ x.T, outside @ (x**2).T], 1) for x, _, outside in parts(batch))
 
     sums = summed(rows, moments, (k, 3, d), batches=True)
     found = [_problem(s) for s in sums]
@@ -216,14 +214,16 @@ def fit_packed(rows: DataFrame, k: int, *, descent: int = 0) -> list[Scorer | No
         weights = np.stack([t @ now.weights for t, now in zip(to_own, found, strict=True)], 1)
 
         def step(batch: pa.RecordBatch, weights: np.ndarray = weights) -> np.ndarray:
-            x, y, outside = read(batch)
-            z = (x - common.mean) / common.scale
-            p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
-            slope = ((p - y[:, None]) * outside).T @ z
-            if descent:
-                return slope[:, None]
-            curve = p * (1 - p) * outside
-            return np.stack([np.vstack([slope[f], (z * curve[:, f, None]).T @ z]) for f in range(k)])
+            out = np.zeros((k, 1 if descent else d + 1, d))
+            for x, y, outside in parts(batch):
+                z = (x - common.mean[:, None]) / common.scale[:, None]
+                p = 1 / (1 + np.exp(-np.clip(weights.T @ z, -30, 30)))
+                out[:, 0] += ((p - y) * outside) @ z.T
+                if not descent:
+                    curve = p * (1 - p) * outside
+                    for f in range(k):
+                        out[f, 1:] += (z * curve[f]) @ z.T
+            return out
 
         moves = []
         for s, m, now, t in zip(summed(rows, step, (k, 1 if descent else d + 1, d), batches=True), sums, found, to_own, strict=True):
