@@ -157,9 +157,16 @@ def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
     known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
     a, b = a.to_numpy(), b.to_numpy()
     known = known[np.argsort([len(x) for x in b[known]], kind="stable")]
+    worth = True
     for k in range(0, len(known), GROUP):
         own = known[k : k + GROUP]
-        out[own] = distances(list(a[own]), list(b[own]))
+        x, y = list(a[own]), list(b[own])
+        found, sure = plain_edits(x, y) if worth else (np.zeros(len(own), np.int64), np.zeros(len(own), bool))
+        worth = worth and sure.mean() > 0.25  # of pairs that need tables, the next ones go to them at once
+        left = np.flatnonzero(~sure).tolist()
+        if left:
+            found[left] = tabled([x[i] for i in left], [y[i] for i in left])
+        out[own] = found
     return pd.Series(out).astype("Int64")
 
 

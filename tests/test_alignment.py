@@ -120,3 +120,25 @@ def test_tables_hold_a_band_and_give_the_whole_tables_ways():
     finally:
         alignment.cost_bounds = bounds
     assert all(np.array_equal(a, b) for a, b in zip(narrow, wide, strict=True))
+
+
+def test_texts_that_differ_in_letters_of_their_own_need_no_table(monkeypatch):
+    """Such lines are aligned as tables would, without one; so are their distances."""
+    from quorumtext.functions import text
+
+    rnd = random.Random(17)
+    lines = []
+    for _ in range(300):
+        ref = "".join(rnd.choices("aab c", k=rnd.randint(1, 12)))
+        other = ref[rnd.choice([0, 0, 1, 2]) :].translate({97: "x"} if rnd.random() < 0.7 else {97: "b"})
+        lines.append([other, ref] if rnd.random() < 0.5 else [ref, other])
+    with monkeypatch.context() as without:
+        without.setattr(alignment, "straight", lambda line, letters, n: np.zeros(n, bool))
+        want = alignment.merged_columns(lines, [(0, 1)] * len(lines))
+    assert [x.tolist() for x in alignment.merged_columns(lines, [(0, 1)] * len(lines))] == [x.tolist() for x in want]
+    a, b = [x for x, _ in lines], [x for _, x in lines]
+    assert text.distances(a, b).tolist() == text.tabled(a, b).tolist() == [text.distance(x, y) for x, y in lines]
+    own = [["xbc" * 40, "abc" * 40], ["bxc" * 30, "abac" * 30][:1] + ["b" + "ayc" * 20]]
+    monkeypatch.setattr(alignment, "_merge", None)
+    monkeypatch.setattr(text, "tabled", None)
+    assert len(alignment.merged_columns(own[:1], [(0, 1)])[0]) == 120 and text.distances(*([x] for x in own[0])).tolist() == [40]
